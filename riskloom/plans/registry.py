@@ -93,3 +93,4 @@ def q_credit_card_block(spark: SparkSession, d: str) -> DataFrame:
 
 # The operator catalogue registers itself on import (after ``register`` exists).
 from riskloom.plans import catalog  # noqa: E402,F401
+from riskloom.plans import catalog_model  # noqa: E402,F401
