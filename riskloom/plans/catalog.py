@@ -85,6 +85,10 @@ def z_long(spark, d):
     return X.linear_attribution(values_long(spark, d))
 
 
+def z_long_rounded(spark, d):
+    return report(z_long(spark, d))
+
+
 VL_SQL = ("SELECT SK_ID_CURR, feature, value FROM (SELECT SK_ID_CURR, "
           + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in Z_FEATURES)
           + " FROM app) UNPIVOT INCLUDE NULLS (value FOR feature IN ("
@@ -92,7 +96,9 @@ VL_SQL = ("SELECT SK_ID_CURR, feature, value FROM (SELECT SK_ID_CURR, "
 ST_SQL = "SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM vl GROUP BY feature"
 ZL_SQL = ("SELECT * FROM (SELECT vl.SK_ID_CURR, vl.feature, CASE WHEN st.s > 0 THEN (vl.value - st.m) / st.s END AS phi "
           "FROM vl JOIN st USING (feature)) WHERE phi IS NOT NULL")
-ZL_CTE = APP_CTE + [("vl", VL_SQL), ("st", ST_SQL), ("zl", ZL_SQL)]
+# attributions at report precision: sums of 30-bit values are exact, so running totals agree bit for bit
+ZLR_SQL = f"SELECT SK_ID_CURR, feature, {round_sig_sql('phi')} AS phi FROM zl"
+ZL_CTE = APP_CTE + [("vl", VL_SQL), ("st", ST_SQL), ("zl", ZL_SQL), ("zlr", ZLR_SQL)]
 
 
 def scores(spark, d):
@@ -600,6 +606,7 @@ def q_select_by_cumulative_importance(spark, d):
 
 
 RANK_SQL = "SELECT *, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY abs(phi) DESC, feature ASC) AS rank FROM zl"
+RANKR_SQL = RANK_SQL.replace("FROM zl", "FROM zlr")
 TOPK = 10
 
 
@@ -611,10 +618,10 @@ def q_top_k_per_client(spark, d):
 
 @register("rest_bucket", sql(["fx_application"], rep(
     f"SELECT SK_ID_CURR, coalesce(sum(CASE WHEN rank > {TOPK} THEN phi END), CAST(0 AS DOUBLE)) AS rest, "
-    f"count(CASE WHEN rank > {TOPK} THEN 1 END) AS n_rest FROM ({RANK_SQL}) GROUP BY SK_ID_CURR", ["rest"],
+    f"count(CASE WHEN rank > {TOPK} THEN 1 END) AS n_rest FROM ({RANKR_SQL}) GROUP BY SK_ID_CURR", ["rest"],
     ["SK_ID_CURR", "n_rest"]), ZL_CTE))
 def q_rest_bucket(spark, d):
-    return report(W.rest_bucket(z_long(spark, d), TOPK))
+    return report(W.rest_bucket(z_long_rounded(spark, d), TOPK))
 
 
 BASE = 0.5
@@ -623,13 +630,13 @@ BASE = 0.5
 @register("waterfall_steps", sql(["fx_application"], rep(
     f"""SELECT SK_ID_CURR, step, label, phi, sum(phi) OVER (PARTITION BY SK_ID_CURR ORDER BY step
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM (
-      SELECT SK_ID_CURR, 0 AS step, 'base' AS label, CAST({BASE} AS DOUBLE) AS phi FROM (SELECT DISTINCT SK_ID_CURR FROM zl)
+      SELECT SK_ID_CURR, 0 AS step, 'base' AS label, CAST({BASE} AS DOUBLE) AS phi FROM (SELECT DISTINCT SK_ID_CURR FROM zlr)
       UNION ALL SELECT SK_ID_CURR, 1, 'rest', coalesce(sum(CASE WHEN rank > {TOPK} THEN phi END), CAST(0 AS DOUBLE))
         FROM r GROUP BY SK_ID_CURR
       UNION ALL SELECT SK_ID_CURR, CAST(count(*) OVER (PARTITION BY SK_ID_CURR) - rank + 2 AS INTEGER), feature, phi
-        FROM r WHERE rank <= {TOPK})""", ["phi", "running"], ["SK_ID_CURR", "step", "label"]), ZL_CTE + [("r", RANK_SQL)]))
+        FROM r WHERE rank <= {TOPK})""", ["phi", "running"], ["SK_ID_CURR", "step", "label"]), ZL_CTE + [("r", RANKR_SQL)]))
 def q_waterfall_steps(spark, d):
-    return report(W.waterfall_steps(z_long(spark, d), BASE, TOPK))
+    return report(W.waterfall_steps(z_long_rounded(spark, d), BASE, TOPK))
 
 
 @register("sorted_ids", sql(["fx_bureau"], "SELECT DISTINCT SK_ID_CURR FROM fx_bureau ORDER BY SK_ID_CURR"))
