@@ -65,13 +65,14 @@ def nonfinite_to_null(c: Column | str) -> Column:
 def nonfinite_to_null_all(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """Apply ``nonfinite_to_null`` to every float/double column in one projection."""
     skip = set(exclude)
-    out = []
+    items = []
     for f in df.schema.fields:
+        r = "`" + f.name.replace("`", "``") + "`"
         if f.name not in skip and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(nonfinite_to_null(F.col(f"`{f.name}`")).alias(f.name))
+            items.append(f"CASE WHEN isnan({r}) OR abs({r}) = double('Infinity') THEN NULL ELSE {r} END AS {r}")
         else:
-            out.append(F.col(f"`{f.name}`"))
-    return df.select(*out)
+            items.append(r)
+    return df.selectExpr(*items)  # one call for the whole projection
 
 
 def sentinel_to_null(c: Column | str, sentinel: float = DAYS_SENTINEL) -> Column:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.naming import agg_name, dummy_name
-from riskloom.functions.scalar import nonfinite_to_null
 
 FUNCS = ("min", "max", "mean", "sum", "var", "size", "nunique")
 
@@ -30,19 +29,23 @@ VOCABULARY_CAP = 1000
 
 @dataclass(frozen=True)
 class Feature:
-    """A value expression over input rows and the aggregates to take of it."""
+    """A value expression over input rows (Spark SQL text) and the aggregates to take of it.
+
+    Expressions are kept as SQL text: a block of hundreds of aggregates is then built with one parse
+    per aggregate on the JVM instead of a chain of py4j calls per expression.
+    """
 
     name: str
-    expr: Column
+    expr: str
     funcs: tuple[str, ...]
 
 
 @dataclass(frozen=True)
 class Subset:
-    """A conditional block: rows where ``cond`` holds, aggregated under ``prefix``."""
+    """A conditional block: rows where ``cond`` (SQL text) holds, aggregated under ``prefix``."""
 
     prefix: str
-    cond: Column
+    cond: str
     features: tuple[Feature, ...] = field(default_factory=tuple)
 
 
@@ -50,6 +53,16 @@ def _ref(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def sql_ref(name: str) -> str:
+    """Backquoted column reference for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def spec_features(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> list[Feature]:
     """Features for ``{column: [funcs]}``; columns the table lacks are skipped."""
     present = set(df.columns)
@@ -59,7 +72,7 @@ def spec_features(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> list[Feat
         if bad:
             raise ValueError(f"unknown aggregate(s) {bad} for {col}")
         if col in present:
-            out.append(Feature(col, _ref(col), tuple(funcs)))
+            out.append(Feature(col, sql_ref(col), tuple(funcs)))
     return out
 
 
@@ -100,45 +113,51 @@ def category_features(
     column: str, values: Sequence[str], null_category: bool, funcs: Sequence[str] = ("mean",)
 ) -> list[Feature]:
     """Indicator of each value (0/1 int, NULL-safe), plus ``<col>_nan`` when asked."""
-    c = _ref(column)
-    feats = [Feature(dummy_name(column, v), c.eqNullSafe(F.lit(v)).cast("int"), tuple(funcs)) for v in values]
+    c = sql_ref(column)
+    feats = [Feature(dummy_name(column, v), f"CAST(({c} <=> {sql_str(v)}) AS INT)", tuple(funcs)) for v in values]
     if null_category:
-        feats.append(Feature(dummy_name(column, None), c.isNull().cast("int"), tuple(funcs)))
+        feats.append(Feature(dummy_name(column, None), f"CAST(({c} IS NULL) AS INT)", tuple(funcs)))
     return feats
 
 
-def _agg(func: str, x: Column, cond: Column | None) -> Column:
-    v = x if cond is None else F.when(cond, x)
+def _agg(func: str, x: str, cond: str | None) -> str:
+    v = x if cond is None else f"CASE WHEN {cond} THEN {x} END"
     if func == "min":
-        return F.min(v)
+        return f"min({v})"
     if func == "max":
-        return F.max(v)
+        return f"max({v})"
     if func == "mean":
-        return F.avg(v)
+        return f"avg({v})"
     if func == "var":
-        return F.var_samp(v)
+        return f"var_samp({v})"
     if func == "sum":
-        return F.coalesce(F.sum(v), F.lit(0))
+        return f"coalesce(sum({v}), 0)"
     if func == "size":
-        return F.count(F.lit(1)) if cond is None else F.count(F.when(cond, F.lit(1)))
+        return "count(1)" if cond is None else f"count(CASE WHEN {cond} THEN 1 END)"
     if func == "nunique":
-        return F.count_distinct(v)
+        return f"count(DISTINCT {v})"
     raise ValueError(func)
 
 
-def aggregate_exprs(features: Sequence[Feature], prefix: str, cond: Column | None = None) -> list[Column]:
-    """One aggregate column per (feature, func), named ``<prefix><name>_<FUNC>``."""
+def aggregate_sql(features: Sequence[Feature], prefix: str, cond: str | None = None) -> list[str]:
+    """One aggregate per (feature, func) as ``<sql> AS <prefix><name>_<FUNC>``; in a subset, sums,
+    sizes and distinct counts are NULL when the key has no row of the subset."""
     out = []
-    present = None if cond is None else F.count(F.when(cond, F.lit(1))) > 0
+    present = None if cond is None else f"count(CASE WHEN {cond} THEN 1 END) > 0"
     for f in features:
         for func in f.funcs:
             e = _agg(func, f.expr, cond)
             if present is not None and func in ("sum", "size", "nunique"):
-                e = F.when(present, e)
-            out.append(e.alias(agg_name(prefix, f.name, func)))
+                e = f"CASE WHEN {present} THEN {e} END"
+            out.append(f"{e} AS {sql_ref(agg_name(prefix, f.name, func))}")
     return out
 
 
+def finite_sql(ref: str) -> str:
+    """NaN and +/-inf to NULL, as SQL text."""
+    return f"CASE WHEN isnan({ref}) OR abs({ref}) = double('Infinity') THEN NULL ELSE {ref} END"
+
+
 def aggregate_block(
     df: DataFrame,
     key: str,
@@ -149,20 +168,18 @@ def aggregate_block(
     finite: bool = True,
 ) -> DataFrame:
     """A1: one row per ``key`` with all aggregates, subsets and an optional row count."""
-    exprs = aggregate_exprs(features, prefix)
+    exprs = aggregate_sql(features, prefix)
     for s in subsets:
-        exprs += aggregate_exprs(s.features, s.prefix, s.cond)
+        exprs += aggregate_sql(s.features, s.prefix, s.cond)
     if count_name:
-        exprs.append(F.count(F.lit(1)).alias(count_name))
-    out = df.groupBy(key).agg(*exprs)
+        exprs.append(f"count(1) AS {sql_ref(count_name)}")
+    out = df.groupBy(key).agg(*[F.expr(e) for e in exprs])
     if finite:
-        cols = [_ref(key)]
+        items = [sql_ref(key)]
         for f in out.schema.fields[1:]:
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                cols.append(nonfinite_to_null(_ref(f.name)).alias(f.name))
-            else:
-                cols.append(_ref(f.name))
-        out = out.select(*cols)
+            r = sql_ref(f.name)
+            items.append(f"{finite_sql(r)} AS {r}" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else r)
+        out = out.selectExpr(*items)
     return out
 
 

@@ -20,6 +20,8 @@ from riskloom.operators.aggregate import (
     category_features,
     discover_vocabulary,
     spec_features,
+    sql_ref,
+    sql_str,
     string_columns,
 )
 
@@ -120,8 +122,8 @@ def _shares(df: DataFrame, exclude: Sequence[str], vocab: Vocab | None, null_cat
     return feats
 
 
-def _cond(column: str, value: str):
-    return F.col(column).eqNullSafe(F.lit(value))
+def _cond(column: str, value: str) -> str:
+    return f"{sql_ref(column)} <=> {sql_str(value)}"
 
 
 # ---- application -------------------------------------------------------------------------------
@@ -147,7 +149,7 @@ def application_features(app: DataFrame, vocab: Vocab | None = None, null_catego
             out.append(c)
     for c in others:
         for feat in category_features(c, voc[c], null_category):
-            out.append(feat.expr.alias(feat.name))
+            out.append(F.expr(feat.expr).alias(feat.name))
     df = df.select(*out)
     ratios = {
         "DAYS_EMPLOYED_PERC": ("DAYS_EMPLOYED", "DAYS_BIRTH"),
@@ -194,7 +196,7 @@ def bureau_block(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None = None, n
     joined, bb_share_cols = bureau_with_balance(bureau, bb, vocab, null_category)
     num = spec_features(joined, BUREAU_NUM_SPEC)
     shares = _shares(bureau, [CLIENT, BUREAU_ID], vocab, null_category)
-    feats = num + shares + [Feature(c, F.col(f"`{c}`"), ("mean",)) for c in bb_share_cols]
+    feats = num + shares + [Feature(c, sql_ref(c), ("mean",)) for c in bb_share_cols]
     subs = []
     if subsets:
         for name in ("active", "closed"):
@@ -263,7 +265,7 @@ def credit_card_block(cc: DataFrame, vocab: Vocab | None = None, null_category:
     """A10: min max mean sum var of every column, category indicators included (+ CC_COUNT)."""
     df = cc.drop(PREV_ID)
     cats = string_columns(df, [CLIENT])
-    num = [Feature(c, F.col(f"`{c}`"), tuple(CREDIT_CARD_FUNCS)) for c in df.columns if c != CLIENT and c not in cats]
+    num = [Feature(c, sql_ref(c), tuple(CREDIT_CARD_FUNCS)) for c in df.columns if c != CLIENT and c not in cats]
     feats = num + _shares(df, [CLIENT], vocab, null_category, CREDIT_CARD_FUNCS)
     return aggregate_block(df, CLIENT, feats, BLOCK_PREFIX["credit_card"], count_name="CC_COUNT")
 

@@ -31,7 +31,7 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, null_category:
     new = []
     for c in cats:
         for f in category_features(c, voc[c], null_category):
-            new.append(f.expr.alias(f.name))
+            new.append(F.expr(f.expr).alias(f.name))
     names = [f.name for c in cats for f in category_features(c, voc[c], null_category)]
     return df.select(*keep, *new), names
 

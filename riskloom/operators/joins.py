@@ -42,7 +42,7 @@ def join_child_aggregate(parent: DataFrame, child_agg: DataFrame, key: str, drop
 
 
 def join_subset_aggregate(base: DataFrame, rows: DataFrame, key: str, features: Sequence[Feature], prefix: str,
-                          cond: Column) -> DataFrame:
+                          cond: Column | str) -> DataFrame:
     """Filter, aggregate, left join: the plain form of a conditional subset (test oracle)."""
     agg = aggregate_block(rows.where(cond), key, features, prefix)
     return base.join(agg, key, "left")

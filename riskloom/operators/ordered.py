@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
+ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 100_000
 
 
 def _splits(df: DataFrame, col: str, buckets: int) -> list[float]:
@@ -32,15 +34,20 @@ def ordered_cumsum(
     value_cols: Sequence[str],
     group_cols: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     prefix: str = "cum_",
 ) -> DataFrame:
     """Add ``<prefix><v>``: inclusive running sum of each value column in ``order_col`` order.
 
     Rows must be unique per (group_cols, order_col) and ``order_col`` non-NULL; aggregate first.
+    ``buckets`` defaults to about one per 200,000 rows (at least 256, at most 100,000), so a window
+    task holds a bounded number of rows and the offset table stays small at any input size.
     """
     key = "_ord"
     base = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
+    if buckets is None:
+        n = df.count()  # the input is already one row per (group, value)
+        buckets = int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, n // ROWS_PER_BUCKET)))
     splits = _splits(base, key, buckets)
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]

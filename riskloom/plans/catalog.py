@@ -400,7 +400,7 @@ def q_join_subset_aggregate(spark, d):
     bureau = fx(spark, d, "fx_bureau")
     base = fx(spark, d, "fx_application").select("SK_ID_CURR")
     out = J.join_subset_aggregate(base, bureau, "SK_ID_CURR", A.spec_features(bureau, SUBSET_SPEC), "ACTIVE_",
-                                  F.col("CREDIT_ACTIVE") == "Active")
+                                  "CREDIT_ACTIVE = 'Active'")
     return report(out)
 
 

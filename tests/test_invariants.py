@@ -40,7 +40,7 @@ def test_conditional_equals_filter_join(spark):  # J3 as oracle of the one-pass
             "AMT_CREDIT_SUM_DEBT": ["max", "mean", "sum"]}
     feats = spec_features(bureau, spec)
     base = bureau.select("SK_ID_CURR").distinct()
-    plain = join_subset_aggregate(base, bureau, "SK_ID_CURR", feats, "ACTIVE_", F.col("CREDIT_ACTIVE") == "Active")
+    plain = join_subset_aggregate(base, bureau, "SK_ID_CURR", feats, "ACTIVE_", "CREDIT_ACTIVE = 'Active'")
     one = B.bureau_block(bureau, load_fixture(spark, SF_SMALL, "fx_bureau_balance")).select(
         "SK_ID_CURR", *[c for c in plain.columns if c != "SK_ID_CURR"])
     a = {r.SK_ID_CURR: r for r in plain.collect()}

@@ -40,7 +40,7 @@ def test_subset_block_null_when_absent(spark):  # T14
     df = spark.createDataFrame([(1, "Active", 2.0), (1, "Closed", 3.0), (2, "Closed", 4.0), (3, "Active", None)],
                                "k int, s string, v double")
     feats = spec_features(df, {"v": ["sum", "size", "mean"]})
-    sub = Subset("A_", F.col("s") == "Active", tuple(feats))
+    sub = Subset("A_", "s = 'Active'", tuple(feats))
     out = {r.k: r for r in aggregate_block(df, "k", feats, "B_", [sub]).collect()}
     assert out[2].A_v_SUM is None and out[2].A_v_SIZE is None  # no Active row: whole subset NULL
     assert out[3].A_v_SUM == 0 and out[3].A_v_SIZE == 1  # Active rows, all values NULL: sum 0
