@@ -54,14 +54,24 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("col_i", "col_j", "corr", F.abs("corr").alias("abs_corr"), "n")
 
 
-def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+MAX_MOMENT_PARTITIONS = 2000
+
+
+def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str],
+                             max_partitions: int = MAX_MOMENT_PARTITIONS) -> DataFrame:
     """C1 (hundreds of columns): same output as ``correlation_pairs`` from partition-wise moments.
 
-    Values are centred on the global means (one aggregation) so the moment sums stay well conditioned.
+    Two passes over the input (materialise it first, e.g. with ``build_or_load``): one JVM aggregation
+    for the global means (p numbers to the driver), then one ``mapInPandas`` pass centring on them,
+    so the moment sums stay well conditioned. Each task emits one row per pair; the input is coalesced
+    (no shuffle) to at most ``max_partitions`` tasks so the pair rows stay bounded by
+    max_partitions x p^2 / 2 whatever the row count.
     """
     cols = list(columns)
     p = len(cols)
     clean = df.select(*[_clean(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    if clean.rdd.getNumPartitions() > max_partitions:
+        clean = clean.coalesce(max_partitions)
     means_row = clean.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
     means = np.array([0.0 if means_row[i] is None else float(means_row[i]) for i in range(p)])
     iu, ju = np.triu_indices(p, k=1)

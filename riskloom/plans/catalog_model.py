@@ -24,7 +24,7 @@ from riskloom.streaming.score_stream import stream_score
 
 LABEL = "TARGET"
 ID = "SK_ID_CURR"
-MODEL_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1}
+MODEL_PARAMS = {"maxIter": 12, "maxDepth": 4, "stepSize": 0.1}
 _CACHE: dict = {}
 
 
@@ -78,7 +78,7 @@ def q_cross_validate_oof(spark, d):
     """M2: out-of-fold scores of a 3-fold stratified run (per-fold AUC and importances alongside)."""
     f = features(spark, d)
     feats = model_features(f)
-    oof, _, _ = M.cross_validate_oof(f, feats, LABEL, k=3, id_col=ID, seed=1001, maxIter=8, maxDepth=3, stepSize=0.1)
+    oof, _, _ = M.cross_validate_oof(f, feats, LABEL, k=3, id_col=ID, seed=1001, maxIter=5, maxDepth=3, stepSize=0.1)
     return report(oof)
 
 
