@@ -106,12 +106,35 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return names.join(counts, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
-def split_columns_by_cardinality(df: DataFrame, columns: Sequence[str] | None = None, max_categorical: int = 2,
-                                 exact: bool = True) -> DataFrame:
-    """(column, n_distinct, kind) with kind 'categorical' when at most ``max_categorical`` values."""
-    dc = distinct_counts(df, columns, exact)
-    return dc.select("column", "n_distinct",
-                     F.when(F.col("n_distinct") <= max_categorical, "categorical").otherwise("numeric").alias("kind"))
+def split_columns_by_cardinality(df: DataFrame, columns: Sequence[str] | None = None, max_categorical: int = 2) -> DataFrame:
+    """(column, kind): 'categorical' when the column has at most ``max_categorical`` distinct
+    non-NULL values, else 'numeric'. Exact and algebraic for the usual bound of 2 (binary columns):
+
+    1. one pass: min and max of every column;
+    2. one pass: per column, the number of values that are neither its min nor its max;
+    a column is binary (or constant, or empty) exactly when that number is 0. Three small aggregation
+    buffers per column, no per-value state. Other bounds use exact distinct counts.
+    """
+    cols = list(columns) if columns is not None else list(df.columns)
+    if max_categorical != 2:
+        dc = distinct_counts(df, cols)
+        return dc.select("column", F.when(F.col("n_distinct") <= max_categorical, "categorical")
+                         .otherwise("numeric").alias("kind"))
+    mm = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(_ref(c)).alias(f"mn{i}"), F.max(_ref(c)).alias(f"mx{i}"))]).first()
+    checks = []
+    for i, c in enumerate(cols):
+        lo, hi = mm[f"mn{i}"], mm[f"mx{i}"]
+        if lo is None:
+            checks.append(F.lit(0).alias(f"e{i}"))
+            continue
+        x = _ref(c)
+        valid = x.isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            valid = valid & ~F.isnan(x)
+        checks.append(F.count(F.when(valid & (x != F.lit(lo)) & (x != F.lit(hi)), 1)).alias(f"e{i}"))
+    extra = df.agg(*checks).first()
+    rows = [(c, "categorical" if extra[f"e{i}"] == 0 else "numeric") for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, kind string")
 
 
 def sparse_column_report(df: DataFrame, min_fill: float, columns: Sequence[str] | None = None) -> DataFrame:

@@ -264,8 +264,8 @@ APP_OUT = [c for c, _ in APP_COLS]
 
 def _distinct_sql(table: str, cols: list[str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(DISTINCT {q(c)}) AS n_distinct, "
-        f"CASE WHEN count(DISTINCT {q(c)}) <= 2 THEN 'categorical' ELSE 'numeric' END AS kind FROM {table}" for c in cols)
+        f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {q(c)}) <= 2 THEN 'categorical' ELSE 'numeric' END AS kind "
+        f"FROM {table}" for c in cols)
 
 
 @register("split_columns_by_cardinality", sql(["fx_application"], _distinct_sql("app", APP_OUT), APP_CTE))

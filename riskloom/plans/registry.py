@@ -89,8 +89,3 @@ def q_installments_block(spark: SparkSession, d: str) -> DataFrame:
 @register("credit_card_block", _sql(["fx_credit_card"], O.credit_card_sql(), ["SK_ID_CURR"]))
 def q_credit_card_block(spark: SparkSession, d: str) -> DataFrame:
     return report(B.credit_card_block(load_fixture(spark, d, "fx_credit_card")))
-
-
-# The operator catalogue registers itself on import (after ``register`` exists).
-from riskloom.plans import catalog  # noqa: E402,F401
-from riskloom.plans import catalog_model  # noqa: E402,F401
