@@ -183,7 +183,8 @@ def bureau_balance_block(bb: DataFrame, vocab: Vocab | None = None, null_categor
 
 def bureau_with_balance(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None = None,
                         null_category: bool = True) -> tuple[DataFrame, list[str]]:
-    """Bureau rows with their balance aggregate (left join on the credit id), credit id dropped."""
+    """Bureau rows with their balance aggregate (left join on the credit id), credit id dropped.
+    ``vocab`` is the balance table's vocabulary."""
     bb_agg = bureau_balance_block(bb, vocab, null_category)
     bb_share_cols = [c for c in bb_agg.columns if c.endswith("_MEAN")]
     joined = bureau.join(bb_agg, BUREAU_ID, "left").drop(BUREAU_ID)
@@ -191,9 +192,10 @@ def bureau_with_balance(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None =
 
 
 def bureau_block(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None = None, null_category: bool = True,
-                 subsets: bool = True) -> DataFrame:
-    """A3 + A4 + A5: client aggregates of bureau credits and of their monthly balances."""
-    joined, bb_share_cols = bureau_with_balance(bureau, bb, vocab, null_category)
+                 subsets: bool = True, balance_vocab: Vocab | None = None) -> DataFrame:
+    """A3 + A4 + A5: client aggregates of bureau credits and of their monthly balances.
+    ``vocab`` is the bureau table's vocabulary, ``balance_vocab`` the balance table's."""
+    joined, bb_share_cols = bureau_with_balance(bureau, bb, balance_vocab, null_category)
     num = spec_features(joined, BUREAU_NUM_SPEC)
     shares = _shares(bureau, [CLIENT, BUREAU_ID], vocab, null_category)
     feats = num + shares + [Feature(c, sql_ref(c), ("mean",)) for c in bb_share_cols]
