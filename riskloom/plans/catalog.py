@@ -262,6 +262,25 @@ def q_select_features(spark, d):
 APP_OUT = [c for c, _ in APP_COLS]
 
 
+@register("flatten_agg_names", sql(["fx_bureau", "fx_bureau_balance"],
+          f"SELECT column_name AS name FROM (DESCRIBE {O.bureau_sql()[0]}) WHERE column_name <> 'SK_ID_CURR'"))
+def q_flatten_agg_names(spark, d):
+    """P10: the flattened ``<PREFIX><column>_<FUNC>`` names of the bureau block (its categories come
+    from the data)."""
+    blk = B.bureau_block(fx(spark, d, "fx_bureau"), fx(spark, d, "fx_bureau_balance"))
+    return spark.createDataFrame([(c,) for c in blk.columns if c != "SK_ID_CURR"], "name string")
+
+
+@register("split_columns_by_type", sql(["fx_previous_application"],
+          "SELECT column_name AS \"column\", column_type = 'VARCHAR' AS is_string "
+          "FROM (DESCRIBE SELECT * FROM fx_previous_application)"))
+def q_split_columns_by_type(spark, d):
+    """String (categorical) versus other columns of a table, from its schema."""
+    t = fx(spark, d, "fx_previous_application")
+    strings, _ = P.split_columns_by_type(t)
+    return spark.createDataFrame([(c, c in strings) for c in t.columns], "column string, is_string boolean")
+
+
 def _distinct_sql(table: str, cols: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {q(c)}) <= 2 THEN 'categorical' ELSE 'numeric' END AS kind "

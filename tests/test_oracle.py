@@ -47,3 +47,19 @@ def test_entry_smoke(spark):
 
 def test_every_sql_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_report_rounding_bit_equal(spark, duck):
+    """The 30-bit report rounding gives the same doubles in Spark and in DuckDB."""
+    import numpy as np
+
+    from riskloom.functions.report import report, round_sig_sql
+
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(0, 1, 300) * 10.0 ** rng.integers(-8, 12, 300), [0.0, -0.0, 1.0, 0.5, 1e-300]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "i long, x double")
+    got = {r.i: r.x for r in report(df).collect()}
+    rows = ", ".join(f"({i}, CAST('{float(v)!r}' AS DOUBLE))" for i, v in enumerate(vals))
+    want = dict(duck.sql(f"SELECT i, {round_sig_sql('x')} FROM (VALUES {rows}) t(i, x)").fetchall())
+    assert all(got[i] == want[i] for i in got)
+    assert all(abs(got[i] - v) <= abs(v) * 2.0 ** -29 for i, v in enumerate(vals))
