@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.clean import drop_null_rows, drop_sparse_columns
@@ -48,9 +48,10 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), _ref(c).cast("double").alias("value")) for c in columns])).alias("p")
     ).select("p.*").where(F.col("value").isNotNull())
     counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-    # one window task per column over its distinct values
-    return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # largest count, then smallest value: an algebraic max over (n, -value), partial per task, so a
+    # column with many distinct values never lands in one task
+    best = counts.groupBy("column").agg(F.max(F.struct(F.col("n"), (-F.col("value")).alias("neg"))).alias("m"))
+    return best.select("column", (-F.col("m.neg")).alias("value"), F.col("m.n").alias("n"))
 
 
 def impute_simple(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "mean",
