@@ -41,7 +41,7 @@ def split_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, d: str):
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)  # a new context never reuses a cached model
     if key not in _CACHE:
         s = split_features(spark, d)
         feats = model_features(s.drop("is_test", "is_valid"))
