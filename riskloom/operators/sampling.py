@@ -22,8 +22,13 @@ def with_hash(df: DataFrame, id_col: str, seed: int = 0, name: str = H) -> DataF
     return df.withColumn(name, parity_hash(id_col, seed))
 
 
-def sample_fraction(df: DataFrame, fraction: float, id_col: str = "SK_ID_CURR", seed: int = 0) -> DataFrame:
-    """G1: keep a row when its hash falls below ``fraction`` of the hash range (Bernoulli by id)."""
+def sample_fraction(df: DataFrame, fraction: float, id_col: str = "SK_ID_CURR", seed: int = 0,
+                    method: str = "hash") -> DataFrame:
+    """G1: Bernoulli sample of rows. ``hash``: keep a row when its id's hash falls below ``fraction`` of
+    the hash range (same rows on any cluster, in SQL too, and after a retry); ``bernoulli``: Spark's
+    per-partition sampler (seeded, but tied to the partitioning of the input)."""
+    if method == "bernoulli":
+        return df.sample(withReplacement=False, fraction=fraction, seed=seed)
     cut = int(fraction * HASH_MOD)
     return df.where(parity_hash(id_col, seed) < F.lit(cut))
 

@@ -43,7 +43,9 @@ def split_features(spark: SparkSession, d: str) -> DataFrame:
 def trained(spark: SparkSession, d: str):
     key = (spark.sparkContext.applicationId, d)  # a new context never reuses a cached model
     if key not in _CACHE:
-        s = split_features(spark, d)
+        # read by the weight count, the imputer fit, the trees and the scoring queries: keep it cached
+        # (recomputable from lineage if an executor is lost)
+        s = split_features(spark, d).persist()
         feats = model_features(s.drop("is_test", "is_valid"))
         train = s.where(~F.col("is_test"))
         w = M.class_weight(train, LABEL)
