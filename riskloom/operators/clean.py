@@ -120,7 +120,12 @@ def split_columns_by_cardinality(df: DataFrame, columns: Sequence[str] | None =
         dc = distinct_counts(df, cols)
         return dc.select("column", F.when(F.col("n_distinct") <= max_categorical, "categorical")
                          .otherwise("numeric").alias("kind"))
-    mm = df.agg(*[x for i, c in enumerate(cols) for x in (F.min(_ref(c)).alias(f"mn{i}"), F.max(_ref(c)).alias(f"mx{i}"))]).first()
+    def _val(c: str):  # NaN sorts above every number in Spark and is not a value here (like NULL)
+        x = _ref(c)
+        return F.when(~F.isnan(x), x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x
+
+    mm = df.agg(*[x for i, c in enumerate(cols)
+                  for x in (F.min(_val(c)).alias(f"mn{i}"), F.max(_val(c)).alias(f"mx{i}"))]).first()
     checks = []
     for i, c in enumerate(cols):
         lo, hi = mm[f"mn{i}"], mm[f"mx{i}"]
