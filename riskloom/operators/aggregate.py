@@ -63,6 +63,15 @@ def sql_str(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def value_sql(df: DataFrame, col: str) -> str:
+    """A column as an aggregate input: NaN in a float column is a missing value (skipped like NULL),
+    infinity stays."""
+    r = sql_ref(col)
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        return f"nanvl({r}, CAST(NULL AS DOUBLE))"
+    return r
+
+
 def spec_features(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> list[Feature]:
     """Features for ``{column: [funcs]}``; columns the table lacks are skipped."""
     present = set(df.columns)
@@ -72,7 +81,7 @@ def spec_features(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> list[Feat
         if bad:
             raise ValueError(f"unknown aggregate(s) {bad} for {col}")
         if col in present:
-            out.append(Feature(col, sql_ref(col), tuple(funcs)))
+            out.append(Feature(col, value_sql(df, col), tuple(funcs)))
     return out
 
 

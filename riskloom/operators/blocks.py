@@ -23,6 +23,7 @@ from riskloom.operators.aggregate import (
     sql_ref,
     sql_str,
     string_columns,
+    value_sql,
 )
 
 CLIENT = "SK_ID_CURR"
@@ -198,7 +199,7 @@ def bureau_block(bureau: DataFrame, bb: DataFrame, vocab: Vocab | None = None, n
     joined, bb_share_cols = bureau_with_balance(bureau, bb, balance_vocab, null_category)
     num = spec_features(joined, BUREAU_NUM_SPEC)
     shares = _shares(bureau, [CLIENT, BUREAU_ID], vocab, null_category)
-    feats = num + shares + [Feature(c, sql_ref(c), ("mean",)) for c in bb_share_cols]
+    feats = num + shares + [Feature(c, value_sql(joined, c), ("mean",)) for c in bb_share_cols]
     subs = []
     if subsets:
         for name in ("active", "closed"):
@@ -267,7 +268,7 @@ def credit_card_block(cc: DataFrame, vocab: Vocab | None = None, null_category:
     """A10: min max mean sum var of every column, category indicators included (+ CC_COUNT)."""
     df = cc.drop(PREV_ID)
     cats = string_columns(df, [CLIENT])
-    num = [Feature(c, sql_ref(c), tuple(CREDIT_CARD_FUNCS)) for c in df.columns if c != CLIENT and c not in cats]
+    num = [Feature(c, value_sql(df, c), tuple(CREDIT_CARD_FUNCS)) for c in df.columns if c != CLIENT and c not in cats]
     feats = num + _shares(df, [CLIENT], vocab, null_category, CREDIT_CARD_FUNCS)
     return aggregate_block(df, CLIENT, feats, BLOCK_PREFIX["credit_card"], count_name="CC_COUNT")
 

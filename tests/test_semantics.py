@@ -119,3 +119,10 @@ def test_chi2_yates_and_anova(spark):  # T12, C3
     f, pval, eta = anova(g, "q", "g")
     assert math.isclose(f, 27.0) and math.isclose(eta, 54.0 / 60.0)
     assert math.isclose(pval, 0.001, rel_tol=0.05)
+
+
+def test_nan_input_is_missing(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, float("nan")), (1, 5.0)], "k int, v double")
+    feats = spec_features(df, {"v": ["max", "mean", "size"]})
+    r = aggregate_block(df, "k", feats, "").first()
+    assert r.v_MAX == 5.0 and r.v_MEAN == 3.5 and r.v_SIZE == 3
