@@ -48,3 +48,13 @@ def test_build_or_load_builds_once(spark):
     assert build_or_load(spark, path, build).count() == 10
     assert build_or_load(spark, path, build).count() == 10
     assert len(calls) == 1
+
+
+def test_sampling_methods(spark):
+    from riskloom.operators.sampling import sample_fraction
+
+    df = spark.range(0, 20000).withColumnRenamed("id", "SK_ID_CURR")
+    h = sample_fraction(df, 0.2, seed=1).count()
+    b = sample_fraction(df, 0.2, seed=1, method="bernoulli").count()
+    assert abs(h - 4000) < 300 and abs(b - 4000) < 300
+    assert sample_fraction(df, 0.2, seed=1).count() == h  # hash form: same rows every run
