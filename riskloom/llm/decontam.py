@@ -53,7 +53,7 @@ def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width
     """(item_id, q, width, h, slots, values, windows): windows with enough literal words; short items are one window."""
     items = (benchmark.select(F.col(item_column).alias("item_id"), raw_words(text_column).alias("raw")).where("size(raw) > 0").distinct()
              .withColumn("words", canonical("raw")).withColumn("width", F.least(F.lit(width), F.size("words"))))
-    cut = items.select("item_id", "raw", "words", "width", F.explode(F.expr("sequence(0, size(words) - width)")).alias("q"))
+    cut = items.select("item_id", "raw", "words", "width", F.explode_outer(F.expr("sequence(0, size(words) - width)")).alias("q"))
     cut = (cut.withColumn("own", F.expr("slice(words, q + 1, width)"))
            .withColumn("slots", F.expr("filter(sequence(0, width - 1), k -> own[k] IN ('<name>', '<unit>', '<num>'))"))
            .withColumn("values", F.expr("transform(slots, k -> raw[q + k])"))
@@ -78,7 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     words = narrow.select("doc_id", raw_words().alias("raw")).select("doc_id", canonical("raw").alias("words"))
     sizes = sorted(known) or [width]
     arrays = words.select("doc_id", *[F.expr(_hashes("words", w)).alias(f"w{w}") for w in sizes])
-    one = lambda w: arrays.select("doc_id", F.posexplode(f"w{w}").alias("pos", "h"), F.lit(w).alias("width"))
+    # an inner explode would infer a filter on the arrays, which is pushed below them and so computes them twice and more
+    one = lambda w: arrays.select("doc_id", F.posexplode_outer(f"w{w}").alias("pos", "h"), F.lit(w).alias("width"))
     spread = one(sizes[0])
     for w in sizes[1:]:
         spread = spread.unionByName(one(w))
@@ -90,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     again = narrow.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_words().alias("raw"))
     pairs = (slotted.join(again, "doc_id")
              .select("doc_id", "item_id", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))
-             .select("doc_id", "item_id", "shift", F.explode("pair").alias("pair")))
+             .select("doc_id", "item_id", "shift", F.explode_outer("pair").alias("pair")))
     bad = (pairs.groupBy("doc_id", "item_id", "shift", "pair.old").agg((F.min("pair.new") != F.max("pair.new")).alias("odd"))
            .where("odd").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("shift").alias("s"), "odd").distinct())
     told = aligned.join(bad, F.expr("doc_id <=> d AND item_id <=> i AND shift = s"), "left")
@@ -123,8 +124,9 @@ items AS MATERIALIZED (SELECT item_id, q, width, array_to_string(own, ' ') AS h,
 dw AS MATERIALIZED (SELECT doc_id, {_SQL_WORDS} AS raw FROM documents),
 dc AS (SELECT doc_id, raw, {_SQL_CANON} AS words FROM dw),
 sizes AS (SELECT DISTINCT width FROM items),
-dx AS (SELECT doc_id, width, words, unnest(range(0, len(words) - width + 1)) AS pos FROM dc, sizes WHERE len(words) >= width),
-dh AS MATERIALIZED (SELECT doc_id, pos, width, array_to_string(words[pos + 1 : pos + width], ' ') AS h FROM dx),
+dt AS MATERIALIZED (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM dc),
+dg AS (SELECT doc_id, pos - 1 AS pos, list(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING) AS own FROM dt),
+dh AS MATERIALIZED (SELECT doc_id, pos, width, array_to_string(own[1 : width], ' ') AS h FROM dg, sizes WHERE len(own) >= width),
 hits AS MATERIALIZED (SELECT doc_id, item_id, pos, q, pos - q AS shift, slots, old, windows FROM dh JOIN items USING (width, h)),
 pairs AS (SELECT doc_id, item_id, shift, old[k + 1] AS a, raw[pos + k + 1] AS b
   FROM (SELECT hits.*, unnest(slots) AS k FROM hits) JOIN dw USING (doc_id)),
