@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.textbytes import row_groups, string_buffers
 from riskloom.session import scratch_path
 
+Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 
 def text_or_empty(column: str = "text") -> Column:
     """The text, null counted as empty."""
@@ -55,3 +62,25 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Co
     ids = rows.groupBy("doc_id", "h").agg(F.max("y").alias("y")).orderBy("h", "doc_id").limit(bound).drop("h")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", text_or_empty().alias("text"), "y")
+
+
+def _feature_lists(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = string_buffers(batch.column(0))
+        for low, high in row_groups(offsets):
+            rows, found = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            cuts = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(low, high - low)], ["found", "y"])
+
+
+def gather(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, y) arrays of a bounded sample (text, y) on the driver."""
+    got = sample.select("text", "y").mapInArrow(partial(_feature_lists, features=features), "found array<int>, y int").toArrow()
+    if not got.num_rows:
+        return (np.zeros(0, np.int64),) * 3
+    lists = got["found"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    sizes = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy().astype(np.int64), got["y"].to_numpy().astype(np.int64)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold, labelled_sample, text_or_empty
-from riskloom.llm.textbytes import RangeHash, row_groups, runs, string_buffers
+from riskloom.llm.common import fold, gather, labelled_sample, text_or_empty
+from riskloom.llm.textbytes import RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
 
 SAMPLE = 8000
 BITS = 18
@@ -35,19 +35,6 @@ _END[48:58] = _END[65:91] = _END[97:123] = _END[128:] = 0
 _END[[33, 34, 39, 41, 44, 46, 58, 59, 63]] = 1
 
 
-def _bucket(values: np.ndarray, kind: int, bits: int) -> np.ndarray:
-    """Hash non-negative integers of a feature kind to ``bits`` bits."""
-    h = (values.astype(np.uint64) + np.uint64(kind << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def unique_pairs(rows: np.ndarray, features: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each (row, feature) once, by row."""
-    keys = np.unique((rows << bits) | features)
-    return keys >> bits, keys & ((1 << bits) - 1)
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs of the n-grams that occur."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -56,7 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     wide = data.astype(np.int64)
     grams = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
     whole = row[:-2] == row[2:]
-    found = [(row[:-2][whole], _bucket(grams[whole], 1, BITS))]
+    found = [(row[:-2][whole], bucket(grams[whole], 1, BITS))]
     start, end = runs(~_WHITE[data], offsets[:-1])
     if len(start):
         own = row[start]
@@ -70,11 +57,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         h = RangeHash(data)(start, end)
         again = np.append(False, (h[1:] == h[:-1]) & (own[1:] == own[:-1]))
         code = code * 2 + again
-        found.append((own, _bucket(code, 2, BITS)))
+        found.append((own, bucket(code, 2, BITS)))
         for n in (2, 3):
             same = own[: 1 - n] == own[n - 1 :]
             gram = sum(code[k : len(code) - n + 1 + k] << (12 * k) for k in range(n))
-            found.append((own[: 1 - n][same], _bucket(gram[same], 1 + n, BITS)))
+            found.append((own[: 1 - n][same], bucket(gram[same], 1 + n, BITS)))
     return unique_pairs(np.concatenate([r for r, _ in found]), np.concatenate([f for _, f in found]), BITS)
 
 
@@ -170,27 +157,11 @@ def fit_rows(rows: np.ndarray, found: np.ndarray, y: np.ndarray, cost: float = 1
     return Model(weights.astype(np.float32), bias, slope, shift)
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = string_buffers(batch.column(0))
-        for low, high in row_groups(offsets):
-            at = offsets[low : high + 1] - offsets[low]
-            rows, found = features(data[offsets[low] : offsets[high]], at)
-            cuts = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(low, high - low)], ["found", "y"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality",
         sample: int = SAMPLE) -> Model:
     """Model learnt from labelled rows outside the held-out fold."""
     rows = labelled_sample(labels, docs, label, fold(id_column, PARTS) == HELD_OUT, sample, id_column, text_column)
-    got = rows.select("text", "y").mapInArrow(_sample_features, "found array<int>, y int").toArrow().combine_chunks()
-    if not got.num_rows:
-        return fit_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    lists = got["found"].combine_chunks() if isinstance(got["found"], pa.ChunkedArray) else got["found"]
-    sizes = np.diff(lists.offsets.to_numpy())
-    return fit_rows(np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy().astype(np.int64), got["y"].to_numpy().astype(np.int64))
+    return fit_rows(*gather(rows, features))
 
 
 def _scores(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontam, exact_dedup, packing, quality, simhash
+from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,14 +41,27 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_toxicity": op1_weak_toxicity,
+    "op2_randomness_secrets": op2_randomness_secrets,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_pivots": op8_simhash_pivots,
+    "op9_warc_index": op9_warc_index,
+    "op10_license_rules": op10_license_rules,
 }
 ORACLE: dict[str, str] = {
     "op4_template_decontamination": decontam.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_warc_index": warc.SQL,
 }

@@ -94,5 +94,31 @@ def byte_table(pattern_bytes: bytes) -> np.ndarray:
     return out
 
 
+def bucket(values: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """Hash non-negative integers of a feature kind to ``bits`` bits."""
+    h = (values.astype(np.uint64) + np.uint64(kind << 56)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def unique_pairs(rows: np.ndarray, features: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, feature) once, by row."""
+    keys = np.unique((rows << bits) | features)
+    return keys >> bits, keys & ((1 << bits) - 1)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes with a line feed after each row, row starts): no pattern without line feeds can match over two rows."""
+    n = len(offsets) - 1
+    out = np.full(len(data) + n, 10, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    return out, offsets[:-1] + np.arange(n)
+
+
+def text_points(data: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte (length n + 1)."""
+    return np.append(0, np.cumsum((data & 0xC0) != 0x80))
