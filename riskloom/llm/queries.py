@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, toxicity, warc
+from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, token_order, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_toxicity": op1_weak_toxicity,
     "op2_randomness_secrets": op2_randomness_secrets,
+    "op3_training_order": op3_training_order,
     "op4_template_decontamination": op4_template_decontamination,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_exact_dedup": op6_exact_dedup,
