@@ -32,14 +32,3 @@ def feature_root_name(name: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(c, head, ""), tail, "")
 
 
-def feature_root_name_py(name: str) -> str:
-    """Driver-side twin of ``feature_root_name`` for metadata (column lists)."""
-    for p in BLOCK_PREFIXES:
-        if name.startswith(p + "_"):
-            name = name[len(p) + 1:]
-            break
-    for s in AGG_SUFFIXES:
-        if name.endswith("_" + s):
-            name = name[: -len(s) - 1]
-            break
-    return name

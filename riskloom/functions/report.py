@@ -25,13 +25,6 @@ def round_sig_spark_sql(ref: str) -> str:
     return f"CASE WHEN isnan({ref}) OR abs({ref}) >= 1.0E300D THEN {ref} ELSE ({ref} * {k}) - (({ref} * {k}) - {ref}) END"
 
 
-def round_sig(c: Column, bits: int = SIG_BITS) -> Column:
-    x = c.cast("double")
-    k = F.lit(_SPLIT)
-    keep = F.isnan(x) | (F.abs(x) >= F.lit(1.0e300))
-    return F.when(keep, x).otherwise((x * k) - ((x * k) - x))
-
-
 def round_sig_sql(expr: str, bits: int = SIG_BITS) -> str:
     """DuckDB text of the same rounding."""
     x = f"CAST({expr} AS DOUBLE)"

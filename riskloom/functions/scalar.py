@@ -20,10 +20,12 @@ INF = float("inf")
 # Fixed value: day offset used by the source data for "no date".
 DAYS_SENTINEL = 365243
 
-# Hash used for reproducible sampling, splits and folds, identical in Spark and SQL.
-HASH_MULT = 7919
-HASH_SEED_MULT = 104729
-HASH_MOD = 1000003
+# Row hashes for sampling, splits and folds: the leading 60 bits of an MD5, identical in Spark and SQL.
+HASH_BITS = 60
+HASH_MOD = 1 << HASH_BITS
+
+# Probabilities are clipped to [EPS, 1 - EPS] before a logarithm, so a confident wrong score costs much instead of nothing.
+LOG_LOSS_EPS = 1e-15
 
 # Risk bands of a default probability (lower bound inclusive).
 BAND_SUBSTANTIAL = 0.35
@@ -75,6 +77,12 @@ def nonfinite_to_null_all(df: DataFrame, exclude: Iterable[str] = ()) -> DataFra
     return df.selectExpr(*items)  # one call for the whole projection
 
 
+def missing(df: DataFrame, column: str) -> Column:
+    """True where a value is NULL, or NaN in a floating column: the one rule for "missing" outside the blocks."""
+    x = F.col(f"`{column}`")
+    return x.isNull() | F.isnan(x) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else x.isNull()
+
+
 def sentinel_to_null(c: Column | str, sentinel: float = DAYS_SENTINEL) -> Column:
     x = _c(c)
     return F.when(x != F.lit(sentinel), x)
@@ -87,13 +95,13 @@ def clip_at_zero(c: Column | str) -> Column:
 
 
 def parity_hash(id_col: Column | str, seed: int = 0) -> Column:
-    """Deterministic bucket in [0, HASH_MOD) for a non-negative bigint id; same formula in SQL."""
-    x = _c(id_col).cast("long")
-    return ((x * F.lit(HASH_MULT) + F.lit(seed * HASH_SEED_MULT)) % F.lit(HASH_MOD)).cast("long")
+    """Hash in [0, HASH_MOD) of an id of any type (NULL counts as the empty text); other seeds give independent hashes."""
+    text = F.concat(F.coalesce(_c(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def parity_hash_sql(id_expr: str, seed: int = 0) -> str:
-    return f"((CAST({id_expr} AS BIGINT) * {HASH_MULT} + {seed * HASH_SEED_MULT}) % {HASH_MOD})"
+    return f"CAST('0x' || substr(md5(coalesce(CAST({id_expr} AS VARCHAR), '') || ':{seed}'), 1, {HASH_BITS // 4}) AS BIGINT)"
 
 
 def risk_band(p: Column | str) -> Column:
@@ -106,8 +114,8 @@ def risk_band(p: Column | str) -> Column:
 
 
 def weighted_log_loss_term(y: Column | str, p: Column | str, w: float | Column = 1.0) -> Column:
-    """-(w * y * ln p + (1 - y) * ln(1 - p)) for one row; sum it for the loss."""
+    """-(w * y * ln p + (1 - y) * ln(1 - p)) for one row, p clipped; sum it for the loss."""
     yy = _c(y).cast("double")
-    pp = _c(p).cast("double")
+    pp = F.least(F.greatest(_c(p).cast("double"), F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
     ww = w if isinstance(w, Column) else F.lit(float(w))
     return -(ww * yy * F.ln(pp) + (F.lit(1.0) - yy) * F.ln(F.lit(1.0) - pp))

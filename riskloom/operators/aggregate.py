@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.naming import agg_name, dummy_name
+from riskloom.functions.scalar import missing
 
 FUNCS = ("min", "max", "mean", "sum", "var", "size", "nunique")
 
-VOCABULARY_CAP = 1000
-
 
 @dataclass(frozen=True)
 class Feature:
@@ -91,30 +90,18 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
 
 
-def discover_vocabulary(df: DataFrame, columns: Sequence[str], cap: int = VOCABULARY_CAP) -> dict[str, list[str]]:
-    """Sorted distinct non-NULL values per string column, in one job.
+def vocabulary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): the distinct non-NULL values of string columns, deduplicated map-side; nothing goes to the driver."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _ref(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
 
-    The distinct (column, value) pairs are deduplicated map-side; at most ``cap`` values per column
-    reach the driver, and a column above the cap raises instead of widening the row without bound.
-    """
-    if not columns:
-        return {}
-    pairs = (
-        df.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _ref(c).cast("string").alias("value")) for c in columns])).alias("p")
-        )
-        .select("p.name", "p.value")
-        .where(F.col("value").isNotNull())
-        .distinct()
-    )
-    limit = cap * len(columns) + 1
-    rows = pairs.limit(limit).collect()
+
+def discover_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct non-NULL values per string column, in one job: the names of a wide row's columns, which the driver needs as
+    schema. For columns whose values are no schema, use ``vocabulary_table`` and the long form of the shares."""
     vocab: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        vocab[r["name"]].append(r["value"])
-    over = [c for c, v in vocab.items() if len(v) > cap]
-    if over or len(rows) >= limit:
-        raise ValueError(f"categorical column(s) above {cap} distinct values: {over or 'several'}")
+    for r in vocabulary_table(df, columns).collect() if columns else []:
+        vocab[r["column"]].append(r["value"])
     return {c: sorted(v) for c, v in vocab.items()}
 
 
@@ -123,7 +110,9 @@ def category_features(
 ) -> list[Feature]:
     """Indicator of each value (0/1 int, NULL-safe), plus ``<col>_nan`` when asked."""
     c = sql_ref(column)
-    feats = [Feature(dummy_name(column, v), f"CAST(({c} <=> {sql_str(v)}) AS INT)", tuple(funcs)) for v in values]
+    # a text "nan" would get the name of the NULL indicator
+    name = lambda v: f"{column}_nan_text" if null_category and v == "nan" else dummy_name(column, v)
+    feats = [Feature(name(v), f"CAST(({c} <=> {sql_str(v)}) AS INT)", tuple(funcs)) for v in values]
     if null_category:
         feats.append(Feature(dummy_name(column, None), f"CAST(({c} IS NULL) AS INT)", tuple(funcs)))
     return feats
@@ -242,15 +231,13 @@ def contingency(df: DataFrame, x: str, y: str, total: str = "Total") -> DataFram
     )
 
 
-def fill_rate(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of non-NULL (and, for doubles, non-NaN) values per column, long form, one pass."""
-    cols = list(columns) if columns is not None else df.columns
-    aggs = [F.avg(_ref(c).isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {stack}) as (`column`, fill_rate)")
+def long_row(wide: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
+    """One row of results c0, c1, ... as (column, value) rows; the names may hold any character."""
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias(value)) for i, c in enumerate(columns)])
+    return wide.select(F.explode(items).alias("r")).select("r.*")
 
 
-def mean_prediction(df: DataFrame, label: str, prob: str) -> DataFrame:
-    """Mean label and mean probability."""
-    return df.agg(F.avg(_ref(label).cast("double")).alias("mean_label"), F.avg(_ref(prob)).alias("mean_probability"))
+def fill_rate(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Share of values per column that are neither NULL nor NaN, long form, one pass."""
+    cols = list(columns) if columns is not None else df.columns
+    return long_row(df.agg(*[F.avg((~missing(df, c)).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]), cols, "fill_rate")

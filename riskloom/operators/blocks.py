@@ -99,12 +99,20 @@ SUBSET_VALUES = {
     "approved": ("NAME_CONTRACT_STATUS", "Approved"), "refused": ("NAME_CONTRACT_STATUS", "Refused"),
 }
 
+APPLICATION_RATIOS = {
+    "DAYS_EMPLOYED_PERC": ("DAYS_EMPLOYED", "DAYS_BIRTH"),
+    "INCOME_CREDIT_PERC": ("AMT_INCOME_TOTAL", "AMT_CREDIT"),
+    "INCOME_PER_PERSON": ("AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
+    "ANNUITY_INCOME_PERC": ("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
+    "PAYMENT_RATE": ("AMT_ANNUITY", "AMT_CREDIT"),
+}
+
 Vocab = Mapping[str, Sequence[str]]
 
 # -----------------------------------------------------------------------------------------------
 
 
-def _vocab(df: DataFrame, columns: Sequence[str], vocab: Vocab | None) -> dict[str, list[str]]:
+def vocabulary_of(df: DataFrame, columns: Sequence[str], vocab: Vocab | None) -> dict[str, list[str]]:
     """Given vocabularies win; missing ones are discovered in one job."""
     given = dict(vocab or {})
     missing = [c for c in columns if c not in given]
@@ -116,7 +124,7 @@ def _vocab(df: DataFrame, columns: Sequence[str], vocab: Vocab | None) -> dict[s
 def _shares(df: DataFrame, exclude: Sequence[str], vocab: Vocab | None, null_category: bool,
             funcs: Sequence[str] = ("mean",)) -> list[Feature]:
     cats = string_columns(df, exclude)
-    voc = _vocab(df, cats, vocab)
+    voc = vocabulary_of(df, cats, vocab)
     feats: list[Feature] = []
     for c in cats:
         feats += category_features(c, voc[c], null_category, funcs)
@@ -136,7 +144,7 @@ def application_features(app: DataFrame, vocab: Vocab | None = None, null_catego
     df = app.where(~F.col(col).eqNullSafe(F.lit(bad))) if col in app.columns else app
     binaries = [c for c in APPLICATION_BINARY if c in df.columns]
     others = [c for c in string_columns(df) if c not in binaries]
-    voc = _vocab(df, binaries + others, vocab)
+    voc = vocabulary_of(df, binaries + others, vocab)
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -152,13 +160,7 @@ def application_features(app: DataFrame, vocab: Vocab | None = None, null_catego
         for feat in category_features(c, voc[c], null_category):
             out.append(F.expr(feat.expr).alias(feat.name))
     df = df.select(*out)
-    ratios = {
-        "DAYS_EMPLOYED_PERC": ("DAYS_EMPLOYED", "DAYS_BIRTH"),
-        "INCOME_CREDIT_PERC": ("AMT_INCOME_TOTAL", "AMT_CREDIT"),
-        "INCOME_PER_PERSON": ("AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
-        "ANNUITY_INCOME_PERC": ("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
-        "PAYMENT_RATE": ("AMT_ANNUITY", "AMT_CREDIT"),
-    }
+    ratios = APPLICATION_RATIOS
     extra = [nonfinite_to_null(safe_ratio(n, d)).alias(name) for name, (n, d) in ratios.items()
              if n in df.columns and d in df.columns]
     return df.select("*", *extra)
@@ -271,14 +273,3 @@ def credit_card_block(cc: DataFrame, vocab: Vocab | None = None, null_category:
     num = [Feature(c, value_sql(df, c), tuple(CREDIT_CARD_FUNCS)) for c in df.columns if c != CLIENT and c not in cats]
     feats = num + _shares(df, [CLIENT], vocab, null_category, CREDIT_CARD_FUNCS)
     return aggregate_block(df, CLIENT, feats, BLOCK_PREFIX["credit_card"], count_name="CC_COUNT")
-
-
-def block_columns(prefix: str, features: Sequence[Feature]) -> list[str]:
-    return [agg_name(prefix, f.name, fn) for f in features for fn in f.funcs]
-
-
-__all__ = [
-    "application_features", "factorize_expr", "bureau_balance_block", "bureau_with_balance", "bureau_block",
-    "previous_prepared", "previous_block", "pos_block", "installments_prepared", "installments_block",
-    "credit_card_block", "dummy_name",
-]

@@ -15,7 +15,7 @@ from riskloom.functions.scalar import (
     safe_ratio,
     sentinel_to_null,
 )
-from riskloom.operators.aggregate import fill_rate, string_columns
+from riskloom.operators.aggregate import fill_rate, long_row, string_columns
 
 ID_COLUMNS = ("SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV", "index")
 LABEL = "TARGET"
@@ -95,11 +95,14 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
     """
     cols = list(columns) if columns is not None else list(df.columns)
     if not exact:
-        wide = df.agg(*[F.approx_count_distinct(_ref(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-        stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(cols))
-        return wide.selectExpr(f"stack({len(cols)}, {stack}) as (`column`, n_distinct)")
+        return long_row(df.agg(*[F.approx_count_distinct(_ref(c)).alias(f"c{i}") for i, c in enumerate(cols)]), cols, "n_distinct")
+
+    def text(c: str):  # -0.0 + 0.0 is 0.0: the two zeros are one value
+        x = _ref(c)
+        return (x + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x).cast("string")
+
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _ref(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in cols
     ])).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
     counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
@@ -183,4 +186,5 @@ def transpose_client(df: DataFrame, id_col: str = "SK_ID_CURR", features: Sequen
     """(id, feature, value) rows for every client, values as double."""
     feats = list(features) if features is not None else [c for c in df.columns if c != id_col]
     wide = df.select(_ref(id_col), *[_ref(c).cast("double").alias(c) for c in feats])
-    return wide.unpivot([id_col], feats, "feature", "value")
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), _ref(c).alias("value")) for c in feats])
+    return wide.select(_ref(id_col), F.explode(items).alias("_r")).select(_ref(id_col), "_r.feature", "_r.value")

@@ -1,4 +1,4 @@
-"""Category encodings (E1-E3). Vocabularies come from one bounded job or are given."""
+"""Category encodings (E1-E3). A wide form's vocabulary is discovered in one job or given; the long form needs none."""
 
 from __future__ import annotations
 
@@ -7,16 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.aggregate import aggregate_block, category_features, discover_vocabulary, string_columns
-from riskloom.operators.blocks import factorize_expr
-
-
-def _vocab(df: DataFrame, columns: Sequence[str], vocab: Mapping[str, Sequence[str]] | None) -> dict[str, list[str]]:
-    given = dict(vocab or {})
-    missing = [c for c in columns if c not in given]
-    if missing:
-        given.update(discover_vocabulary(df, missing))
-    return {c: list(given[c]) for c in columns}
+from riskloom.operators.aggregate import aggregate_block, category_features, string_columns
+from riskloom.operators.blocks import factorize_expr, vocabulary_of
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, null_category: bool = True,
@@ -26,7 +18,7 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, null_category:
     The original column is replaced; returns the new frame and the new column names.
     """
     cats = list(columns) if columns is not None else string_columns(df)
-    voc = _vocab(df, cats, vocab)
+    voc = vocabulary_of(df, cats, vocab)
     keep = [F.col(f"`{c}`") for c in df.columns if c not in cats]
     new = []
     for c in cats:
@@ -38,7 +30,7 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, null_category:
 
 def factorize(df: DataFrame, columns: Sequence[str], vocab: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Integer code by sorted value (NULL = -1), in place."""
-    voc = _vocab(df, columns, vocab)
+    voc = vocabulary_of(df, columns, vocab)
     cols = set(columns)
     return df.select(*[factorize_expr(c, voc[c]).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
@@ -46,6 +38,20 @@ def factorize(df: DataFrame, columns: Sequence[str], vocab: Mapping[str, Sequenc
 def category_share(df: DataFrame, key: str, columns: Sequence[str], null_category: bool = True,
                    vocab: Mapping[str, Sequence[str]] | None = None, prefix: str = "") -> DataFrame:
     """Share of each value per key (mean of the indicator), without materialising dummies."""
-    voc = _vocab(df, columns, vocab)
+    voc = vocabulary_of(df, columns, vocab)
     feats = [f for c in columns for f in category_features(c, voc[c], null_category)]
     return aggregate_block(df, key, feats, prefix)
+
+
+def category_share_long(df: DataFrame, key: str, columns: Sequence[str], null_category: bool = True) -> DataFrame:
+    """E3 in long form (key, column, value, share), for any number of values: only shares above 0, value NULL for missing.
+
+    Counts per (key, column, value) are summed map-side; each meets its key's row count in one join.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    rows = df.select(F.col(f"`{key}`"), F.explode(pairs).alias("p")).select(key, "p.column", "p.value")
+    if not null_category:
+        rows = rows.where(F.col("value").isNotNull())
+    total = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(key, "_key")
+    counts = rows.groupBy(key, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.join(total, F.col(key).eqNullSafe(F.col("_key"))).select(key, "column", "value", (F.col("_c") / F.col("_n")).alias("share"))

@@ -2,7 +2,7 @@
 
 ``tree_attribution`` computes interventional Shapley values of a Spark gradient-boosted tree model
 against a background sample: the node structure is read from the fitted model (small: trees x nodes), the
-background rows are a bounded hash sample, both are broadcast, and the rows to explain stay
+background rows are the caller's hash sample, both are sent to every task, and the rows to explain stay
 partitioned in ``mapInPandas`` batches. For one (row, background) pair and one leaf, only the features
 on which the two rows go different ways on the leaf's path matter; with a = features that must come
 from the row and b = features that must come from the background, each of the a features gets
@@ -44,11 +44,11 @@ def linear_attribution(values_long: DataFrame, id_col: str = "SK_ID_CURR", featu
     """Exact Shapley values of the standardised linear scorer sum_f (x_f - mean_f) / std_f.
 
     For a linear model the interventional values are w_f (x_f - E x_f); with w_f = 1 / std_f they need
-    only per-feature moments (one row per feature, broadcast). Used as a reference attribution table
+    only per-feature moments (one row per feature). Used as a reference attribution table
     with a closed form, and to check tree attributions' table plumbing.
     """
     stats = values_long.groupBy(feature).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    j = values_long.join(F.broadcast(stats), feature, "inner")  # one row per feature
+    j = values_long.join(stats, feature, "inner")  # one row per feature
     phi = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))
     return j.select(id_col, feature, phi.alias("phi")).where(F.col("phi").isNotNull())
 
@@ -73,6 +73,8 @@ def _tree_tables(model):
                 leaves.append((float(node.prediction()), bounds))
                 continue
             split = node.split()
+            if split.getClass().getSimpleName() != "ContinuousSplit":
+                raise ValueError("category splits are not handled; train on numbers")
             j = int(split.featureIndex())
             thr = float(split.threshold())
             lo, hi = bounds.get(j, (-math.inf, math.inf))
@@ -98,40 +100,12 @@ def _predict_margin(x: np.ndarray, trees, weights) -> np.ndarray:
 
 
 def _shap_batch(x: np.ndarray, bg: np.ndarray, trees, weights) -> np.ndarray:
-    """phi (rows x features) in probability units, averaged over the background rows."""
+    """phi (rows x features) in probability units, averaged over the background rows.
+
+    Leaf by leaf: a leaf touches only the few features of its path, so what is held at once is rows x background x path length.
+    """
     r, p = x.shape
-    b = bg.shape[0]
-    phi = np.zeros((r, b, p))
-    fact = [math.factorial(i) for i in range(p + 2)]
-    for leaves, w in zip(trees, weights):
-        for v, bounds in leaves:
-            feats = list(bounds.items())
-            ax = np.stack([(x[:, j] > lo) & (x[:, j] <= hi) for j, (lo, hi) in feats], axis=1)  # r x d
-            az = np.stack([(bg[:, j] > lo) & (bg[:, j] <= hi) for j, (lo, hi) in feats], axis=1)  # b x d
-            axx = ax[:, None, :]
-            azz = az[None, :, :]
-            reach = np.all(axx | azz, axis=2)  # r x b
-            from_x = axx & ~azz
-            from_z = ~axx & azz
-            a = from_x.sum(axis=2)
-            c = from_z.sum(axis=2)
-            n = a + c
-            val = w * v
-            wx = np.zeros_like(n, dtype=float)
-            wz = np.zeros_like(n, dtype=float)
-            for aa in range(0, len(feats) + 1):
-                for cc in range(0, len(feats) + 1 - aa):
-                    if aa + cc == 0:
-                        continue
-                    sel = (a == aa) & (c == cc) & reach
-                    if not sel.any():
-                        continue
-                    if aa > 0:
-                        wx[sel] = fact[aa - 1] * fact[cc] / fact[aa + cc]
-                    if cc > 0:
-                        wz[sel] = fact[aa] * fact[cc - 1] / fact[aa + cc]
-            for k, (j, _) in enumerate(feats):
-                phi[:, :, j] += val * (from_x[:, :, k] * wx - from_z[:, :, k] * wz) * reach
+    phi = np.zeros((r, p))
     fx = _predict_margin(x, trees, weights)
     fz = _predict_margin(bg, trees, weights)
     px = 1.0 / (1.0 + np.exp(-2.0 * fx))
@@ -139,23 +113,46 @@ def _shap_batch(x: np.ndarray, bg: np.ndarray, trees, weights) -> np.ndarray:
     dF = fx[:, None] - fz[None, :]
     dP = px[:, None] - pz[None, :]
     deriv = 2.0 * px[:, None] * (1 - px[:, None])
-    scale = np.where(np.abs(dF) > 1e-12, dP / np.where(np.abs(dF) > 1e-12, dF, 1.0), deriv)
-    return (phi * scale[:, :, None]).mean(axis=1)
+    scale = np.where(np.abs(dF) > 1e-12, dP / np.where(np.abs(dF) > 1e-12, dF, 1.0), deriv) / len(bg)
+    for leaves, w in zip(trees, weights):
+        for v, bounds in leaves:
+            d = len(bounds)
+            # weight of one feature when a come from the row and c from the background
+            of_x, of_z = np.zeros((d + 1, d + 1)), np.zeros((d + 1, d + 1))
+            for a in range(d + 1):
+                for c in range(d + 1 - a):
+                    if a:
+                        of_x[a, c] = math.factorial(a - 1) * math.factorial(c) / math.factorial(a + c)
+                    if c:
+                        of_z[a, c] = math.factorial(a) * math.factorial(c - 1) / math.factorial(a + c)
+            ax = [(x[:, j] > lo) & (x[:, j] <= hi) for j, (lo, hi) in bounds.items()]
+            az = [(bg[:, j] > lo) & (bg[:, j] <= hi) for j, (lo, hi) in bounds.items()]
+            reach = np.ones((r, len(bg)), bool)
+            a, c = np.zeros((r, len(bg)), np.int8), np.zeros((r, len(bg)), np.int8)
+            for m, k in zip(ax, az):
+                reach &= m[:, None] | k[None, :]
+                a += m[:, None] & ~k[None, :]
+                c += ~m[:, None] & k[None, :]
+            base = np.where(reach, w * v * scale, 0.0)
+            wx, wz = base * of_x[a, np.minimum(c, d - a)], base * of_z[np.minimum(a, d - c), c]
+            for m, k, j in zip(ax, az, bounds):
+                phi[:, j] += (wx * (m[:, None] & ~k[None, :])).sum(axis=1) - (wz * (~m[:, None] & k[None, :])).sum(axis=1)
+    return phi
 
 
 def tree_attribution(model, rows: DataFrame, background: DataFrame, features: Sequence[str],
-                     id_col: str = "SK_ID_CURR", max_background: int = 1000) -> DataFrame:
+                     id_col: str = "SK_ID_CURR", names: Sequence[str] | None = None) -> DataFrame:
     """Long table (id, feature, phi) for a fitted ``GBTClassificationModel`` on ``features``.
 
-    ``background`` must be small (at most ``max_background`` rows, checked); it and the trees are
-    broadcast. Missing values are filled with 0 here as they are before the model.
+    ``background`` is the sample the caller draws (the source takes 10,000 rows); it and the trees are sent to every task. Rows
+    and background must be complete: impute as the model does first, a missing value is an error. ``names`` replaces the feature
+    names in the result.
     """
     feats = list(features)
-    bg_rows = background.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in feats]).limit(
-        max_background + 1).collect()
-    if len(bg_rows) > max_background:
-        raise ValueError(f"background above {max_background} rows")
-    bg = np.array([[float(v) for v in r] for r in bg_rows], dtype=float)
+    shown = np.array(list(names) if names is not None else feats, dtype=object)
+    bg = background.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(feats)]).toPandas().to_numpy(dtype=float)
+    if np.isnan(bg).any():
+        raise ValueError("the background has missing values")
     trees, weights = _tree_tables(model)
     sc = rows.sparkSession.sparkContext
     b_bg, b_trees, b_w = sc.broadcast(bg), sc.broadcast(trees), sc.broadcast(weights)
@@ -164,15 +161,16 @@ def tree_attribution(model, rows: DataFrame, background: DataFrame, features: Se
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = pdf[feats].to_numpy(dtype=float)
-            # rows x background x features floats per chunk: keep chunks small
+            x = pdf.iloc[:, 1:].to_numpy(dtype=float)
+            if np.isnan(x).any():
+                raise ValueError("a row to explain has missing values")
             phi = np.concatenate([_shap_batch(x[i:i + CHUNK_ROWS], b_bg.value, b_trees.value, b_w.value)
                                   for i in range(0, len(x), CHUNK_ROWS)])
             ids = np.repeat(pdf[id_col].to_numpy(), len(feats))
-            yield pd.DataFrame({id_col: ids, "feature": np.tile(np.array(feats, dtype=object), len(pdf)),
+            yield pd.DataFrame({id_col: ids, "feature": np.tile(shown, len(pdf)),
                                 "phi": phi.reshape(-1)})
 
-    src = rows.select(F.col(id_col), *[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) for f in feats])
+    src = rows.select(F.col(id_col), *[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(feats)])
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("feature", T.StringType()),
                            T.StructField("phi", T.DoubleType())])
     return src.mapInPandas(run, schema)

@@ -1,9 +1,8 @@
-"""Imputation.
+"""Imputation (I1-I3). A NaN is a missing value like NULL.
 
 Simple strategies are one aggregation for the fill values plus one projection. The iterative strategy
-regresses each incomplete column on the others for a few rounds with Spark ML; each round's result is
-checkpointed into the shared checkpoint folder so the lineage stays short and a lost executor only
-recomputes the current round.
+regresses each incomplete column on the others for a few rounds with Spark ML; each fitted column's result is
+written in the shared folder, so the lineage stays short and a lost executor only recomputes the current column.
 """
 
 from __future__ import annotations
@@ -15,8 +14,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.scalar import missing
 from riskloom.operators.clean import drop_null_rows, drop_sparse_columns
-from riskloom.session import checkpoint_dir
+from riskloom.operators.profile import box_stats
+from riskloom.session import written
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -25,29 +26,35 @@ def _ref(c: str):
     return F.col(f"`{c}`")
 
 
+def _value(df: DataFrame, c: str):
+    return F.when(~missing(df, c), _ref(c))
+
+
 def fill_values(df: DataFrame, columns: Sequence[str], strategy: str = "mean", fill_value: float = 0.0) -> dict:
-    """Fill value per column. mean: exact average; median: ``percentile_approx`` (bounded memory);
+    """Fill value per column. mean: exact average; median: exact, from one histogram of all columns;
     most_frequent: the most common value, smallest on ties (one aggregation over (column, value))."""
     cols = list(columns)
     if strategy == "constant":
         return {c: fill_value for c in cols}
     if strategy == "mean":
-        r = df.agg(*[F.avg(_ref(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+        r = df.agg(*[F.avg(_value(df, c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
         return {c: r[f"c{i}"] for i, c in enumerate(cols)}
     if strategy == "median":
-        r = df.agg(*[F.percentile_approx(_ref(c), 0.5, 10000).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-        return {c: r[f"c{i}"] for i, c in enumerate(cols)}
+        return {r["column"]: r["median"] for r in box_stats(_long(df, cols), "value", ["column"]).collect()}
     if strategy == "most_frequent":
         return {r["column"]: r["value"] for r in most_frequent(df, cols).collect()}
     raise ValueError(f"strategy must be one of {STRATEGIES}")
 
 
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) rows of the values that are there."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _value(df, c).cast("double").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull())
+
+
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n): the modal non-NULL value of each column (ties: smallest value)."""
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _ref(c).cast("double").alias("value")) for c in columns])).alias("p")
-    ).select("p.*").where(F.col("value").isNotNull())
-    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n): the modal value of each column (ties: smallest value)."""
+    counts = _long(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     # largest count, then smallest value: an algebraic max over (n, -value), partial per task, so a
     # column with many distinct values never lands in one task
     best = counts.groupBy("column").agg(F.max(F.struct(F.col("n"), (-F.col("value")).alias("neg"))).alias("m"))
@@ -56,35 +63,46 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_simple(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "mean",
                   fill_value: float = 0.0) -> DataFrame:
-    """Replace NULL in the numeric columns by the per-column fill value."""
+    """Replace missing values in the numeric columns by the per-column fill value.
+
+    Mean and median make an integer column a double; the other strategies keep its type. A column without any value stays NULL.
+    """
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")]
     vals = fill_values(df, cols, strategy, fill_value)
-    return df.select(*[F.coalesce(_ref(c), F.lit(vals[c]).cast(df.schema[c].dataType)).alias(c)
-                       if c in vals and vals[c] is not None else _ref(c) for c in df.columns])
+
+    def filled(c: str):
+        if c not in cols:
+            return _ref(c)
+        whole = df.schema[c].dataType.typeName() in ("integer", "long")
+        kind = "double" if whole and strategy in ("mean", "median") else df.schema[c].dataType.simpleString()
+        return F.coalesce(_value(df, c).cast(kind), F.lit(vals.get(c)).cast(kind)).alias(c)
+
+    return df.select(*[filled(c) for c in df.columns])
 
 
 def impute_iterative(df: DataFrame, columns: Sequence[str], rounds: int = 3, id_col: str = "SK_ID_CURR",
                      reg_param: float = 0.0) -> DataFrame:
     """Start from the means, then per round fit each incomplete column on the other columns (rows
-    where it is observed) and replace its missing values by the prediction."""
+    where it is observed) and replace its missing values by the prediction. Complete columns are only regressors."""
     cols = list(columns)
-    checkpoint_dir(df.sparkSession)
-    missing = {c: F.col(f"_m_{c}") for c in cols}
-    cur = df.select("*", *[_ref(c).isNull().alias(f"_m_{c}") for c in cols])
-    cur = impute_simple(cur, cols, "mean")
+    x = {c: f"_x{i}" for i, c in enumerate(cols)}  # plain names: the originals may hold dots
+    gaps = df.agg(*[F.max(missing(df, c)).alias(x[c]) for c in cols]).first()
+    incomplete = [c for c in cols if gaps[x[c]]]
+    filled = impute_simple(df.select("*", *[missing(df, c).alias(f"_m{x[c]}") for c in incomplete]), cols, "mean")
+    others = [_ref(c) for c in filled.columns if c not in cols]
+    cur = written(filled.select(*others, *[_ref(c).cast("double").alias(x[c]) for c in cols]), "imputed")
     for _ in range(rounds):
-        for c in cols:
-            others = [o for o in cols if o != c]
-            if not others:
+        for c in incomplete:
+            rest = [x[o] for o in cols if o != c]
+            if not rest:
                 continue
-            va = VectorAssembler(inputCols=others, outputCol="_x", handleInvalid="keep")
-            train = va.transform(cur.where(~missing[c]))
-            model = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_p", regParam=reg_param).fit(train)
+            va = VectorAssembler(inputCols=rest, outputCol="_features", handleInvalid="keep")
+            gap = F.col(f"_m{x[c]}")
+            model = LinearRegression(featuresCol="_features", labelCol=x[c], predictionCol="_p", regParam=reg_param).fit(va.transform(cur.where(~gap)))
             scored = model.transform(va.transform(cur))
-            cur = scored.withColumn(c, F.when(missing[c], F.col("_p")).otherwise(_ref(c))).drop("_x", "_p")
-        cur = cur.checkpoint(eager=True)
-    return cur.drop(*[f"_m_{c}" for c in cols])
+            cur = written(scored.withColumn(x[c], F.when(gap, F.col("_p")).otherwise(F.col(x[c]))).drop("_features", "_p"), "imputed")
+    return cur.select(*[F.col(x[c]).alias(c) if c in x else _ref(c) for c in df.columns])
 
 
 def cleanup(df: DataFrame, min_fill: float, impute: bool = False, strategy: str = "mean") -> DataFrame:

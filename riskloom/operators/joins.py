@@ -2,8 +2,7 @@
 
 Every feature block is unique on the client key, so the block joins are left equi-joins without
 fan-out; the blocks come out of their aggregation hash-partitioned on the key, so the joins reuse that
-partitioning. Small sides are broadcast only after their row count has been checked; beyond the bound
-the join falls back to a shuffle join (and AQE may still switch at run time).
+partitioning. No side is broadcast by hand: the planner does so for sides it has measured.
 """
 
 from __future__ import annotations
@@ -17,16 +16,6 @@ from riskloom.operators.aggregate import Feature, aggregate_block
 
 CLIENT = "SK_ID_CURR"
 
-# Broadcast bound for lookup tables (rows).
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged (shuffle join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def join_feature_blocks(base: DataFrame, blocks: Sequence[DataFrame], key: str = CLIENT) -> DataFrame:
     """Left-join each per-client block onto the base table."""
     out = base
@@ -35,12 +24,6 @@ def join_feature_blocks(base: DataFrame, blocks: Sequence[DataFrame], key: str =
     return out
 
 
-def join_child_aggregate(parent: DataFrame, child_agg: DataFrame, key: str, drop_key: bool = True) -> DataFrame:
-    """Parent rows with the aggregate of their children (left join on the parent id)."""
-    out = parent.join(child_agg, key, "left")
-    return out.drop(key) if drop_key else out
-
-
 def join_subset_aggregate(base: DataFrame, rows: DataFrame, key: str, features: Sequence[Feature], prefix: str,
                           cond: Column | str) -> DataFrame:
     """Filter, aggregate, left join: the plain form of a conditional subset (test oracle)."""
@@ -82,8 +65,8 @@ def raw_join(application: DataFrame, bureau: DataFrame, bureau_balance: DataFram
 
 def join_dictionary(features: DataFrame, dictionary: DataFrame, feature_col: str = "feature",
                     row_col: str = "Row", desc_col: str = "Description") -> DataFrame:
-    """Feature name to description (left join on a size-checked broadcast dictionary)."""
-    d = broadcast_checked(dictionary.select(F.col(row_col).alias(feature_col), F.col(desc_col).alias("description")))
+    """Feature name to description (left join)."""
+    d = dictionary.select(F.col(row_col).alias(feature_col), F.col(desc_col).alias("description"))
     return features.join(d, feature_col, "left")
 
 

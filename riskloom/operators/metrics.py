@@ -34,7 +34,8 @@ def auc_roc(df: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
     c = ordered_cumsum(hist, score, ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     return c.agg(
-        (F.sum(F.col("pos") * (below + F.lit(0.5) * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        # one class only: NULL
+        F.try_divide(F.sum(F.col("pos") * (below + F.lit(0.5) * F.col("neg"))), F.sum("pos") * F.sum("neg")).alias("auc"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
     )
@@ -44,11 +45,10 @@ def roc_points(df: DataFrame, label: str = "y", score: str = "p") -> DataFrame:
     """M6: for each distinct score t (predict positive when score >= t): tpr, fpr."""
     hist = score_histogram(df, label, score)
     c = ordered_cumsum(hist, score, ["pos", "neg"], descending=True)
-    tot = hist.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # two scalars
     return c.select(
         F.col(score).alias("threshold"),
-        (F.col("cum_pos") / F.lit(float(tot["P"] or 0))).alias("tpr"),
-        (F.col("cum_neg") / F.lit(float(tot["N"] or 0))).alias("fpr"),
+        F.try_divide(F.col("cum_pos").cast("double"), F.col("all_pos").cast("double")).alias("tpr"),
+        F.try_divide(F.col("cum_neg").cast("double"), F.col("all_neg").cast("double")).alias("fpr"),
     )
 
 

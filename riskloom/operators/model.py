@@ -9,7 +9,9 @@ validation indicator column, folds through a hash-made fold column - all reprodu
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -20,9 +22,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.scalar import missing
 from riskloom.operators.metrics import auc_roc
 from riskloom.operators.ranking import union_folds
 from riskloom.operators.sampling import kfold
+from riskloom.session import written
 
 WEIGHT = "_weight"
 VALID = "_is_valid"
@@ -32,13 +36,23 @@ DEFAULT_PARAMS = {"stepSize": 0.05, "maxDepth": 4, "maxIter": 50, "subsamplingRa
                   "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
 
 
+def _safe(f: str) -> str:
+    """A name that Spark ML can look up: dots and backquotes are escaped; ``unquote`` gives the original."""
+    return f.replace("%", "%25").replace(".", "%2E").replace("`", "%60")
+
+
 def _imputed(f: str) -> str:
     return f"{f}__imp"
 
 
+def model_features(model: PipelineModel) -> list[str]:
+    """The original names of the features that a model takes."""
+    return [unquote(c) for c in model.stages[0].getInputCols()]
+
+
 def build_pipeline(features: Sequence[str], label: str = "TARGET", weighted: bool = False,
                    validation: bool = False, seed: int = 0, **params) -> Pipeline:
-    feats = list(features)
+    feats = [_safe(f) for f in features]
     p = {**DEFAULT_PARAMS, **params}
     imputer = Imputer(inputCols=feats, outputCols=[_imputed(f) for f in feats], strategy="median")
     assembler = VectorAssembler(inputCols=[_imputed(f) for f in feats], outputCol="features", handleInvalid="keep")
@@ -50,10 +64,11 @@ def build_pipeline(features: Sequence[str], label: str = "TARGET", weighted: boo
     return Pipeline(stages=[imputer, assembler, gbt])
 
 
-def _prepare(df: DataFrame, features: Sequence[str], label: str, pos_weight: float | None) -> DataFrame:
-    cols = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
-    out = df.select(*[c for c in df.columns if c not in set(features)], *cols)
-    out = out.withColumn(label, F.col(label).cast("double"))
+def _prepare(df: DataFrame, features: Sequence[str], label: str | None, pos_weight: float | None) -> DataFrame:
+    cols = [F.col("`" + f.replace("`", "``") + "`").cast("double").alias(_safe(f)) for f in features]
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in set(features)], *cols)
+    if label is not None:
+        out = out.withColumn(label, F.col(label).cast("double"))
     if pos_weight is not None:
         out = out.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
     return out
@@ -69,7 +84,12 @@ def class_weight(df: DataFrame, label: str = "TARGET") -> float:
 def train_classifier(df: DataFrame, features: Sequence[str], label: str = "TARGET", pos_weight: float | None = None,
                      validation_col: str | None = None, seed: int = 0, **params) -> PipelineModel:
     """M1: fit imputation + boosted trees. ``validation_col`` (boolean) marks rows used only for early
-    stopping (``validationTol``), kept apart from any test rows."""
+    stopping (``validationTol``), kept apart from any test rows. Columns without any value are left out, with a warning."""
+    full = df.agg(*[F.max(~missing(df, f)).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    empty = [f for i, f in enumerate(features) if not full[f"c{i}"]]
+    if empty:
+        warnings.warn(f"columns without values are left out: {', '.join(empty)}", stacklevel=2)
+    features = [f for f in features if f not in set(empty)]
     data = _prepare(df, features, label, pos_weight)
     if validation_col:
         data = data.withColumn(VALID, F.col(validation_col).cast("boolean"))
@@ -79,19 +99,25 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str = "TARGE
 
 def batch_score(model: PipelineModel, df: DataFrame, id_col: str = "SK_ID_CURR", keep: Sequence[str] = ()) -> DataFrame:
     """(id, prediction, probability_1) for every row; works on streaming frames too."""
-    feats = [c for c in model.stages[0].getInputCols()]
-    data = df.select(id_col, *keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in feats])
+    data = _prepare(df.select(id_col, *keep, *[F.col("`" + f.replace("`", "``") + "`") for f in model_features(model)]), model_features(model), None, None)
     scored = model.transform(data)
     return scored.select(id_col, *keep, F.col("prediction").cast("int").alias("prediction"),
                          vector_to_array("probability")[1].alias("probability_1"))
 
 
+def imputed_rows(model: PipelineModel, df: DataFrame, id_col: str = "SK_ID_CURR") -> DataFrame:
+    """The id and the complete features as the trees see them, in the model's order."""
+    names = model_features(model)
+    data = _prepare(df.select(id_col, *[F.col("`" + f.replace("`", "``") + "`") for f in names]), names, None, None)
+    return model.stages[0].transform(data).select(id_col, *model.stages[0].getOutputCols())
+
+
 def feature_importance(model: PipelineModel, features: Sequence[str] | None = None) -> DataFrame:
     """M4: (feature, importance) from the tree ensemble (gain-based, normalised to sum 1)."""
-    feats = list(features) if features is not None else model.stages[0].getInputCols()
-    imp = model.stages[-1].featureImportances.toArray().tolist()  # one number per feature
+    found = dict(zip(model_features(model), model.stages[-1].featureImportances.toArray().tolist()))  # one number per feature
     s = SparkSession.getActiveSession()
-    return s.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
+    feats = list(features) if features is not None else list(found)
+    return s.createDataFrame([(f, float(found.get(f, 0.0))) for f in feats], "feature string, importance double")
 
 
 def cross_validate_oof(df: DataFrame, features: Sequence[str], label: str = "TARGET", k: int = 5,
@@ -100,9 +126,10 @@ def cross_validate_oof(df: DataFrame, features: Sequence[str], label: str = "TAR
     """M2: k-fold fit; returns (out-of-fold scores, per-fold AUC, per-fold importances).
 
     Each fold trains on the other folds and scores its own rows; the scored folds and importances are
-    appended by name (U1). The overall AUC is ``auc_roc`` over the out-of-fold table.
+    appended by name (U1). The overall AUC is ``auc_roc`` over the out-of-fold table. The folded table is written once, so that
+    no fold starts from the feature plan.
     """
-    folded = kfold(df, k, id_col, seed, label if stratified else None).persist()
+    folded = written(kfold(df, k, id_col, seed, label if stratified else None), "folds")
     scored, aucs, imps = [], [], []
     for f in range(k):
         model = train_classifier(folded.where(F.col("fold") != f), features, label, pos_weight, seed=seed, **params)
@@ -122,7 +149,7 @@ def random_search(df: DataFrame, features: Sequence[str], label: str = "TARGET",
                            "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["all", "sqrt", "0.8"]})
     rng = random.Random(seed)
     draws = [{name: rng.choice(list(vals)) for name, vals in sorted(space.items())} for _ in range(n_iter)]
-    data = _prepare(kfold(df, k, id_col, seed, label), features, label, pos_weight)
+    data = written(_prepare(kfold(df, k, id_col, seed, label), features, label, pos_weight), "folds")
     pipe = build_pipeline(features, label, pos_weight is not None, False, seed)
     gbt = pipe.getStages()[-1]
     grid = []

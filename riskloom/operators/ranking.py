@@ -69,20 +69,22 @@ def waterfall_steps(long_df: DataFrame, base_value: float | DataFrame, k: int =
     ``running`` is the total after each step; the last step ends at base + sum of all values, so the bars
     are exactly the k strongest features and the rest bucket holds every other one.
     """
-    r = _abs_rank(long_df, id_col, feature, value)
-    rest = r.groupBy(id_col).agg(F.coalesce(F.sum(F.when(F.col("rank") > k, F.col(value))), F.lit(0.0)).alias(value))
     if isinstance(base_value, DataFrame):
         base_value = base_value.first()[0]  # a one-row table: read the scalar
-    base_col = F.lit(float(base_value))
-    n_top = r.where(F.col("rank") <= k).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    steps0 = rest.select(id_col, F.lit(0).alias("step"), F.lit("base").alias("label"), base_col.alias(value))
-    steps1 = rest.select(id_col, F.lit(1).alias("step"), F.lit("rest").alias("label"), F.col(value))
-    top = r.where(F.col("rank") <= k).join(n_top, id_col)
-    steps2 = top.select(id_col, (F.col("_n") - F.col("rank") + 2).cast("int").alias("step"),
-                        F.col(feature).alias("label"), F.col(value))
-    allsteps = steps0.unionByName(steps1).unionByName(steps2)
-    w = Window.partitionBy(id_col).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return allsteps.withColumn("running", F.sum(value).over(w))
+    # one window (rank), one aggregation per client; the steps are laid out inside the client's row
+    r = _abs_rank(long_df, id_col, feature, value)
+    inside = F.col("rank") <= k
+    per = r.groupBy(id_col).agg(
+        F.coalesce(F.sum(F.when(~inside, F.col(value))), F.lit(0.0)).alias("_rest"),
+        F.array_sort(F.collect_list(F.when(inside, F.struct((-F.col("rank")).alias("o"), F.col(feature).alias("label"),
+                                                            F.col(value).cast("double").alias("v"))))).alias("_top"))  # at most k entries
+    head = F.array(F.struct(F.lit("base").alias("label"), F.lit(float(base_value)).alias("v")),
+                   F.struct(F.lit("rest").alias("label"), F.col("_rest").alias("v")))
+    steps = F.concat(head, F.transform("_top", lambda t: F.struct(t["label"].alias("label"), t["v"].alias("v"))))
+    out = per.select(id_col, steps.alias("_s")).select(id_col, "_s", F.posexplode("_s").alias("step", "_t"))
+    running = F.aggregate(F.slice("_s", F.lit(1), F.col("step") + 1), F.lit(0.0), lambda acc, t: acc + t["v"])
+    return out.select(id_col, F.col("step").cast("int").alias("step"), F.col("_t.label").alias("label"), F.col("_t.v").alias(value),
+                      running.alias("running"))
 
 
 def sorted_ids(df: DataFrame, id_col: str = "SK_ID_CURR") -> DataFrame:

@@ -1,9 +1,10 @@
 """Reproducible sampling, splits and folds (G1-G5), all keyed on a hash of the row id.
 
-The hash ``((id * 7919 + seed * 104729) % 1000003)`` is the same in Spark and SQL, so every split can be
-checked against an SQL oracle and re-run on the cluster with the same result. Exact per-class quotas
-use ``hash_rank``: the rank of a row inside its class ordered by (hash, id), computed from counts per
-hash value (at most 1,000,003 rows per class) instead of a window over the whole class.
+The hash (60 bits of ``md5(id || ':' || seed)``) is the same in Spark and SQL, so every split can be
+checked against an SQL oracle and re-run on the cluster with the same result; splits of different seeds are
+independent, and ids may be negative, large or text. Exact per-class quotas use ``hash_rank``: the rank of a
+row inside its class ordered by (hash, id), from counts per hash range instead of a window over the class.
+Rows without a label are a class of their own.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalar import HASH_MOD, parity_hash
+from riskloom.functions.scalar import HASH_BITS, HASH_MOD, parity_hash
 
 H = "_h"
+# Hash ranges per class; the hash is uniform, so a range holds its share of the class whatever the ids are.
+RANGE_BITS = 14
 
 
 def with_hash(df: DataFrame, id_col: str, seed: int = 0, name: str = H) -> DataFrame:
@@ -48,21 +51,24 @@ def random_split(df: DataFrame, test_fraction: float, id_col: str = "SK_ID_CURR"
 def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = 0, name: str = "_rank") -> DataFrame:
     """Exact ``row_number() over (partition by group order by hash, id)`` without a per-group window.
 
-    1. counts per (group, hash): bounded by groups x 1,000,003 rows;
-    2. running count per group over those counts gives each hash value's offset;
-    3. ``row_number`` inside (group, hash), a handful of rows each.
-    Also adds ``_n_group`` (rows in the group).
+    1. counts per (group, hash range): groups x 2^RANGE_BITS rows;
+    2. running count per group over those counts gives each range's offset;
+    3. ``row_number`` inside (group, range).
+    Also adds ``_n_group`` (rows in the group). A NULL group is a group like any other.
     """
     g = list(group_cols)
-    h = with_hash(df, id_col, seed)
-    counts = h.groupBy(*g, H).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*g).orderBy(H).rowsBetween(Window.unboundedPreceding, -1)
+    h = with_hash(df, id_col, seed).withColumn("_b", F.shiftright(F.col(H), HASH_BITS - RANGE_BITS).cast("int"))
+    counts = h.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
-    offsets = counts.select(*g, H, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_c").over(whole).alias("_n_group"))
-    inside = Window.partitionBy(*g, H).orderBy(id_col)
-    out = h.join(offsets, [*g, H], "inner")
-    return out.withColumn(name, F.col("_off") + F.row_number().over(inside)).drop("_off")
+    offsets = counts.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(g)], F.col("_b").alias("_ob"),
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(whole).alias("_n_group"))
+    inside = Window.partitionBy(*g, "_b").orderBy(H, id_col)
+    same = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(g):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}"))
+    out = h.withColumn("_in", F.row_number().over(inside)).join(offsets, same, "inner")
+    return out.withColumn(name, F.col("_off") + F.col("_in")).drop("_off", "_in", "_b", "_ob", *[f"_g{i}" for i in range(len(g))])
 
 
 def stratified_split(df: DataFrame, label: str, test_fraction: float, id_col: str = "SK_ID_CURR", seed: int = 0,

@@ -1,10 +1,10 @@
 """Statistics (C1-C5): pairwise correlation, correlation pruning, one-way ANOVA, chi-square.
 
 Correlation is pairwise-complete with non-finite values treated as missing and constant columns
-giving NULL. Few columns: one aggregation with sample (co)variances per pair. Hundreds of columns:
+giving NULL. A few pairs: one aggregation with sample (co)variances per pair. All pairs of a wide row:
 per-partition matrix moments in ``mapInPandas`` (numpy matrix products over an Arrow batch), summed by
 pair with ``groupBy`` - work n * p^2 stays in the executors, the driver only sees pairs.
-P-values are tail probabilities of one statistic, computed on the driver from a one-row result.
+Chi-square needs the observed cells and their margins only. P-values are tail probabilities of a one-row result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalar import nonfinite_to_null
+from riskloom.functions.scalar import missing, nonfinite_to_null
+from riskloom.session import written
 
 # Variance at or below this counts as constant.
 VAR_TOLERANCE = 1e-12
@@ -54,30 +55,23 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("col_i", "col_j", "corr", F.abs("corr").alias("abs_corr"), "n")
 
 
-MAX_MOMENT_PARTITIONS = 2000
+def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """C1 (all pairs of a wide row): same output as ``correlation_pairs`` from partition-wise moments.
 
-
-def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str],
-                             max_partitions: int = MAX_MOMENT_PARTITIONS) -> DataFrame:
-    """C1 (hundreds of columns): same output as ``correlation_pairs`` from partition-wise moments.
-
-    Two passes over the input (materialise it first, e.g. with ``build_or_load``): one JVM aggregation
+    The numeric columns are written once in the shared folder and read twice: one JVM aggregation
     for the global means (p numbers to the driver), then one ``mapInPandas`` pass centring on them,
-    so the moment sums stay well conditioned. Each task emits one row per pair; the input is coalesced
-    (no shuffle) to at most ``max_partitions`` tasks so the pair rows stay bounded by
-    max_partitions x p^2 / 2 whatever the row count.
+    so the moment sums stay well conditioned. Each task emits one row per pair, which for input partitions of usual size is a
+    small part of what it reads.
     """
     cols = list(columns)
     p = len(cols)
-    clean = df.select(*[_clean(c).alias(f"x{i}") for i, c in enumerate(cols)])
-    if clean.rdd.getNumPartitions() > max_partitions:
-        clean = clean.coalesce(max_partitions)
+    clean = written(df.select(*[_clean(c).alias(f"x{i}") for i, c in enumerate(cols)]), "correlation")
     means_row = clean.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
     means = np.array([0.0 if means_row[i] is None else float(means_row[i]) for i in range(p)])
     iu, ju = np.triu_indices(p, k=1)
 
     def moments(batches):
-        n = np.zeros((p, p)); zx = np.zeros((p, p)); zxx = np.zeros((p, p)); zz = np.zeros((p, p))
+        n, zx, zxx, zz = (np.zeros((p, p)) for _ in range(4))
         seen = False
         for pdf in batches:
             x = pdf.to_numpy(dtype="float64", na_value=np.nan)
@@ -96,9 +90,9 @@ def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str],
     summed = clean.mapInPandas(moments, schema).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
-    vx = (F.col("sxx") - F.col("sx") * F.col("sx") / n) / (n - 1)
-    vy = (F.col("syy") - F.col("sy") * F.col("sy") / n) / (n - 1)
-    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)
+    vx = F.try_divide(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), n - 1)
+    vy = F.try_divide(F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n), n - 1)
+    cov = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), n - 1)
     ok = (n > 1) & (vx > VAR_TOLERANCE) & (vy > VAR_TOLERANCE)
     r = F.when(ok, cov / F.sqrt(vx * vy))
     names = F.array(*[F.lit(c) for c in cols])
@@ -132,85 +126,112 @@ def prune_correlated(df: DataFrame, threshold: float = 0.8, fraction: float | No
     numeric = [f.name for f in df.schema.fields
                if f.dataType.typeName() in ("double", "float", "integer", "long", "short") and f.name not in set(protect)]
     src = sample_fraction(df, fraction, id_col, seed) if fraction else df
-    pairs = correlation_matrix_pairs(src, numeric) if len(numeric) > 12 else correlation_pairs(src, numeric)
-    dropped = [r["column"] for r in correlated_drop_report(pairs, numeric, threshold).where("dropped").collect()]
-    return df.drop(*dropped), dropped
+    told = correlated_drop_report(correlation_matrix_pairs(src, numeric), numeric, threshold)
+    dropped = sorted(r["column"] for r in told.where("dropped").collect())
+    return df.drop(*[_ref(c) for c in dropped]), dropped
 
 
 # ---- ANOVA and chi-square -------------------------------------------------------------------------
 
 
 def anova_table(df: DataFrame, value: str, group: str, groups: Sequence[str] | None = None) -> DataFrame:
-    """One row (f_stat, eta_sq, df_between, df_within, ss_between, ss_within); group as a factor."""
-    d = df.where(_ref(value).isNotNull() & _ref(group).isNotNull())
+    """One row (f_stat, eta_sq, df_between, df_within, ss_between, ss_within); group as a factor.
+
+    NULL and NaN values and NULL groups are left out. One group, or as many groups as rows, has no F: NULL.
+    """
+    d = df.where(~missing(df, value) & _ref(group).isNotNull())
     if groups:
         d = d.where(_ref(group).isin(list(groups)))
     g = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(_ref(value).cast("double")).alias("m"),
                              F.coalesce(F.var_samp(_ref(value).cast("double")), F.lit(0.0)).alias("v"))
     # the per-group table has one row per group
-    tot = g.agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
+    tot = g.agg(F.sum("n").alias("N"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"),
                 F.count(F.lit(1)).alias("G"))
     gm = tot.first()
-    ssb = F.sum(F.col("n") * (F.col("m") - F.lit(gm["grand"])) * (F.col("m") - F.lit(gm["grand"])))
+    grand, df1, df2 = gm["grand"] or 0.0, int(gm["G"]) - 1, int(gm["N"] or 0) - int(gm["G"])
+    ssb = F.sum(F.col("n") * (F.col("m") - F.lit(grand)) * (F.col("m") - F.lit(grand)))
     ssw = F.sum((F.col("n") - 1) * F.col("v"))
-    df1, df2 = int(gm["G"]) - 1, int(gm["N"]) - int(gm["G"])
+    between, within = F.col("ss_between") / F.lit(float(max(df1, 1))), F.col("ss_within") / F.lit(float(max(df2, 1)))
     return g.agg(ssb.alias("ss_between"), ssw.alias("ss_within")).select(
-        ((F.col("ss_between") / F.lit(float(df1))) / (F.col("ss_within") / F.lit(float(df2)))).alias("f_stat"),
-        (F.col("ss_between") / (F.col("ss_between") + F.col("ss_within"))).alias("eta_sq"),
+        F.when(F.lit(df1 > 0 and df2 > 0), F.try_divide(between, within)).alias("f_stat"),
+        F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within")).alias("eta_sq"),
         F.lit(df1).cast("long").alias("df_between"), F.lit(df2).cast("long").alias("df_within"),
         "ss_between", "ss_within")
 
 
-def anova(df: DataFrame, value: str, group: str, groups: Sequence[str] | None = None) -> tuple[float, float, float]:
-    """(F, p, eta squared)."""
-    r = anova_table(df, value, group, groups).first()
-    return r["f_stat"], f_sf(r["f_stat"], r["df_between"], r["df_within"]), r["eta_sq"]
+def with_anova_p(table: DataFrame) -> DataFrame:
+    """The one row of ``anova_table`` with its p-value."""
+    return _with_p(table, lambda r: f_sf(r["f_stat"], r["df_between"], r["df_within"]))
 
 
-def chi2_cells(df: DataFrame, x: str, y: str, max_cells: int = 1_000_000) -> DataFrame:
-    """Observed and expected counts per (x, y) cell over non-NULL pairs, with Yates' correction when
-    the table has one degree of freedom: columns x, y, observed, expected, term, dof.
+def with_chi2_p(table: DataFrame) -> DataFrame:
+    """The one row of ``chi2_table`` with its p-value."""
+    return _with_p(table, lambda r: chi2_sf(r["chi2"], r["dof"]))
 
-    Observed counts are one aggregation; the margins (one number per category, bounded by the two
-    vocabularies) come to the driver to lay out the full grid, so empty cells count with O = 0.
-    """
-    spark = df.sparkSession
+
+def _with_p(table: DataFrame, tail) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            yield pdf.assign(p=pd.Series([tail(r) for r in rows], dtype="float64", index=pdf.index))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    return table.mapInPandas(run, f"{schema}, p double")
+
+
+def anova(df: DataFrame, value: str, group: str, groups: Sequence[str] | None = None) -> tuple[float | None, float | None, float | None]:
+    """(F, p, eta squared)."""
+    r = with_anova_p(anova_table(df, value, group, groups)).first()
+    return r["f_stat"], r["p"], r["eta_sq"]
+
+
+def _cells(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observed cells, x margin, y margin) over non-NULL pairs; the table is aggregated once and the cells are written."""
     base = df.where(_ref(x).isNotNull() & _ref(y).isNotNull()).select(
-        _ref(x).cast("string").alias(x), _ref(y).cast("string").alias(y))
-    cells = base.groupBy(x, y).agg(F.count(F.lit(1)).alias("observed"))
-    rt = {r[0]: r[1] for r in cells.groupBy(x).agg(F.sum("observed")).collect()}
-    ct = {r[0]: r[1] for r in cells.groupBy(y).agg(F.sum("observed")).collect()}
-    if len(rt) * len(ct) > max_cells:
-        raise ValueError(f"contingency table above {max_cells} cells")
-    n = float(sum(rt.values()))
-    dof = (len(rt) - 1) * (len(ct) - 1)
-    grid = spark.createDataFrame([(a, b, rt[a] * ct[b] / n) for a in sorted(rt) for b in sorted(ct)],
-                                 f"`{x}` string, `{y}` string, expected double")
-    t = grid.join(cells, [x, y], "left").select(x, y, F.coalesce("observed", F.lit(0)).alias("observed"), "expected")
-    d = F.col("observed") - F.col("expected")
-    if dof == 1:
-        d = d - F.signum(d) * F.least(F.lit(0.5), F.abs(d))
-    return t.select(x, y, "observed", "expected", (d * d / F.col("expected")).alias("term"), F.lit(dof).alias("dof"))
+        _ref(x).cast("string").alias("x"), _ref(y).cast("string").alias("y"))
+    cells = written(base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("observed")), "cells")
+    return (cells, cells.groupBy("x").agg(F.sum("observed").alias("r")), cells.groupBy("y").agg(F.sum("observed").alias("c")))
 
 
 def chi2_table(df: DataFrame, x: str, y: str) -> DataFrame:
-    """C4: one row (chi2, dof, n)."""
-    return chi2_cells(df, x, y).agg(F.sum("term").alias("chi2"), F.max("dof").cast("long").alias("dof"),
-                                    F.sum("observed").alias("n"))
+    """C4: one row (chi2, dof, n), with Yates' correction for one degree of freedom; NULL without a degree of freedom.
+
+    From observed cells only: chi2 = n (sum O^2 / (r c) - 1). In a 2x2 table |O - E| is the same in all cells, and the sum
+    of 1 / E is n (sum 1 / r) (sum 1 / c), so empty cells need no row either.
+    """
+    cells, rows, cols = _cells(df, x, y)
+    m = rows.agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("r")).alias("inv"), F.sum("r").alias("n")).first()
+    k = cols.agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("c")).alias("inv")).first()
+    n, dof = float(m["n"] or 0), max(int(m["k"]) - 1, 0) * max(int(k["k"]) - 1, 0)
+    j = cells.join(rows, "x").join(cols, "y")
+    share = F.sum(F.col("observed") * F.col("observed") / F.col("r") / F.col("c"))
+    gap = F.max(F.abs(F.col("observed") - F.col("r") * F.col("c") / F.lit(n or 1.0)))
+    if dof == 1:
+        rest = gap - F.least(F.lit(0.5), gap)
+        chi2 = rest * rest * F.lit(n * m["inv"] * k["inv"])
+    else:
+        chi2 = F.when(F.lit(dof > 0), F.lit(n) * (share - F.lit(1.0)))
+    return j.agg(chi2.cast("double").alias("chi2"), F.lit(dof).cast("long").alias("dof"), F.coalesce(F.sum("observed"), F.lit(0)).alias("n"))
 
 
-def chi2_test(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+def chi2_test(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None]:
     """C4: (chi2, p)."""
-    r = chi2_table(df, x, y).first()
-    return r["chi2"], chi2_sf(r["chi2"], r["dof"])
+    r = with_chi2_p(chi2_table(df, x, y)).first()
+    return r["chi2"], r["p"]
 
 
 def chi2_contributions(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Per cell (O - E)^2 / E divided by the table total (no continuity correction), n = non-NULL pairs."""
-    c = chi2_cells(df, x, y)
+    """Per cell (O - E)^2 / E divided by the table total (no continuity correction; NULL when independent).
+
+    The result is the full grid of the two vocabularies, so it is laid out from the two margins.
+    """
+    cells, rows, cols = _cells(df, x, y)
+    n = rows.agg(F.sum("r").alias("n")).first()["n"] or 0
+    grid = rows.crossJoin(cols).withColumn("expected", F.col("r").cast("double") * F.col("c").cast("double") / F.lit(float(n or 1)))
+    t = grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("observed", F.lit(0)).alias("observed"), "expected")
     term = (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")) / F.col("expected")
-    tot = c.agg(F.sum(term).alias("t")).first()["t"]
-    return c.select(x, y, "observed", "expected", (term / F.lit(float(tot))).alias("share"))
+    tot = t.agg(F.sum(term).alias("t")).first()["t"]
+    return t.select(F.col("x").alias(x), F.col("y").alias(y), "observed", "expected", F.try_divide(term, F.lit(float(tot or 0.0))).alias("share"))
 
 
 # ---- distribution tails (one number each, on the driver) ---------------------------------------

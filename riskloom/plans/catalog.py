@@ -11,12 +11,14 @@ operator over the whole tables and ends in ``report``. Shared inputs:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.naming import AGG_SUFFIXES, BLOCK_PREFIXES, feature_root_name
 from riskloom.functions.report import report, round_sig_sql
-from riskloom.functions.scalar import HASH_MOD, parity_hash, parity_hash_sql
+from riskloom.functions.scalar import HASH_MOD, LOG_LOSS_EPS, parity_hash, parity_hash_sql
 from riskloom.operators import aggregate as A
 from riskloom.operators import blocks as B
 from riskloom.operators import clean as P
@@ -32,6 +34,7 @@ from riskloom.operators import stats as C
 from riskloom.plans import oracle as O
 from riskloom.plans.features import build_features, fixture_tables
 from riskloom.plans.registry import register
+from riskloom.session import scratch_path, written
 from riskloom.sources import fixtures as FX
 from riskloom.sources.tables import load_capped, load_projected, load_table
 
@@ -101,6 +104,53 @@ ZLR_SQL = f"SELECT SK_ID_CURR, feature, {round_sig_sql('phi')} AS phi FROM zl"
 ZL_CTE = APP_CTE + [("vl", VL_SQL), ("st", ST_SQL), ("zl", ZL_SQL), ("zlr", ZLR_SQL)]
 
 
+# Attributions of features of several blocks, the stored explanation that names, descriptions and lookups are applied to.
+STORED = ["PAYMENT_RATE", "DAYS_BIRTH", "AMT_CREDIT", "INSTAL_DPD_MEAN", "BURO_DAYS_CREDIT_MAX", "POS_COUNT", "INSTAL_COUNT"]
+STORED_TOP = 3
+
+
+def stored_attributions(spark, d):
+    return report(X.linear_attribution(P.transpose_client(features(spark, d), "SK_ID_CURR", STORED)))
+
+
+def stored_top(spark, d):
+    """(SK_ID_CURR, feature, phi, rank): each client's strongest stored attributions."""
+    return W.top_k_per_client(stored_attributions(spark, d), STORED_TOP)
+
+
+STORED_CTE = FEAT_CTE + [
+    ("svl", "SELECT SK_ID_CURR, feature, value FROM (SELECT SK_ID_CURR, " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in STORED)
+     + " FROM features) UNPIVOT INCLUDE NULLS (value FOR feature IN (" + ", ".join(q(c) for c in STORED) + "))"),
+    ("sst", "SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM svl GROUP BY feature"),
+    ("szl", f"SELECT SK_ID_CURR, feature, {round_sig_sql('phi')} AS phi FROM (SELECT svl.SK_ID_CURR, svl.feature, CASE WHEN sst.s > 0 THEN "
+     "(svl.value - sst.m) / sst.s END AS phi FROM svl JOIN sst USING (feature)) WHERE phi IS NOT NULL"),
+    ("stop", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY abs(phi) DESC, feature ASC) AS rank FROM szl) "
+     f"WHERE rank <= {STORED_TOP}")]
+
+
+def nan_bureau(spark, d):
+    """Credits with NaN amounts, NULL debts, a NULL type and an incomplete whole number."""
+    k = F.col("SK_ID_BUREAU")
+    return fx(spark, d, "fx_bureau").select(
+        "SK_ID_BUREAU", "CREDIT_TYPE", F.when(k % 13 == 0, F.lit(float("nan"))).otherwise(F.col("AMT_CREDIT_SUM")).alias("AMT_CREDIT_SUM"),
+        "AMT_CREDIT_SUM_DEBT", F.when(k % 17 == 0, F.lit(None)).otherwise(k % 10).cast("long").alias("CNT_PROLONG"))
+
+
+NAN_COLS = ["AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "CNT_PROLONG"]
+# in SQL the NaN is NULL at once: that is the rule under test
+NAN_CTE = [("nb", "SELECT SK_ID_BUREAU, CREDIT_TYPE, CASE WHEN SK_ID_BUREAU % 13 <> 0 THEN AMT_CREDIT_SUM END AS AMT_CREDIT_SUM, "
+                  "AMT_CREDIT_SUM_DEBT, CASE WHEN SK_ID_BUREAU % 17 <> 0 THEN CAST(SK_ID_BUREAU % 10 AS BIGINT) END AS CNT_PROLONG FROM fx_bureau")]
+
+
+def unlabelled(spark, d):
+    """Clients of whom every 19th has no label."""
+    return fx(spark, d, "fx_application").select(
+        "SK_ID_CURR", F.when(F.col("SK_ID_CURR") % 19 != 0, F.col("TARGET")).alias("TARGET"))
+
+
+UNLABELLED_CTE = [("ul", "SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 19 <> 0 THEN TARGET END AS TARGET FROM fx_application")]
+
+
 def scores(spark, d):
     lab = load_table(spark, d, "labels")
     h = parity_hash("doc_id", 1).cast("double")
@@ -166,22 +216,19 @@ UNION ALL SELECT 'installments', count(*) FROM fx_installments WHERE SK_ID_CURR
 UNION ALL SELECT 'credit_card', count(*) FROM fx_credit_card WHERE SK_ID_CURR IN (SELECT * FROM ids)""",
     [("ids", _test_ids_sql())]))
 def q_export_client_sample(spark, d):
-    from riskloom.sources.sinks import client_sample_tables
+    """The test clients' rows of every table, written per table and read back."""
+    from riskloom.sources.sinks import export_client_sample
 
     t = fixture_tables(spark, d)
     ids = G.stratified_split(t["application"], "TARGET", 0.25, "SK_ID_CURR", 7).where("is_test").select("SK_ID_CURR")
-    parts = [v.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("table"), "rows")
-             for k, v in client_sample_tables(t, ids).items()]
-    return W.union_folds(parts)
+    paths = export_client_sample(t, written(ids, "ids"), scratch_path(spark, f"sample-{uuid.uuid4().hex}"))
+    return W.union_folds([spark.read.parquet(x).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(x.rsplit("/", 1)[1]).alias("table"), "rows")
+                          for x in paths])
 
 
 # ---- 2.2 projections, filters, cleaning -------------------------------------------------------------
 
-RATIOS = {
-    "DAYS_EMPLOYED_PERC": ("DAYS_EMPLOYED", "DAYS_BIRTH"), "INCOME_CREDIT_PERC": ("AMT_INCOME_TOTAL", "AMT_CREDIT"),
-    "INCOME_PER_PERSON": ("AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"), "ANNUITY_INCOME_PERC": ("AMT_ANNUITY", "AMT_INCOME_TOTAL"),
-    "PAYMENT_RATE": ("AMT_ANNUITY", "AMT_CREDIT"),
-}
+RATIOS = B.APPLICATION_RATIOS
 
 
 @register("filter_not_value", sql(["fx_application"],
@@ -262,23 +309,31 @@ def q_select_features(spark, d):
 APP_OUT = [c for c, _ in APP_COLS]
 
 
-@register("flatten_agg_names", sql(["fx_bureau", "fx_bureau_balance"],
-          f"SELECT column_name AS name FROM (DESCRIBE {O.bureau_sql()[0]}) WHERE column_name <> 'SK_ID_CURR'"))
+_BURO_NAMES = [c for c, _ in O.bureau_sql()[1] if c != "SK_ID_CURR"]
+
+
+@register("flatten_agg_names", sql(["fx_bureau", "fx_bureau_balance"], rep(
+    "SELECT SK_ID_CURR, name, value FROM (SELECT SK_ID_CURR, " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in _BURO_NAMES)
+    + f" FROM ({O.bureau_sql()[0]})) UNPIVOT INCLUDE NULLS (value FOR name IN (" + ", ".join(q(c) for c in _BURO_NAMES) + "))",
+    ["value"], ["SK_ID_CURR", "name"])))
 def q_flatten_agg_names(spark, d):
-    """P10: the flattened ``<PREFIX><column>_<FUNC>`` names of the bureau block (its categories come
-    from the data)."""
+    """P10: the bureau block under its flattened ``<PREFIX><column>_<FUNC>`` names, a row per client and name."""
     blk = B.bureau_block(fx(spark, d, "fx_bureau"), fx(spark, d, "fx_bureau_balance"))
-    return spark.createDataFrame([(c,) for c in blk.columns if c != "SK_ID_CURR"], "name string")
+    return report(P.transpose_client(blk, "SK_ID_CURR").withColumnRenamed("feature", "name"))
 
 
-@register("split_columns_by_type", sql(["fx_previous_application"],
-          "SELECT column_name AS \"column\", column_type = 'VARCHAR' AS is_string "
-          "FROM (DESCRIBE SELECT * FROM fx_previous_application)"))
+PREV_ALL = ["SK_ID_PREV", "SK_ID_CURR", "NAME_CONTRACT_STATUS", "AMT_APPLICATION", "AMT_CREDIT", "RATE_DOWN_PAYMENT", "CNT_PAYMENT",
+            "DAYS_DECISION", "DAYS_FIRST_DRAWING"]
+
+
+@register("split_columns_by_type", sql(["fx_previous_application"], " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", typeof(max({c})) = 'VARCHAR' AS is_string, count({c}) AS n_filled FROM fx_previous_application" for c in PREV_ALL)))
 def q_split_columns_by_type(spark, d):
-    """String (categorical) versus other columns of a table, from its schema."""
+    """String (categorical) versus other columns of a table, with the number of rows that fill each."""
     t = fx(spark, d, "fx_previous_application")
     strings, _ = P.split_columns_by_type(t)
-    return spark.createDataFrame([(c, c in strings) for c in t.columns], "column string, is_string boolean")
+    filled = A.long_row(t.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(t.columns)]), t.columns, "n_filled")
+    return filled.select("column", F.col("column").isin(strings).alias("is_string"), "n_filled")
 
 
 def _distinct_sql(table: str, cols: list[str]) -> str:
@@ -390,6 +445,16 @@ def q_category_share(spark, d):
     return report(E.category_share(fx(spark, d, "fx_bureau"), "SK_ID_CURR", ["CREDIT_TYPE"]))
 
 
+@register("category_share_long", sql(["fx_bureau"], rep(
+    "SELECT c.SK_ID_CURR, c.\"column\", c.value, CAST(c.n AS DOUBLE) / CAST(t.n AS DOUBLE) AS share FROM ("
+    "SELECT SK_ID_CURR, 'CREDIT_TYPE' AS \"column\", CREDIT_TYPE AS value, count(*) AS n FROM fx_bureau GROUP BY 1, 3 UNION ALL "
+    "SELECT SK_ID_CURR, 'CREDIT_ACTIVE', CREDIT_ACTIVE, count(*) FROM fx_bureau GROUP BY 1, 3) c "
+    "JOIN (SELECT SK_ID_CURR, count(*) AS n FROM fx_bureau GROUP BY 1) t USING (SK_ID_CURR)", ["share"], ["SK_ID_CURR", "column", "value"])))
+def q_category_share_long(spark, d):
+    """E3 without a vocabulary: a row per client and value."""
+    return report(E.category_share_long(fx(spark, d, "fx_bureau"), "SK_ID_CURR", ["CREDIT_TYPE", "CREDIT_ACTIVE"]))
+
+
 # ---- 2.4 joins ---------------------------------------------------------------------------------------------
 
 BB_OUT = ["MONTHS_BALANCE_MIN", "MONTHS_BALANCE_MAX", "MONTHS_BALANCE_SIZE"]
@@ -455,25 +520,20 @@ def _root_sql(col: str) -> str:
     return f"regexp_replace(regexp_replace({col}, '{head}', ''), '{tail}', '')"
 
 
-@register("join_dictionary", sql(["fx_application"],
-          f"SELECT n.feature, d.Description AS description FROM (SELECT DISTINCT feature, {_root_sql('feature')} AS root FROM vl) n "
-          "LEFT JOIN dict d ON n.root = d.Row", APP_CTE + [("vl", VL_SQL), ("dict", FX.dictionary_sql())]))
+@register("join_dictionary", sql(ALL_FX,
+          f"SELECT n.SK_ID_CURR, n.rank, n.feature, d.Description AS description FROM (SELECT *, {_root_sql('feature')} AS root FROM stop) n "
+          "LEFT JOIN dict d ON n.root = d.Row", STORED_CTE + [("dict", FX.dictionary_sql())]))
 def q_join_dictionary(spark, d):
-    names = values_long(spark, d).select("feature").distinct()
-    keyed = names.select("feature", feature_root_name("feature").alias("root"))
-    out = J.join_dictionary(keyed.withColumnRenamed("feature", "name").withColumnRenamed("root", "feature"),
-                            FX.dictionary_frame(spark))
-    return out.select(F.col("name").alias("feature"), "description")
-
-
-LOOKUP_COLS = ["PAYMENT_RATE", "BURO_DAYS_CREDIT_MEAN", "INSTAL_COUNT"]
+    """The strongest stored attributions of every client with the description of their source column."""
+    keyed = stored_top(spark, d).select("SK_ID_CURR", "rank", F.col("feature").alias("name"), feature_root_name("feature").alias("feature"))
+    return J.join_dictionary(keyed, FX.dictionary_frame(spark)).select("SK_ID_CURR", "rank", F.col("name").alias("feature"), "description")
 
 
 @register("self_lookup_by_id", sql(ALL_FX, rep(
-    f"SELECT SK_ID_CURR, {', '.join(LOOKUP_COLS)} FROM features WHERE SK_ID_CURR IN ({ids_sample_sql(0.02, 11)})",
-    LOOKUP_COLS[:2], ["SK_ID_CURR", "INSTAL_COUNT"]), FEAT_CTE))
+    f"SELECT SK_ID_CURR, feature, phi FROM szl WHERE SK_ID_CURR IN ({ids_sample_sql(0.02, 11)})", ["phi"], ["SK_ID_CURR", "feature"]), STORED_CTE))
 def q_self_lookup_by_id(spark, d):
-    stored = features(spark, d).select("SK_ID_CURR", *LOOKUP_COLS)
+    """The stored explanation of requested clients, found by id."""
+    stored = written(stored_attributions(spark, d), "attributions")
     return report(J.lookup_by_id(stored, ids_sample(spark, d, 0.02, 11)))
 
 
@@ -580,6 +640,12 @@ def q_fill_rate(spark, d):
     return A.fill_rate(features(spark, d), FEAT_OUT)
 
 
+@register("fill_rate_nan", sql(["fx_bureau"], _fill_sql("nb", NAN_COLS, None), NAN_CTE))
+def q_fill_rate_nan(spark, d):
+    """A16 on a column with NaN: a NaN isn't a value."""
+    return A.fill_rate(nan_bureau(spark, d), NAN_COLS)
+
+
 @register("mean_prediction", sql([], rep("SELECT avg(CAST(y AS DOUBLE)) AS mean_label, avg(p) AS mean_probability FROM scores",
                                         ["mean_label", "mean_probability"]), SCORES_CTE))
 def q_mean_prediction(spark, d):
@@ -588,38 +654,32 @@ def q_mean_prediction(spark, d):
 
 # ---- 2.6 sorts, limits, windows ------------------------------------------------------------------------
 
-FEAT_NUM = [c for c in FEAT_OUT if c != "TARGET"]
-
-
 def _importance(spark, d) -> DataFrame:
-    dc = P.distinct_counts(report(features(spark, d)), FEAT_NUM)  # distinct at report precision
-    return dc.select(F.col("column").alias("feature"), F.col("n_distinct").alias("importance"))
+    """Mean |phi| per feature (X4) at report precision."""
+    return report(X.global_attribution(z_long(spark, d)).select("feature", F.col("mean_abs_phi").alias("importance")))
 
 
-IMP_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count(DISTINCT {round_sig_sql(q(c)) if k == 'd' else q(c)}) AS importance FROM features"
-    for c, k in FEAT_COLS if c != "TARGET")
-IMP_CTE = FEAT_CTE + [("imp", IMP_SQL)]
+IMP_CTE = ZL_CTE + [("imp", f"SELECT feature, {round_sig_sql('avg(abs(phi))')} AS importance FROM zl GROUP BY feature")]
 NORM_SQL = ("SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature ASC) AS rank, "
             "CAST(importance AS DOUBLE) / CAST(sum(importance) OVER () AS DOUBLE) AS importance_normalized, "
             "CAST(sum(importance) OVER (ORDER BY importance DESC, feature ASC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)"
             " / CAST(sum(importance) OVER () AS DOUBLE) AS cumulative_importance FROM imp")
 
 
-@register("top_importances", sql(ALL_FX, "SELECT * FROM imp ORDER BY importance DESC, feature ASC LIMIT 40", IMP_CTE))
+@register("top_importances", sql(["fx_application"], "SELECT * FROM imp ORDER BY importance DESC, feature ASC LIMIT 10", IMP_CTE))
 def q_top_importances(spark, d):
-    return W.top_importances(_importance(spark, d), 40)
+    return W.top_importances(_importance(spark, d), 10)
 
 
-@register("normalised_cumulative_importance", sql(ALL_FX, rep(
-    NORM_SQL, ["importance_normalized", "cumulative_importance"], ["feature", "importance", "rank"]), IMP_CTE))
+@register("normalised_cumulative_importance", sql(["fx_application"], rep(
+    NORM_SQL, ["importance", "importance_normalized", "cumulative_importance"], ["feature", "rank"]), IMP_CTE))
 def q_normalised_cumulative_importance(spark, d):
     return report(W.normalised_cumulative_importance(_importance(spark, d)))
 
 
-@register("select_by_cumulative_importance", sql(ALL_FX, rep(
-    f"SELECT * FROM ({NORM_SQL}) WHERE cumulative_importance < 0.99", ["importance_normalized", "cumulative_importance"],
-    ["feature", "importance", "rank"]), IMP_CTE))
+@register("select_by_cumulative_importance", sql(["fx_application"], rep(
+    f"SELECT * FROM ({NORM_SQL}) WHERE cumulative_importance < 0.99", ["importance", "importance_normalized", "cumulative_importance"],
+    ["feature", "rank"]), IMP_CTE))
 def q_select_by_cumulative_importance(spark, d):
     return report(W.select_by_cumulative_importance(_importance(spark, d), 0.99))
 
@@ -665,36 +725,30 @@ def q_sorted_ids(spark, d):
 
 # ---- 2.7 scalar functions -------------------------------------------------------------------------------
 
-FEATURE_NAMES_SQL = ("SELECT DISTINCT feature FROM (SELECT * FROM features) "
-                     "UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE (SK_ID_CURR))))")
-
-
-def feature_names(spark, d) -> DataFrame:
-    f = features(spark, d)
-    return P.transpose_client(f, "SK_ID_CURR").select("feature").distinct()
-
-
-@register("feature_root_name", sql(ALL_FX, f"SELECT feature, {_root_sql('feature')} AS root FROM names",
-                                   FEAT_CTE + [("names", FEATURE_NAMES_SQL)]))
+@register("feature_root_name", sql(ALL_FX, f"SELECT SK_ID_CURR, rank, feature, {_root_sql('feature')} AS root FROM stop", STORED_CTE))
 def q_feature_root_name(spark, d):
-    return feature_names(spark, d).select("feature", feature_root_name("feature").alias("root"))
+    """F1 on the strongest stored attributions of every client."""
+    return stored_top(spark, d).select("SK_ID_CURR", "rank", "feature", feature_root_name("feature").alias("root"))
 
 
 DESCRIBE_SQL = f"""
-SELECT n.feature, b.description FROM names n LEFT JOIN (
+SELECT n.SK_ID_CURR, n.rank, n.feature, b.description FROM stop n LEFT JOIN (
   SELECT feature, arg_max(Description, len * 2 + prio) AS description FROM (
     SELECT c.feature, c.len, l.Description, l.prio FROM (
       SELECT feature, i AS len, array_to_string(list_slice(toks, 1, i), '_') AS cand
       FROM (SELECT feature, string_split({_root_sql('feature')}, '_') AS toks FROM names),
-           LATERAL (SELECT unnest(generate_series(1, len(toks))) AS i)) c
+           LATERAL (SELECT unnest(generate_series(1, len(toks))) AS i) UNION ALL SELECT feature, 1000, feature FROM names) c
     JOIN (SELECT Row, Description, 0 AS prio FROM dict UNION ALL SELECT Row, Description, 1 FROM derived) l ON c.cand = l.Row)
   GROUP BY feature) b USING (feature)"""
 
 
-@register("describe_features", sql(ALL_FX, DESCRIBE_SQL, FEAT_CTE + [("names", FEATURE_NAMES_SQL), ("dict", FX.dictionary_sql()),
-                                                                      ("derived", FX.derived_sql())]))
+@register("describe_features", sql(ALL_FX, DESCRIBE_SQL, STORED_CTE + [("names", "SELECT DISTINCT feature FROM stop"), ("dict", FX.dictionary_sql()),
+                                                                        ("derived", FX.derived_sql())]))
 def q_describe_features(spark, d):
-    return V.describe_features(feature_names(spark, d), FX.dictionary_frame(spark), FX.derived_frame(spark))
+    """F2 on the strongest stored attributions of every client."""
+    top = written(stored_top(spark, d).select("SK_ID_CURR", "rank", "feature"), "top")
+    return top.join(V.describe_features(top, FX.dictionary_frame(spark), FX.derived_frame(spark)), "feature", "left").select(
+        "SK_ID_CURR", "rank", "feature", "description")
 
 
 @register("risk_band", sql([], rep(
@@ -707,12 +761,20 @@ def q_risk_band(spark, d):
 POS_WEIGHT = 12.5
 
 
+_CLIP = f"least(greatest(p, CAST({LOG_LOSS_EPS!r} AS DOUBLE)), CAST({1.0 - LOG_LOSS_EPS!r} AS DOUBLE))"
+EDGE_CTE = SCORES_CTE + [("edge", "SELECT y, CASE WHEN SK_ID_CURR % 41 = 0 THEN CAST(0 AS DOUBLE) WHEN SK_ID_CURR % 41 = 1 THEN CAST(1 AS DOUBLE) "
+                                  "ELSE p END AS p FROM scores")]
+
+
 @register("log_loss", sql([], rep(
-    f"SELECT sum(t) AS log_loss_sum, avg(t) AS log_loss_mean FROM (SELECT -(CAST({POS_WEIGHT} AS DOUBLE) * CAST(y AS DOUBLE) * ln(p) "
-    "+ (CAST(1 AS DOUBLE) - CAST(y AS DOUBLE)) * ln(CAST(1 AS DOUBLE) - p)) AS t FROM scores)",
-    ["log_loss_sum", "log_loss_mean"]), SCORES_CTE))
+    f"SELECT sum(t) AS log_loss_sum, avg(t) AS log_loss_mean FROM (SELECT -(CAST({POS_WEIGHT} AS DOUBLE) * CAST(y AS DOUBLE) * ln({_CLIP}) "
+    f"+ (CAST(1 AS DOUBLE) - CAST(y AS DOUBLE)) * ln(CAST(1 AS DOUBLE) - {_CLIP})) AS t FROM edge)",
+    ["log_loss_sum", "log_loss_mean"]), EDGE_CTE))
 def q_log_loss(spark, d):
-    return report(M.log_loss(scores(spark, d), "y", "p", POS_WEIGHT))
+    """F4 on scores of which some are exactly 0 or 1."""
+    k = F.col("SK_ID_CURR") % 41
+    edge = scores(spark, d).withColumn("p", F.when(k == 0, 0.0).when(k == 1, 1.0).otherwise(F.col("p")))
+    return report(M.log_loss(edge, "y", "p", POS_WEIGHT))
 
 
 # ---- 2.8 statistics -------------------------------------------------------------------------------------
@@ -737,14 +799,30 @@ def q_correlation_pairs(spark, d):
     return report(C.correlation_pairs(app(spark, d), CORR_COLUMNS))
 
 
-MATRIX_COLUMNS = [c for c in FEAT_OUT if c.startswith(("BURO_", "PREV_", "INSTAL_"))][:30]
-PAIRS_CTE = FEAT_CTE + [("pairs", _corr_sql("features", MATRIX_COLUMNS))]
+MATRIX_COLUMNS = FEAT_OUT  # every column of the feature row but the id; the label takes part
+_POS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(MATRIX_COLUMNS)) + ") AS t(feature, pos)"
+PAIRS_CTE = FEAT_CTE + [
+    ("pos", _POS_SQL),
+    ("cv", "SELECT SK_ID_CURR, pos, value FROM (SELECT SK_ID_CURR, " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in MATRIX_COLUMNS)
+     + " FROM features) UNPIVOT (value FOR feature IN (" + ", ".join(q(c) for c in MATRIX_COLUMNS) + ")) JOIN pos USING (feature) WHERE isfinite(value)"),
+    ("cm", "SELECT pos, avg(value) AS m FROM cv GROUP BY pos"),
+    ("cc", "SELECT SK_ID_CURR, pos, value - m AS value FROM cv JOIN cm USING (pos)"),
+    ("cp", f"SELECT a.pos AS i, b.pos AS j, CASE WHEN var_samp(a.value) > {C.VAR_TOLERANCE} AND var_samp(b.value) > {C.VAR_TOLERANCE} "
+           "THEN corr(a.value, b.value) END AS r, count(*) AS n FROM cc a JOIN cc b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.pos < b.pos GROUP BY 1, 2"),
+    # on a grid of 2^-20, so that 20,000 sums in another order print the same
+    ("pairs", "SELECT a.feature AS col_i, b.feature AS col_j, floor(r * 1048576 + 0.5) / 1048576 AS corr, "
+              "abs(floor(r * 1048576 + 0.5) / 1048576) AS abs_corr, coalesce(n, 0) AS n FROM pos a JOIN pos b ON a.pos < b.pos "
+              "LEFT JOIN cp ON cp.i = a.pos AND cp.j = b.pos")]
+
 
+def _all_pairs(spark, d) -> DataFrame:
+    r = F.floor(F.col("corr") * F.lit(1048576.0) + F.lit(0.5)) / F.lit(1048576.0)
+    return C.correlation_matrix_pairs(features(spark, d), MATRIX_COLUMNS).select("col_i", "col_j", r.alias("corr"), F.abs(r).alias("abs_corr"), "n")
 
-@register("correlation_matrix_pairs", sql(ALL_FX, rep("SELECT * FROM pairs", ["corr", "abs_corr"], ["col_i", "col_j", "n"]),
-                                          PAIRS_CTE))
+
+@register("correlation_matrix_pairs", sql(ALL_FX, "SELECT * FROM pairs", PAIRS_CTE))
 def q_correlation_matrix_pairs(spark, d):
-    return report(C.correlation_matrix_pairs(features(spark, d), MATRIX_COLUMNS))
+    return _all_pairs(spark, d)
 
 
 def _names_values(cols: list[str]) -> str:
@@ -755,8 +833,10 @@ def _names_values(cols: list[str]) -> str:
           "SELECT n.\"column\", EXISTS (SELECT 1 FROM pairs p WHERE p.col_j = n.\"column\" AND p.abs_corr > 0.8) AS dropped FROM names n",
           PAIRS_CTE + [("names", _names_values(MATRIX_COLUMNS))]))
 def q_prune_correlated(spark, d):
-    pairs = C.correlation_matrix_pairs(features(spark, d), MATRIX_COLUMNS)
-    return C.correlated_drop_report(pairs, MATRIX_COLUMNS, 0.8)
+    """C2 on the whole feature row: which columns ``prune_correlated`` drops."""
+    f = written(features(spark, d), "features")
+    _, dropped = C.prune_correlated(f, 0.8)
+    return f.sparkSession.createDataFrame([(c, c in set(dropped)) for c in MATRIX_COLUMNS], "column string, dropped boolean")
 
 
 @register("anova", sql(["fx_bureau"], rep("""
@@ -771,6 +851,12 @@ def q_anova(spark, d):
     return report(C.anova_table(fx(spark, d, "fx_bureau"), "AMT_CREDIT_SUM", "CREDIT_TYPE"))
 
 
+@register("anova_p_value")
+def q_anova_p_value(spark, d):
+    """C3 with its p-value (tail function tested against tabulated values)."""
+    return report(C.with_anova_p(C.anova_table(fx(spark, d, "fx_bureau"), "AMT_CREDIT_SUM", "CREDIT_TYPE")))
+
+
 def _chi2_cells_sql(table: str, x: str, y: str, where: str = "TRUE") -> str:
     return f"""
 SELECT g.x, g.y, coalesce(o.observed, 0) AS observed, g.expected, dof FROM (
@@ -816,6 +902,19 @@ def q_chi2_contributions(spark, d):
     return report(C.chi2_contributions(fx(spark, d, "fx_bureau"), "CREDIT_ACTIVE", "CREDIT_TYPE"))
 
 
+_HALF = "CAST(dof / 2 AS BIGINT)"
+
+
+@register("chi2_p_value", sql(["fx_bureau"], rep(
+    f"SELECT chi2, dof, n, exp(-chi2 / 2) * list_sum(list_transform(range(0, {_HALF}), lambda k: pow(chi2 / 2, k) / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE))) AS p "
+    f"FROM (SELECT sum(({YATES}) * ({YATES}) / expected) AS chi2, CAST(max(dof) AS BIGINT) AS dof, CAST(sum(observed) AS BIGINT) AS n FROM g)",
+    ["chi2", "p"], ["dof", "n"]),
+    [_cells_cte("fx_bureau", "CREDIT_ACTIVE", "CREDIT_TYPE"), ("g", _chi2_cells_sql("fx_bureau", "CREDIT_ACTIVE", "CREDIT_TYPE"))]))
+def q_chi2_p_value(spark, d):
+    """C4 with its p-value; for an even number of degrees of freedom SQL has the tail as a finite sum."""
+    return report(C.with_chi2_p(C.chi2_table(fx(spark, d, "fx_bureau"), "CREDIT_ACTIVE", "CREDIT_TYPE")))
+
+
 # ---- 2.9 sampling and splits ---------------------------------------------------------------------------
 
 
@@ -855,6 +954,23 @@ def q_stratified_kfold(spark, d):
     return G.kfold(fx(spark, d, "fx_application").select("SK_ID_CURR", "TARGET"), 5, "SK_ID_CURR", 1001, label="TARGET")
 
 
+@register("stratified_split_null_label", sql(["fx_application"], f"""
+SELECT SK_ID_CURR, TARGET, rk <= floor(CAST(n AS DOUBLE) * CAST(0.25 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS is_test FROM (SELECT SK_ID_CURR, TARGET,
+  row_number() OVER (PARTITION BY TARGET ORDER BY {parity_hash_sql('SK_ID_CURR', 7)}, SK_ID_CURR) AS rk, count(*) OVER (PARTITION BY TARGET) AS n FROM ul)""",
+    UNLABELLED_CTE))
+def q_stratified_split_null_label(spark, d):
+    """Rows without a label are split as a class of their own."""
+    return G.stratified_split(unlabelled(spark, d), "TARGET", 0.25, "SK_ID_CURR", 7)
+
+
+@register("stratified_kfold_null_label", sql(["fx_application"],
+          f"SELECT SK_ID_CURR, TARGET, CAST((row_number() OVER (PARTITION BY TARGET ORDER BY {parity_hash_sql('SK_ID_CURR', 1001)}, "
+          "SK_ID_CURR) - 1) % 5 AS INTEGER) AS fold FROM ul", UNLABELLED_CTE))
+def q_stratified_kfold_null_label(spark, d):
+    """Rows without a label get folds as a class of their own."""
+    return G.kfold(unlabelled(spark, d), 5, "SK_ID_CURR", 1001, label="TARGET")
+
+
 # ---- 2.10 imputation ---------------------------------------------------------------------------------------
 
 IMPUTE_COLS = ["DAYS_EMPLOYED", "CNT_FAM_MEMBERS"]
@@ -876,10 +992,39 @@ def q_impute_most_frequent(spark, d):
     return report(I.impute_simple(t, ["AMT_CREDIT_SUM_DEBT"], "most_frequent"))
 
 
-@register("cleanup")
+def _impute_nan_sql(fill) -> str:
+    return sql(["fx_bureau"], rep(f"SELECT SK_ID_BUREAU, {', '.join(f'CAST(coalesce({c}, {fill(c)}) AS DOUBLE) AS {c}' for c in NAN_COLS)} FROM nb",
+                                  NAN_COLS, ["SK_ID_BUREAU"]), NAN_CTE)
+
+
+@register("impute_simple_nan", _impute_nan_sql(lambda c: f"(SELECT avg({c}) FROM nb)"))
+def q_impute_simple_nan(spark, d):
+    """I1, mean: NaN is filled like NULL, and a whole number's mean isn't truncated."""
+    return report(I.impute_simple(nan_bureau(spark, d).select("SK_ID_BUREAU", *NAN_COLS), NAN_COLS, "mean"))
+
+
+@register("impute_median", _impute_nan_sql(lambda c: f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM nb)"))
+def q_impute_median(spark, d):
+    """I1, median: exact."""
+    return report(I.impute_simple(nan_bureau(spark, d).select("SK_ID_BUREAU", *NAN_COLS), NAN_COLS, "median"))
+
+
+@register("impute_constant", _impute_nan_sql(lambda c: "-1"))
+def q_impute_constant(spark, d):
+    """I1, constant."""
+    out = I.impute_simple(nan_bureau(spark, d).select("SK_ID_BUREAU", *NAN_COLS), NAN_COLS, "constant", -1.0)
+    return report(out.withColumn("CNT_PROLONG", F.col("CNT_PROLONG").cast("double")))
+
+
+@register("cleanup", sql(ALL_FX, rep("SELECT u.SK_ID_CURR, u.feature, u.value FROM u JOIN kept USING (feature) JOIN whole USING (SK_ID_CURR)", ["value"],
+                                     ["SK_ID_CURR", "feature"]),
+    FEAT_CTE + [("u", "SELECT SK_ID_CURR, feature, value FROM (SELECT SK_ID_CURR, " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in FEAT_OUT)
+                 + " FROM features) UNPIVOT INCLUDE NULLS (value FOR feature IN (" + ", ".join(q(c) for c in FEAT_OUT) + "))"),
+                ("kept", "SELECT feature FROM u GROUP BY feature HAVING count(value) >= 0.6 * count(*)"),
+                ("whole", "SELECT SK_ID_CURR FROM u JOIN kept USING (feature) GROUP BY SK_ID_CURR HAVING count(value) = count(*)")]))
 def q_cleanup(spark, d):
-    """I3 on the feature row: columns filled below 60% dropped, then incomplete rows dropped."""
-    return report(I.cleanup(features(spark, d), 0.6, impute=False))
+    """I3 on the feature row, in long form: columns filled below 60% dropped, then incomplete rows dropped."""
+    return report(P.transpose_client(I.cleanup(features(spark, d), 0.6, impute=False), "SK_ID_CURR"))
 
 
 # ---- 2.11 evaluation ---------------------------------------------------------------------------------------
@@ -1013,6 +1158,15 @@ def q_box_stats(spark, d):
     return report(V.box_stats(fx(spark, d, "fx_bureau"), "AMT_CREDIT_SUM", ["CREDIT_ACTIVE"]))
 
 
+@register("box_stats_null_group", sql(["fx_bureau"], rep(
+    "SELECT CREDIT_TYPE, count(*) AS n, min(AMT_CREDIT_SUM) AS \"min\", quantile_cont(AMT_CREDIT_SUM, 0.25) AS q1, "
+    "quantile_cont(AMT_CREDIT_SUM, 0.5) AS median, quantile_cont(AMT_CREDIT_SUM, 0.75) AS q3, max(AMT_CREDIT_SUM) AS \"max\" "
+    "FROM nb WHERE AMT_CREDIT_SUM IS NOT NULL GROUP BY CREDIT_TYPE", ["min", "q1", "median", "q3", "max"], ["CREDIT_TYPE", "n"]), NAN_CTE))
+def q_box_stats_null_group(spark, d):
+    """V3: the NULL group is a group; NaN values are missing."""
+    return report(V.box_stats(nan_bureau(spark, d), "AMT_CREDIT_SUM", ["CREDIT_TYPE"]))
+
+
 SCATTER = ["AMT_CREDIT", "AMT_ANNUITY", "CODE_GENDER"]
 
 
@@ -1035,13 +1189,12 @@ def q_client_vs_population(spark, d):
     return report(V.client_vs_population(app(spark, d), ids_sample(spark, d, 0.05, 3), "AMT_CREDIT", ["CODE_GENDER"]))
 
 
-@register("allowed_pairings", sql(["fx_application"], f"""
-SELECT "column", kind, CASE WHEN kind = 'categorical' THEN 'numeric' ELSE 'all' END AS y_options,
-  CASE WHEN kind = 'categorical' THEN (SELECT count(*) FROM k WHERE kind = 'numeric') ELSE (SELECT count(*) FROM k) END AS n_options
-FROM k""", APP_CTE + [("k", _distinct_sql("app", APP_OUT))]))
+@register("allowed_pairings", sql(["fx_application"], """
+SELECT x."column", x.kind, string_agg(y."column", ',' ORDER BY y."column") AS y_options, count(y."column") AS n_options
+FROM k x LEFT JOIN k y ON y."column" <> x."column" AND (x.kind <> 'categorical' OR y.kind = 'numeric') GROUP BY x."column", x.kind""",
+    APP_CTE + [("k", _distinct_sql("app", APP_OUT))]))
 def q_allowed_pairings(spark, d):
-    kinds = P.split_columns_by_cardinality(app(spark, d), APP_OUT)
-    return V.allowed_pairings(kinds).withColumn("n_options", F.col("n_options").cast("long"))
+    return V.allowed_pairings(P.split_columns_by_cardinality(app(spark, d), APP_OUT))
 
 
 @register("client_top_values", sql(["fx_application"], rep(

@@ -16,15 +16,18 @@ from riskloom.operators import explain as X
 from riskloom.operators import impute as I
 from riskloom.operators import model as M
 from riskloom.operators import sampling as G
+from riskloom.plans import catalog as C
+from riskloom.plans import registry as R
 from riskloom.plans.catalog import app, features
 from riskloom.plans.registry import register
-from riskloom.session import scratch_path
+from riskloom.session import scratch_path, written
 from riskloom.sources import sinks as S
 from riskloom.streaming.score_stream import stream_score
 
 LABEL = "TARGET"
 ID = "SK_ID_CURR"
 MODEL_PARAMS = {"maxIter": 12, "maxDepth": 4, "stepSize": 0.1}
+BACKGROUND = 1000
 _CACHE: dict = {}
 
 
@@ -43,9 +46,8 @@ def split_features(spark: SparkSession, d: str) -> DataFrame:
 def trained(spark: SparkSession, d: str):
     key = (spark.sparkContext.applicationId, d)  # a new context never reuses a cached model
     if key not in _CACHE:
-        # read by the weight count, the imputer fit, the trees and the scoring queries: keep it cached
-        # (recomputable from lineage if an executor is lost)
-        s = split_features(spark, d).persist()
+        # read by the weight count, the imputer fit, the trees and the scoring queries: written once
+        s = written(split_features(spark, d), "split-features")
         feats = model_features(s.drop("is_test", "is_valid"))
         train = s.where(~F.col("is_test"))
         w = M.class_weight(train, LABEL)
@@ -77,37 +79,31 @@ def q_feature_importance(spark, d):
 
 @register("cross_validate_oof")
 def q_cross_validate_oof(spark, d):
-    """M2: out-of-fold scores of a 3-fold stratified run (per-fold AUC and importances alongside)."""
-    f = features(spark, d)
+    """M2: out-of-fold scores of a 5-fold stratified run (per-fold AUC and importances alongside); 5 trees a fold."""
+    f = written(features(spark, d), "features")
     feats = model_features(f)
-    oof, _, _ = M.cross_validate_oof(f, feats, LABEL, k=3, id_col=ID, seed=1001, maxIter=5, maxDepth=3, stepSize=0.1)
+    oof, _, _ = M.cross_validate_oof(f, feats, LABEL, k=5, id_col=ID, seed=1001, maxIter=5, maxDepth=3, stepSize=0.1)
     return report(oof)
 
 
 @register("random_search")
 def q_random_search(spark, d):
-    """M3: two seeded draws, 2-fold stratified AUC each."""
-    f = app(spark, d)
+    """M3: two seeded draws over the whole feature row, 2-fold stratified AUC each."""
+    f = written(features(spark, d), "features")
     feats = model_features(f)
-    space = {"stepSize": [0.05, 0.1], "maxDepth": [2, 3], "maxIter": [5, 8]}
+    space = {"stepSize": [0.05, 0.1], "maxDepth": [2, 3], "maxIter": [3, 5]}
     _, table = M.random_search(f, feats, LABEL, n_iter=2, k=2, space=space, id_col=ID, seed=3)
     return report(table)
 
 
 @register("tree_attribution")
 def q_tree_attribution(spark, d):
-    """Interventional attributions of the test clients against a 50-row background."""
-    model, s, feats = trained(spark, d)
-    gbt = model.stages[-1]
-    train = s.where(~F.col("is_test"))
+    """Interventional attributions of the test clients against a background of ``BACKGROUND`` training rows."""
+    model, s, _ = trained(spark, d)
     # the trees see median-imputed values: explain in that space
-    imputer = model.stages[0]
-    imp_cols = imputer.getOutputCols()
-    rows = imputer.transform(s.where("is_test").select(ID, *[F.col(f"`{c}`").cast("double").alias(c) for c in feats]))
-    bg = imputer.transform(G.sample_n(train.select(ID, *[F.col(f"`{c}`").cast("double").alias(c) for c in feats]), 50, ID, 0))
-    long = X.tree_attribution(gbt, rows.select(ID, *imp_cols), bg.select(*imp_cols), imp_cols, ID)
-    names = F.create_map(*[x for c, f in zip(imp_cols, feats) for x in (F.lit(c), F.lit(f))])
-    return report(long.select(ID, names[F.col("feature")].alias("feature"), "phi"))
+    rows = M.imputed_rows(model, s.where("is_test"), ID)
+    bg = M.imputed_rows(model, G.sample_n(s.where(~F.col("is_test")), BACKGROUND, ID, 0), ID)
+    return report(X.tree_attribution(model.stages[-1], rows, bg, [c for c in rows.columns if c != ID], ID, names=M.model_features(model)))
 
 
 @register("stream_score")
@@ -124,16 +120,32 @@ def q_stream_score(spark, d):
 
 @register("impute_iterative")
 def q_impute_iterative(spark, d):
-    """Two rounds of regression imputation on four application columns."""
-    cols = ["DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "AMT_ANNUITY", "AMT_CREDIT"]
-    return report(I.impute_iterative(app(spark, d).select(ID, *cols), cols, rounds=2, id_col=ID))
+    """Three rounds of regression imputation on the application's numbers."""
+    cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "DAYS_EMPLOYED_PERC",
+            "INCOME_PER_PERSON"]
+    return report(I.impute_iterative(app(spark, d).select(ID, *cols), cols, rounds=3, id_col=ID))
+
+
+@register("impute_iterative_round", C.sql(["fx_application"], C.rep(
+    "SELECT SK_ID_CURR, AMT_CREDIT, coalesce(CNT_FAM_MEMBERS, (SELECT regr_intercept(CNT_FAM_MEMBERS, AMT_CREDIT) FROM app) "
+    "+ (SELECT regr_slope(CNT_FAM_MEMBERS, AMT_CREDIT) FROM app) * AMT_CREDIT) AS CNT_FAM_MEMBERS FROM app",
+    ["AMT_CREDIT", "CNT_FAM_MEMBERS"], [ID]), C.APP_CTE))
+def q_impute_iterative_round(spark, d):
+    """One round on two columns, which SQL can express as a regression line."""
+    cols = ["AMT_CREDIT", "CNT_FAM_MEMBERS"]
+    return report(I.impute_iterative(app(spark, d).select(ID, *cols), cols, rounds=1, id_col=ID))
+
+
+def _not_again() -> DataFrame:
+    raise RuntimeError("the table is there and must not be built again")
 
 
-@register("build_or_load")
+@register("build_or_load", R.ORACLE["join_feature_blocks"])
 def q_build_or_load(spark, d):
-    """S5 (+ S4): the feature table materialised once in the shared folder, then read back."""
+    """S5 (+ S4): the feature table materialised once in the shared folder, then loaded by a second call."""
     path = scratch_path(spark, f"features-{uuid.uuid4().hex}")
-    return report(S.build_or_load(spark, path, lambda: features(spark, d)))
+    S.build_or_load(spark, path, lambda: features(spark, d))
+    return report(S.build_or_load(spark, path, _not_again))
 
 
 @register("write_scores")

@@ -80,5 +80,3 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def fixture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(fixture_tables(spark, sf_dir))

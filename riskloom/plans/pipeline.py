@@ -12,6 +12,7 @@ raw history tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,11 +36,23 @@ LABEL = "TARGET"
 def create_datasets(spark: SparkSession, tables: Mapping[str, DataFrame], name: str = "dataset",
                     threshold: float = 0.8, sample_fraction: float | None = 0.25, rebuild: bool = False,
                     vocab=None) -> tuple[DataFrame, list[str]]:
-    """Feature row materialised once, correlated columns dropped (decided on a hash sample)."""
-    full = S.build_or_load(spark, scratch_path(spark, f"{name}-features"), lambda: build_features(tables, vocab), rebuild)
-    pruned, dropped = prune_correlated(full, threshold, sample_fraction, protect=(ID,), id_col=ID)
-    cleaned = S.build_or_load(spark, scratch_path(spark, f"{name}-cleaned"), lambda: pruned, rebuild)
-    return cleaned, dropped
+    """Feature row materialised once, correlated columns dropped (decided on a hash sample).
+
+    The tables' paths depend on the name, the input plans and the settings, so other inputs or settings never read an old table; the dropped
+    columns are stored beside the pruned table.
+    """
+    plans = "|".join(f"{k}:{t._jdf.queryExecution().analyzed().canonicalized().toString()}" for k, t in sorted(tables.items()))  # noqa: SLF001
+    key = hashlib.sha256(f"{plans}|{vocab}".encode()).hexdigest()[:16]
+    full = S.build_or_load(spark, scratch_path(spark, f"{name}-features-{key}"), lambda: build_features(tables, vocab), rebuild)
+    path = scratch_path(spark, f"{name}-cleaned-{key}-{threshold}-{sample_fraction}")
+
+    def prune() -> DataFrame:
+        pruned, gone = prune_correlated(full, threshold, sample_fraction, protect=(ID,), id_col=ID)
+        S.write_table(spark.createDataFrame([(c,) for c in gone], "column string"), f"{path}-dropped")
+        return pruned
+
+    cleaned = S.build_or_load(spark, path, prune, rebuild)
+    return cleaned, sorted(r["column"] for r in spark.read.schema("column string").parquet(f"{path}-dropped").collect())
 
 
 def prepare_data(df: DataFrame, features: Sequence[str] | None = None, test_fraction: float = 0.05, seed: int = 0,
@@ -84,20 +97,14 @@ def run_model(train: DataFrame, test: DataFrame, features: Sequence[str] | None
     return ModelRun(model, feats, scores, auc, conf, rep, ML.feature_importance(model, feats), mean_p)
 
 
-def explain_scores(run: ModelRun, train: DataFrame, rows: DataFrame, background_n: int = 100, seed: int = 0,
+def explain_scores(run: ModelRun, train: DataFrame, rows: DataFrame, background_n: int = 10_000, seed: int = 0,
                    out_path: str | None = None) -> tuple[float, DataFrame]:
     """(base value, long attributions) for ``rows``; background = ``background_n`` hash-sampled
     training rows, in the model's imputed feature space."""
-    imputer = run.model.stages[0]
-    cols = imputer.getOutputCols()
-    as_double = [F.col(f"`{c}`").cast("double").alias(c) for c in run.features]
-    bg = imputer.transform(G.sample_n(train.select(ID, *as_double), background_n, ID, seed))
-    base = ML.batch_score(run.model, G.sample_n(train, background_n, ID, seed), ID).agg(
-        F.avg("probability_1")).first()[0]
-    x = imputer.transform(rows.select(ID, *as_double))
-    long = X.tree_attribution(run.model.stages[-1], x.select(ID, *cols), bg.select(*cols), cols, ID)
-    names = F.create_map(*[v for c, f in zip(cols, run.features) for v in (F.lit(c), F.lit(f))])
-    long = long.select(ID, names[F.col("feature")].alias("feature"), "phi")
+    drawn = G.sample_n(train, background_n, ID, seed)
+    base = ML.batch_score(run.model, drawn, ID).agg(F.avg("probability_1")).first()[0]
+    bg, x = ML.imputed_rows(run.model, drawn, ID), ML.imputed_rows(run.model, rows, ID)
+    long = X.tree_attribution(run.model.stages[-1], x, bg, [c for c in x.columns if c != ID], ID, names=ML.model_features(run.model))
     if out_path:
         S.persist_attributions(long, base, out_path)
     return base, long

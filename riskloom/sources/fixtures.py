@@ -268,7 +268,9 @@ DERIVED_DEFINITIONS = (
     ("PAYMENT_DIFF", "AMT_INSTALMENT - AMT_PAYMENT"),
     ("DPD", "DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT"),
     ("DBD", "DAYS_INSTALMENT - DAYS_ENTRY_PAYMENT"),
-    ("COUNT", "Number of installments accounts"),
+    ("INSTAL_COUNT", "Number of installments accounts"),
+    ("POS_COUNT", "Number of point-of-sale and cash loan months"),
+    ("CC_COUNT", "Number of credit card months"),
 )
 
 

@@ -31,11 +31,12 @@ def start_stream_score(spark: SparkSession, model: PipelineModel, input_dir: str
 
 
 def stream_score(spark: SparkSession, model: PipelineModel, input_dir: str, output_dir: str, checkpoint: str,
-                 schema: T.StructType, id_col: str = "SK_ID_CURR", timeout_s: int = 600):
-    """Run the stream over the files present, wait for it, return the scored table."""
+                 schema: T.StructType, id_col: str = "SK_ID_CURR", timeout_s: float | None = None):
+    """Run the stream over the files present, wait for it (without limit unless the caller gives one), return the scored table."""
     q = start_stream_score(spark, model, input_dir, output_dir, checkpoint, schema, id_col, available_now=True)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("scoring stream did not finish")
     return spark.read.parquet(output_dir)

@@ -40,11 +40,11 @@ def test_tree_attribution_additive(spark, fitted, emb):
     imputer = fitted.stages[0]
     cols = imputer.getOutputCols()
     rows = imputer.transform(emb.limit(40))
-    bg = imputer.transform(sample_n(emb, 20, "SK_ID_CURR", 0))
+    bg = imputer.transform(sample_n(emb, 1000, "SK_ID_CURR", 0))
     long = X.tree_attribution(fitted.stages[-1], rows.select("SK_ID_CURR", *cols), bg.select(*cols), cols)
     sums = {r.SK_ID_CURR: r.s for r in long.groupBy("SK_ID_CURR").agg(F.sum("phi").alias("s")).collect()}
     p = {r.SK_ID_CURR: r.probability_1 for r in M.batch_score(fitted, emb.limit(40)).collect()}
-    base = np.mean([r.probability_1 for r in M.batch_score(fitted, sample_n(emb, 20, "SK_ID_CURR", 0)).collect()])
+    base = np.mean([r.probability_1 for r in M.batch_score(fitted, sample_n(emb, 1000, "SK_ID_CURR", 0)).collect()])
     for k, s in sums.items():
         assert abs(base + s - p[k]) < 1e-6
 

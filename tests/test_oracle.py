@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 
 SUBSET = ["join_feature_blocks", "bureau_block", "previous_block", "installments_block", "credit_card_block",
           "ratio_features", "one_hot", "join_subset_aggregate", "raw_join", "agg_spec", "contingency", "top_k_per_client",
-          "waterfall_steps", "describe_features", "correlation_pairs", "chi2_test", "stratified_kfold", "auc_roc",
+          "waterfall_steps", "describe_features", "top_importances", "correlation_pairs", "chi2_test", "chi2_p_value", "impute_median", "cleanup", "box_stats_null_group",
+          "stratified_split_null_label", "log_loss", "category_share_long", "self_lookup_by_id", "stratified_kfold", "auc_roc",
           "threshold_gain_sweep", "box_stats", "client_vs_population"]
 
 
