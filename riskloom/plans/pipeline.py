@@ -59,7 +59,7 @@ def prepare_data(df: DataFrame, features: Sequence[str] | None = None, test_frac
                  tables: Mapping[str, DataFrame] | None = None, export_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the listed features (all but id and label by default), stratified by label."""
     feats = list(features) if features is not None else [c for c in df.columns if c not in (ID, LABEL)]
-    split = G.stratified_split(df.select(ID, LABEL, *feats), LABEL, test_fraction, ID, seed)
+    split = G.stratified_split(df.select(ID, LABEL, *[F.col(f"`{c}`") for c in feats]), LABEL, test_fraction, ID, seed)
     test = split.where("is_test").drop("is_test")
     train = split.where(~F.col("is_test")).drop("is_test")
     if tables is not None and export_dir is not None:
