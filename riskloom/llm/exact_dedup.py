@@ -66,16 +66,19 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; of rows repeated with one id and text one stays."""
+    key = F.sha2(F.translate(text_or_empty(text_column), WHITE, ""), 256)
     found = materialise(exact_dedup(docs, id_column, text_column), "exact")
-    kept = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    once, again = kept.where("copies = 1"), kept.where("copies > 1")
-    same = F.col(id_column).eqNullSafe(F.col("__stays"))
-    single = docs.join(once.select(F.col("doc_id").alias("__stays")), same, "left_semi")
-    repeated = docs.join(again.select(F.col("doc_id").alias("__stays")), same, "left_semi")
-    if again.isEmpty():
+    kept = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+
+    def those(which: str) -> DataFrame:
+        ids = kept.where(which).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
+        return docs.withColumn("__key", key).join(ids, same, "left_semi")
+
+    single = those("copies = 1").drop("__key")
+    if kept.where("copies > 1").isEmpty():
         return single
-    key = F.sha2(F.translate(text_or_empty(text_column), WHITE, ""), 256)
-    return single.unionByName(repeated.withColumn("__key", key).dropDuplicates([id_column, "__key"]).drop("__key"))
+    return single.unionByName(those("copies > 1").dropDuplicates([id_column, "__key"]).drop("__key"))
 
 
 SQL = """
