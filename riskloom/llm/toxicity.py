@@ -137,33 +137,34 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(pairs: np.ndarray, n: int, prior: float, correlated: float = 0.1, rounds: int = 50) -> LabelModel:
+def label_model(pairs: np.ndarray, n: int, prior: float, lexicons: int, correlated: float = 0.1, rounds: int = 50) -> LabelModel:
     """Method of moments. For voters independent given the class, cov(i, j) = prior (1 - prior) d_i d_j off the diagonal, where d is the
-    difference of firing rates; d is the rank-one fit. Pairs whose class-conditional correlation stays above ``correlated`` are left out of
-    the fit, and share their weight."""
+    difference of firing rates; d is the rank-one fit. Pairs whose class-conditional correlation stays above ``correlated``, at most the strongest quarter,
+    are left out of the fit, and share their weight. The sign, which moments leave open, is that by which the lexicons speak for class 1."""
     mean = np.diag(pairs) / n
     cov = pairs / n - np.outer(mean, mean)
     scale = prior * (1 - prior)
     m = len(mean)
     use = ~np.eye(m, dtype=bool)
+    edge = correlated
     d = np.sqrt(np.maximum(np.diag(cov), 0))
     resid = np.zeros((m, m))
+    apart = ~np.eye(m, dtype=bool)
     for _ in range(4):
         for _ in range(rounds):
-            d = (np.where(use, cov / scale, 0) @ d) / np.maximum(use @ d**2, 1e-12)
-            bound = np.minimum(mean / prior, (1 - mean) / (1 - prior) + mean)
-            d = np.clip(d, -np.minimum(1, mean / (1 - prior) + 1e-9), np.minimum(1, bound + 1e-9))
+            # half a step: the full one maps k d to d / k and back
+            d = 0.5 * (d + (np.where(use, cov / scale, 0) @ d) / np.maximum(use @ d**2, 1e-12))
+            d = np.clip(d, -np.minimum(1, mean / (1 - prior) + 1e-9), np.minimum(1, mean / prior + 1e-9))
         within = np.maximum(mean * (1 - mean) - scale * d**2, 1e-9)
         resid = (cov - scale * np.outer(d, d)) / np.sqrt(np.outer(within, within))
-        use = ~np.eye(m, dtype=bool) & (np.abs(resid) < correlated)
-        lone = use.sum(axis=1) < 2
-        use[lone] = use[:, lone] = True
-        np.fill_diagonal(use, False)
-    if d[np.argmax(np.abs(d))] < 0 or d[0] < 0:
-        d = np.abs(d)
+        # a quarter of the pairs at most, or nothing would be left to fit
+        edge = max(correlated, float(np.quantile(np.abs(resid[apart]), 0.75)))
+        use = apart & (np.abs(resid) < edge)
+    if d[:lexicons].sum() < 0:
+        d = -d
     rate = lambda x: np.clip(x, 1e-3, 1 - 1e-3)
     linked = np.clip(resid - np.diag(np.diag(resid)), 0, 1)
-    linked[linked < correlated] = 0
+    linked[linked < edge] = 0
     return LabelModel(prior, rate(mean + (1 - prior) * d), rate(mean - prior * d), 1 / (1 + linked.sum(axis=1)))
 
 
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         else:
             pairs[i, j] = k
     prior = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
-    model = label_model(pairs, n, prior)
+    model = label_model(pairs, n, prior, voters.lexicons)
     # the sample's votes follow from its features and, for the patterns, are not needed: a silent pattern voter says next to nothing
     votes = np.zeros((len(y), voters.lexicons), bool)
     who = voters.of_feature[found]
