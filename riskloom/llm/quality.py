@@ -73,6 +73,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    fitted: bool = True
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, found = features(data, offsets)
@@ -136,7 +137,7 @@ def fit_rows(rows: np.ndarray, found: np.ndarray, y: np.ndarray, cost: float = 1
     weights = np.zeros((2, 1 << BITS))
     if n < 20 or len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (n + 2)
-        return Model(weights, 0.0, 1.0, float(np.log(p / (1 - p))))
+        return Model(weights, 0.0, 1.0, float(np.log(p / (1 - p))), False)
     fit = np.arange(n) % 5 != 4
     k = fit[rows]
     ratio = log_count_ratio(rows[k], found[k], y)
@@ -194,5 +195,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
               sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns unchanged."""
-    return docs.where(score_column(fit(docs, labels, id_column, text_column, sample=sample), text_column) >= threshold)
+    """The rows of ``docs`` that the classifier accepts, all columns unchanged; all rows if labels of both classes are wanting."""
+    model = fit(docs, labels, id_column, text_column, sample=sample)
+    return docs.where(score_column(model, text_column) >= threshold) if model.fitted else docs
