@@ -90,16 +90,18 @@ class Voters:
         return np.concatenate([votes, pattern_votes(data, offsets, rows, found)], axis=1)
 
 
-def induce(rows: np.ndarray, found: np.ndarray, y: np.ndarray, lexicons: int = LEXICONS, least: int = 3, z: float = 7.0) -> Voters:
+def induce(rows: np.ndarray, found: np.ndarray, y: np.ndarray, lexicons: int = LEXICONS, chance: float = 5e-5) -> Voters:
     """Features that occur mostly in class 1 of the labelled rows, dealt to lexicons by hash; the hand-written words that
-    are not among them are lexicon 0."""
+    are not among them are lexicon 0. ``chance`` bounds (by Chernoff) the probability that a neutral feature looks as one-sided."""
     table = np.full(1 << BITS, -1, np.int16)
     if len(y) and 0 < y.sum() < len(y):
         one = np.bincount(found[y[rows] == 1], minlength=1 << BITS)
         zero = np.bincount(found[y[rows] == 0], minlength=1 << BITS)
         base = y.mean()
         total = one + zero
-        strong = (one >= least) & ((one - total * base) > z * np.sqrt(total * base * (1 - base))) & (one > 0.8 * total)
+        share = np.clip(one / np.maximum(total, 1), 1e-9, 1 - 1e-9)
+        distance = share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))
+        strong = (share > 0.8) & (total * distance > -np.log(chance))
         ids = np.flatnonzero(strong)
         table[ids] = 1 + bucket(ids, 9, BITS) % lexicons
     own = _word_ids(WORDS)
@@ -165,7 +167,7 @@ def label_model(pairs: np.ndarray, n: int, prior: float, lexicons: int, correlat
     rate = lambda x: np.clip(x, 1e-3, 1 - 1e-3)
     linked = np.clip(resid - np.diag(np.diag(resid)), 0, 1)
     linked[linked < edge] = 0
-    return LabelModel(prior, rate(mean + (1 - prior) * d), rate(mean - prior * d), 1 / (1 + linked.sum(axis=1)))
+    return LabelModel(prior, rate(mean + (1 - prior) * d), rate(mean - prior * d), 1 / np.sqrt(1 + linked.sum(axis=1)))
 
 
 def refine(model: LabelModel, votes: np.ndarray, rounds: int = 10, anchor: float = 2.0) -> LabelModel:
