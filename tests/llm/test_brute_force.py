@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_SMALL
 from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, token_order, toxicity, warc
 from riskloom.llm.queries import table
 from riskloom.llm.textbytes import string_buffers
@@ -313,23 +313,28 @@ def test_url_key(spark):
 # ---- classifiers -----------------------------------------------------------------------------------
 
 
-def held_out(spark, found, label):
-    labels = table(spark, SF_MID, "labels").select("doc_id", F.col(label).alias("y")).where("y IS NOT NULL")
-    rows = found.join(labels, "doc_id").where("held_out").toPandas()
-    return rows
+SF_LARGE = "/root/testdata/sf0.1"  # the smaller tables hold a handful of toxic held-out rows
+
+
+def held_out(spark, classify, label):
+    labels = table(spark, SF_LARGE, "labels")
+    found = classify(table(spark, SF_LARGE, "documents"), labels)
+    return found.join(labels.select("doc_id", "quality", F.col(label).alias("y")).where("y IS NOT NULL"), "doc_id").where("held_out").toPandas()
 
 
 def test_quality_held_out(spark):
-    rows = held_out(spark, quality.classify(table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")), "quality")
-    assert (rows.predicted == rows.y).mean() > 0.93 and rows.predicted[rows.y == 1].mean() > 0.97
+    rows = held_out(spark, quality.classify, "quality")
+    assert (rows.predicted == rows.y).mean() > 0.98 and rows.predicted[rows.y == 1].mean() > 0.99
 
 
 def test_toxicity_held_out(spark):
-    rows = held_out(spark, toxicity.classify(table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")), "toxic")
+    rows = held_out(spark, toxicity.classify, "toxic")
+    rows = rows[rows.quality == 1]  # half of the junk texts labelled toxic hold no insult any more
+    assert rows.predicted[rows.y == 1].mean() > 0.8 and rows.predicted[rows.y == 0].mean() < 0.01
     order = rows.score.rank()
     one = rows.y == 1
     auc = (order[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
-    assert auc > 0.9 and (rows.predicted == rows.y).mean() > 0.93
+    assert auc > 0.97 and (rows.predicted == rows.y).mean() > 0.97
 
 
 def test_label_model_recovers_rates():
