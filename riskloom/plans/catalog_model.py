@@ -1,7 +1,8 @@
 """Model, explanation, streaming and sink queries.
 
-Their results depend on a trained model or on files written along the way, so the driver checks
-them by rows only (no SQL). The model is fitted once per session and data folder and reused.
+Most results depend on a trained model, so the driver checks them by rows only. The model is fitted once per
+session and data folder and reused. Numbers of trees, folds, draws and background rows are the queries' arguments; the operators set no
+upper limit.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Registered queries (one per operator of the inventory) and their DuckDB oracle SQL.
 
 Every query reads the driver's tables through the fixture views, runs the operator over the whole
-tables and ends in ``report`` (doubles rounded to 8 significant digits, same rule in the SQL).
+tables and ends in ``report`` (doubles rounded to 30 significant bits, same rule in the SQL).
 """
 
 from __future__ import annotations
