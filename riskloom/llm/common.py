@@ -57,8 +57,7 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Co
             .withColumn("h", F.xxhash64("doc_id")))
     n = rows.count()
     if n > 2 * bound:
-        span = int(1.3 * bound / n * 2**63)
-        rows = rows.where(F.col("h").between(-(2**62), -(2**62) + span))
+        rows = rows.where(F.col("h") < int(1.3 * bound / n * 2**64) - 2**63)
     ids = rows.groupBy("doc_id", "h").agg(F.max("y").alias("y")).orderBy("h", "doc_id").limit(bound).drop("h")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", text_or_empty().alias("text"), "y")
