@@ -134,5 +134,5 @@ bad AS (SELECT DISTINCT doc_id, item_id, shift, true AS odd FROM
   (SELECT doc_id, item_id, shift, a FROM pairs GROUP BY ALL HAVING min(b) <> max(b))),
 found AS (SELECT doc_id, item_id, count(DISTINCT CASE WHEN odd IS NULL THEN q END) AS matched, max(windows) AS windows,
   max(odd) IS NULL AS consistent FROM hits LEFT JOIN bad USING (doc_id, item_id, shift) GROUP BY doc_id, item_id)
-SELECT *, matched / windows AS coverage, matched / windows >= {COVERAGE} AS leaked FROM found
+SELECT *, matched / windows AS coverage, matched / windows >= {COVERAGE} AS leaked FROM found WHERE matched / windows >= {COVERAGE}
 """
