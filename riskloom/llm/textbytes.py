@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +37,20 @@ def row_groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[
         low = high
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _power_table(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; one table per worker, not kept for texts far beyond a group."""
+    global _powers
+    if _powers.shape[1] >= n:
+        return _powers
+    steps = np.repeat(np.array([[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64), n, axis=1)
+    steps[:, 0] = 1
+    np.multiply.accumulate(steps, axis=1, out=steps)
+    if n <= 4 * GROUP_BYTES:
+        _powers = steps
+    return steps
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,10 +63,12 @@ class RangeHash:
     """64-bit hashes of any byte ranges of one array, equal for equal bytes: prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, int(len(data)).bit_length())
-        up, self.down = _powers(size)
+        up, self.down = _power_table(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        steps = data.astype(np.uint64)
+        steps += np.uint64(1)
+        steps *= up[: len(data)]
+        np.cumsum(steps, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

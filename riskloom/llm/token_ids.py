@@ -22,9 +22,9 @@ OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 #: The byte-level pre-tokeniser's pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces kept per worker; beyond it the memo starts anew.
-MEMO = 2_000_000
+MEMO = 800_000
 #: Longer texts are tokenised in parts, cut before a single space between letters.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
