@@ -6,12 +6,18 @@ windows of all documents, so a question whose numbers or names were changed stil
 document and an item, slot consistency is checked: one value of the item must always stand for one value of the document. An item leaks into a
 document if the consistent alignments cover at least ``coverage`` of the item's windows.
 
+A text has three forms, joined apart: in ``typed``, capitalised words inside a sentence are names; in ``starts``, those that begin a sentence or
+the text as well, whatever the word (an ordinary word must then stand for one word); in ``blind``, the text is in lower case and no word is
+a name, so a change of case alters nothing. The form in which most of the item is found decides; ``typed`` goes first if the item leaks in it.
+
 The item windows are broadcast up to ``BROADCAST_ROWS`` of them (about 20 MB, counted first); more are joined by a shuffle of the windows.
 Documents' windows are (id, place, hash) rows; the words of a document are only read again for matches that have slots.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,39 +34,49 @@ UNITS = ("km cm mm nm mi miles mile m meters metres feet foot ft inches inch yar
 _LETTER, _CAP = r"[\p{L}\p{M}]", r"\p{Lu}[\p{L}\p{M}]*"
 NAME = rf"([\p{{L}}\p{{N}},;] )({_CAP}(?: {_CAP}){{0,3}})"
 UNIT = rf"(\p{{N}} ?)({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\p{{L}}\p{{M}}]|$)"
+ANY_NAME = rf"(^|[^\p{{L}}\p{{M}}])({_CAP}(?: {_CAP}){{0,3}})"
+FORMS = ("typed", "starts", "blind")
 TOKEN = rf"\x02{_CAP}(?: {_CAP}){{0,3}}|\x03?{_LETTER}+|\p{{N}}+(?:[.,:/]\p{{N}}+)*"
 
 
-def raw_words(text_column: str = "text") -> Column:
-    """Words, numbers and names of a text; units begin with \\x03 and names with \\x02."""
+def raw_words(text_column: str = "text", form: str = "typed") -> Column:
+    """Words, numbers and names of a text in one of ``FORMS``; units begin with \\x03 and names with \\x02."""
     text = F.regexp_replace(text_or_empty(text_column), "[\x02\x03]", " ")
-    marked = F.regexp_replace(F.regexp_replace(text, UNIT, "$1\x03$2$3"), NAME, "$1\x02$2")
+    marked = F.regexp_replace(F.lower(text) if form == "blind" else text, UNIT, "$1\x03$2$3")
+    if form != "blind":
+        marked = F.regexp_replace(marked, NAME if form == "typed" else ANY_NAME, "$1\x02$2")
     return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 
 def canonical(words: str) -> Column:
     """The words with placeholders for typed slots."""
-    return F.expr(f"transform({words}, w -> CASE WHEN w < '\x03' THEN '<name>' WHEN w < '\x04' THEN '<unit>' "
-                  f"WHEN w >= '0' AND w < ':' THEN '<num>' ELSE lower(w) END)")
+    return F.expr(f"transform({words}, w -> {_CANON})")
+
+
+_CANON = ("CASE WHEN w < '\x03' THEN '<name>' WHEN w < '\x04' THEN '<unit>' WHEN w >= '0' AND w < ':' THEN '<num>' ELSE lower(w) END")
 
 
 def _hashes(words: str, width: int) -> str:
+    """Hashes of the windows of an array of word hashes."""
     return (f"CASE WHEN size({words}) >= {width} THEN transform(sequence(0, size({words}) - {width}), "
             f"i -> xxhash64(slice({words}, i + 1, {width}))) ELSE array() END")
 
 
 def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width: int, literals: int) -> DataFrame:
-    """(item_id, q, width, h, slots, values, windows): windows with enough literal words; short items are one window."""
-    items = (benchmark.select(F.col(item_column).alias("item_id"), raw_words(text_column).alias("raw")).where("size(raw) > 0").distinct()
+    """(item_id, form, q, width, h, slots, values, windows): windows with enough literal words; short items are one window."""
+    texts = benchmark.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text"))
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
+    items = (texts.select("item_id", F.explode_outer(forms).alias("f")).select("item_id", "f.form", "f.raw").where("size(raw) > 0").distinct()
              .withColumn("words", canonical("raw")).withColumn("width", F.least(F.lit(width), F.size("words"))))
-    cut = items.select("item_id", "raw", "words", "width", F.explode_outer(F.expr("sequence(0, size(words) - width)")).alias("q"))
+    cut = items.select("item_id", "form", "raw", "words", "width", F.explode_outer(F.expr("sequence(0, size(words) - width)")).alias("q"))
     cut = (cut.withColumn("own", F.expr("slice(words, q + 1, width)"))
            .withColumn("slots", F.expr("filter(sequence(0, width - 1), k -> own[k] IN ('<name>', '<unit>', '<num>'))"))
            .withColumn("values", F.expr("transform(slots, k -> raw[q + k])"))
            .where(F.col("width") - F.size("slots") >= F.lit(literals)))
-    found = cut.select("item_id", "q", "width", F.xxhash64("own").alias("h"), "slots", "values")
-    total = found.groupBy("item_id").agg(F.count_distinct("q").alias("windows"))
-    return found.join(total.withColumnRenamed("item_id", "item"), F.expr("item_id <=> item")).drop("item")
+    found = cut.select("item_id", "form", "q", "width", F.expr("xxhash64(transform(own, w -> xxhash64(w)))").alias("h"), "slots", "values")
+    total = found.groupBy("item_id", "form").agg(F.count_distinct("q").alias("windows"))
+    return (found.join(total.withColumnsRenamed({"item_id": "item", "form": "of"}), F.expr("item_id <=> item AND form = of"))
+            .drop("item", "of"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -74,32 +90,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     items = materialise(item_windows(benchmark, item_column, item_text, width, literals), "items")
-    known = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= width rows
-    words = narrow.select("doc_id", raw_words().alias("raw")).select("doc_id", canonical("raw").alias("words"))
-    sizes = sorted(known) or [width]
-    arrays = words.select("doc_id", *[F.expr(_hashes("words", w)).alias(f"w{w}") for w in sizes])
-    # an inner explode would infer a filter on the arrays, which is pushed below them and so computes them twice and more
-    one = lambda w: arrays.select("doc_id", F.posexplode_outer(f"w{w}").alias("pos", "h"), F.lit(w).alias("width"))
-    spread = one(sizes[0])
-    for w in sizes[1:]:
-        spread = spread.unionByName(one(w))
+    # <= width rows of each form
+    known = {(r["form"], r["width"]): r["n"] for r in items.groupBy("form", "width").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def one(form: str, w: int) -> DataFrame:
+        words = narrow.select("doc_id", raw_words("text", form).alias("raw")).select("doc_id", F.expr(f"transform(raw, w -> xxhash64({_CANON}))").alias("words"))
+        # an inner explode would infer a filter on the arrays, which is pushed below them and so computes them twice and more
+        return (words.select("doc_id", F.expr(_hashes("words", w)).alias("own"))
+                .select("doc_id", F.posexplode_outer("own").alias("pos", "h"), F.lit(form).alias("form"), F.lit(w).alias("width")))
+
+    spread = reduce(DataFrame.unionByName, [one(*k) for k in sorted(known) or [(FORMS[0], width)]])
     right = F.broadcast(items) if sum(known.values()) <= BROADCAST_ROWS else items
-    hits = materialise(spread.join(right, ["width", "h"]).select("doc_id", "item_id", "pos", "q", "slots", "values", "windows"), "hits")
+    hits = materialise(spread.join(right, ["form", "width", "h"])
+                       .select("doc_id", "item_id", "form", "pos", "q", "slots", "values", "windows"), "hits")
 
     aligned = hits.withColumn("shift", F.col("pos") - F.col("q"))
     slotted = aligned.where("size(slots) > 0")
-    again = narrow.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_words().alias("raw"))
-    pairs = (slotted.join(again, "doc_id")
-             .select("doc_id", "item_id", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))
-             .select("doc_id", "item_id", "shift", F.explode_outer("pair").alias("pair")))
-    bad = (pairs.groupBy("doc_id", "item_id", "shift", "pair.old").agg((F.min("pair.new") != F.max("pair.new")).alias("odd"))
-           .where("odd").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("shift").alias("s"), "odd").distinct())
-    told = aligned.join(bad, F.expr("doc_id <=> d AND item_id <=> i AND shift = s"), "left")
-    found = told.groupBy("doc_id", "item_id").agg(
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
+    again = (narrow.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode_outer(forms).alias("f"))
+             .select("doc_id", "f.form", "f.raw"))
+    pairs = (slotted.join(again, ["doc_id", "form"])
+             .select("doc_id", "item_id", "form", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))
+             .select("doc_id", "item_id", "form", "shift", F.explode_outer("pair").alias("pair")))
+    bad = (pairs.groupBy("doc_id", "item_id", "form", "shift", "pair.old").agg((F.min("pair.new") != F.max("pair.new")).alias("odd"))
+           .where("odd").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("form").alias("f"), F.col("shift").alias("s"), "odd").distinct())
+    told = aligned.join(bad, F.expr("doc_id <=> d AND item_id <=> i AND form = f AND shift = s"), "left")
+    found = told.groupBy("doc_id", "item_id", "form").agg(
         F.count_distinct(F.when(F.col("odd").isNull(), F.col("q"))).alias("matched"), F.max("windows").alias("windows"),
         F.max("odd").isNull().alias("consistent"))
     share = F.col("matched") / F.col("windows")
-    return found.withColumns({"coverage": share, "leaked": share >= coverage})
+    order = F.struct((F.col("leaked") & (F.col("form") == FORMS[0])).alias("first"), "coverage", "form", "matched", "windows", "consistent", "leaked")
+    best = found.withColumns({"coverage": share, "leaked": share >= coverage}).groupBy("doc_id", "item_id").agg(F.max(order).alias("best"))
+    return best.select("doc_id", "item_id", *[f"best.{c}" for c in ("matched", "windows", "consistent", "coverage", "leaked")])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
