@@ -8,7 +8,8 @@ document if the consistent alignments cover at least ``coverage`` of the item's
 
 A text has three forms, joined apart: in ``typed``, capitalised words inside a sentence are names; in ``starts``, those that begin a sentence or
 the text as well, whatever the word (an ordinary word must then stand for one word); in ``blind``, the text is in lower case and no word is
-a name, so a change of case alters nothing. The form in which most of the item is found decides; ``typed`` goes first if the item leaks in it.
+a name, so a change of case alters nothing. Windows with fewer than ``literals`` literal words would match by their slots alone; ``blind`` joins them
+on the words and numbers themselves, so every item has a window to search, and the other forms leave them out. The form in which most of the item is found decides; ``typed`` goes first if the item leaks in it.
 
 The item windows are broadcast up to ``BROADCAST_ROWS`` of them (about 20 MB, counted first); more are joined by a shuffle of the windows.
 Documents' windows are (id, place, hash) rows; the words of a document are only read again for matches that have slots.
@@ -63,7 +64,8 @@ def _hashes(words: str, width: int) -> str:
 
 
 def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width: int, literals: int) -> DataFrame:
-    """(item_id, form, q, width, h, slots, values, windows): windows with enough literal words; short items are one window."""
+    """(item_id, form, exact, q, width, h, slots, values, windows): windows with enough literal words, and in the form ``blind`` the others
+    by their raw words (exact, without slots); short items are one window."""
     texts = benchmark.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text"))
     forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
     items = (texts.select("item_id", F.explode_outer(forms).alias("f")).select("item_id", "f.form", "f.raw").where("size(raw) > 0").distinct()
@@ -71,9 +73,11 @@ def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width
     cut = items.select("item_id", "form", "raw", "words", "width", F.explode_outer(F.expr("sequence(0, size(words) - width)")).alias("q"))
     cut = (cut.withColumn("own", F.expr("slice(words, q + 1, width)"))
            .withColumn("slots", F.expr("filter(sequence(0, width - 1), k -> own[k] IN ('<name>', '<unit>', '<num>'))"))
-           .withColumn("values", F.expr("transform(slots, k -> raw[q + k])"))
-           .where(F.col("width") - F.size("slots") >= F.lit(literals)))
-    found = cut.select("item_id", "form", "q", "width", F.expr("xxhash64(transform(own, w -> xxhash64(w)))").alias("h"), "slots", "values")
+           .withColumn("exact", F.col("width") - F.size("slots") < F.lit(literals)).where((F.col("form") == "blind") | ~F.col("exact"))
+           .withColumn("own", F.expr("IF(exact, slice(raw, q + 1, width), own)"))
+           .withColumn("slots", F.expr("IF(exact, filter(slots, k -> false), slots)"))
+           .withColumn("values", F.expr("transform(slots, k -> raw[q + k])")))
+    found = cut.select("item_id", "form", "exact", "q", "width", F.expr("xxhash64(transform(own, w -> xxhash64(w)))").alias("h"), "slots", "values")
     total = found.groupBy("item_id", "form").agg(F.count_distinct("q").alias("windows"))
     return (found.join(total.withColumnsRenamed({"item_id": "item", "form": "of"}), F.expr("item_id <=> item AND form = of"))
             .drop("item", "of"))
@@ -85,23 +89,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """A row for each document and item that share a window: doc_id, item_id, matched, windows, consistent, coverage, leaked.
 
     matched: the item's windows found in consistent alignments; consistent: false if any alignment isn't. Null texts are empty and match nothing;
-    items with fewer than ``literals`` literal words in every window can't be found; items repeated with one id count once per text; rows of ``docs``
+    items repeated with one id count once per text; rows of ``docs``
     repeated with one id count once. Null ids are ids of their own. Empty tables give no rows; other columns aren't read.
     """
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     items = materialise(item_windows(benchmark, item_column, item_text, width, literals), "items")
-    # <= width rows of each form
-    known = {(r["form"], r["width"]): r["n"] for r in items.groupBy("form", "width").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = ["form", "exact", "width"]  # 4 * width of them at most
+    known = {tuple(r[k] for k in kinds): r["n"] for r in items.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def one(form: str, w: int) -> DataFrame:
-        words = narrow.select("doc_id", raw_words("text", form).alias("raw")).select("doc_id", F.expr(f"transform(raw, w -> xxhash64({_CANON}))").alias("words"))
+    def one(form: str, exact: bool, w: int) -> DataFrame:
+        word = "w" if exact else _CANON
+        words = narrow.select("doc_id", raw_words("text", form).alias("raw")).select("doc_id", F.expr(f"transform(raw, w -> xxhash64({word}))").alias("words"))
         # an inner explode would infer a filter on the arrays, which is pushed below them and so computes them twice and more
         return (words.select("doc_id", F.expr(_hashes("words", w)).alias("own"))
-                .select("doc_id", F.posexplode_outer("own").alias("pos", "h"), F.lit(form).alias("form"), F.lit(w).alias("width")))
+                .select("doc_id", F.posexplode_outer("own").alias("pos", "h"), F.lit(form).alias("form"), F.lit(exact).alias("exact"), F.lit(w).alias("width")))
 
-    spread = reduce(DataFrame.unionByName, [one(*k) for k in sorted(known) or [(FORMS[0], width)]])
+    spread = reduce(DataFrame.unionByName, [one(*k) for k in sorted(known) or [(FORMS[0], False, width)]])
     right = F.broadcast(items) if sum(known.values()) <= BROADCAST_ROWS else items
-    hits = materialise(spread.join(right, ["form", "width", "h"])
+    hits = materialise(spread.join(right, [*kinds, "h"])
                        .select("doc_id", "item_id", "form", "pos", "q", "slots", "values", "windows"), "hits")
 
     aligned = hits.withColumn("shift", F.col("pos") - F.col("q"))

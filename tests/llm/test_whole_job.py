@@ -25,3 +25,12 @@ def test_names_at_sentence_starts_and_changed_case(spark):
     assert set(got) == {(1, 1), (2, 2), (3, 1), (4, 1), (5, 3), (6, 3)}
     assert got[1, 1].consistent and got[1, 1].coverage == 1.0
     assert got[5, 3].coverage == got[6, 3].coverage == 1.0
+
+
+def test_items_of_few_literal_words_are_searched(spark):
+    items = ["What is 12 + 35?", "Solve 3x + 5 = 20.", "Compute 15 * 3 - 4 / 2 + 17 * 9.", "Define entropy.", ALICE]
+    docs = [(i, f"Some text before. {t} And some after it.") for i, t in enumerate(items)]
+    docs += [(10, "What is 13 + 35?"), (11, "Solve 3x + 5 = 21."), (12, "Compute 15 * 3 - 4 / 2 + 17 * 8."), (13, "Define it as entropy."), (14, items[2].upper())]
+    got = leaking(spark, docs, list(enumerate(items)))
+    assert set(got) == {(i, i) for i in range(5)} | {(14, 2)}
+    assert all(r.consistent and r.coverage == 1.0 for r in got.values())
