@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A rule is a regular expression with a label and a priority; hundreds come from the names below, each in several ways of stating a license (an SPDX
-tag, a notice, a link, a bare mention). A rule runs only on texts that hold one of its keywords. Overlapping
+tag, a notice, a link, a bare mention). A rule runs only on texts that hold its keywords, which are literals of the pattern that every match holds. Overlapping
 detections are resolved in order of priority, then length: one that lies inside an accepted detection is suppressed. Three word phrases are
 always reported (the base), wherever their words stand consecutively.
 """
@@ -22,74 +22,74 @@ from riskloom.llm.textbytes import LOWER, apart, row_groups, runs, string_buffer
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label, keyword, SPDX identifiers, name, link; fixed texts of the licenses themselves.
+#: label, SPDX identifiers, name, link; fixed texts of the licenses themselves.
 NAMES = [
-    ("mit", "mit", "mit", r"(?:the )?mit(?:/x11)?(?:[- ]style)? licen[sc]e|(?:the )?expat licen[sc]e", r"opensource\.org/licenses/mit"),
-    ("mit-0", "mit", "mit-0", r"mit no attribution(?: licen[sc]e)?", r"opensource\.org/licenses/mit-0"),
-    ("apache-2", "apache", r"apache-2\.0", r"(?:the )?apache(?: software)? licen[sc]e,? (?:version |v)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0"),
-    ("apache-1", "apache", r"apache-1\.[01]", r"(?:the )?apache(?: software)? licen[sc]e,? (?:version |v)?1(?:\.[01])?", r"apache\.org/licenses/license-1\.[01]"),
-    ("gpl-3", "g", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2", "g", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl", "g", r"gpl", r"(?:the )?gnu (?:general public licen[sc]e|gpl)", r"gnu\.org/(?:copyleft|licenses)/gpl"),
-    ("lgpl-3", "g", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("lgpl-2", "g", r"lgpl-2\.[01](?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl),? ?(?:version |v)?2(?:\.[01])?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.[01]"),
-    ("agpl-3", "g", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:affero general public licen[sc]e|agpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/agpl-3\.0"),
-    ("gfdl", "g", r"gfdl-1\.[0-3](?:-only|-or-later)?", r"(?:the )?gnu free documentation licen[sc]e", r"gnu\.org/(?:copyleft|licenses)/fdl"),
-    ("bsd-2", "bsd", "bsd-2-clause", r"(?:the )?(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[sc]e)?", r"opensource\.org/licenses/bsd-2-clause"),
-    ("bsd-3", "bsd", "bsd-3-clause", r"(?:the )?(?:3-clause|three-clause|new|modified|revised) bsd(?: licen[sc]e)?", r"opensource\.org/licenses/bsd-3-clause"),
-    ("bsd-4", "bsd", "bsd-4-clause", r"(?:the )?(?:4-clause|four-clause|original) bsd(?: licen[sc]e)?", r"spdx\.org/licenses/bsd-4-clause"),
-    ("bsd", "bsd", "0bsd", r"(?:the )?bsd(?:[- ]style)? licen[sc]e", r"opensource\.org/licenses/0bsd"),
-    ("mpl-2", "m", r"mpl-2\.0", r"(?:the )?(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)?2(?:\.0)?", r"mozilla\.org/mpl/2\.0"),
-    ("mpl-1", "m", r"mpl-1\.[01]", r"(?:the )?(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)?1(?:\.[01])?", r"mozilla\.org/mpl/1\.[01]"),
-    ("epl-2", "e", r"epl-2\.0", r"(?:the )?(?:eclipse public licen[sc]e|epl)(?: -)?,? ?(?:version |v)?2(?:\.0)?", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
-    ("epl-1", "e", r"epl-1\.0", r"(?:the )?(?:eclipse public licen[sc]e|epl)(?: -)?,? ?(?:version |v)?1(?:\.0)?", r"eclipse\.org/legal/epl-v10"),
-    ("eupl", "e", r"eupl-1\.[0-2]", r"(?:the )?european union public licen[sc]e", r"joinup\.ec\.europa\.eu/[a-z/]*eupl"),
-    ("cddl", "cd", r"cddl-1\.[01]", r"(?:the )?common development and distribution licen[sc]e", r"opensource\.org/licenses/cddl"),
-    ("cpl", "c", r"cpl-1\.0", r"(?:the )?common public licen[sc]e", r"opensource\.org/licenses/cpl1\.0"),
-    ("isc", "isc", "isc", r"(?:the )?isc licen[sc]e", r"opensource\.org/licenses/isc"),
-    ("zlib", "zlib", "zlib", r"(?:the )?zlib(?:/libpng)? licen[sc]e", r"opensource\.org/licenses/zlib"),
-    ("boost", "b", r"bsl-1\.0", r"(?:the )?boost software licen[sc]e", r"boost\.org/license_1_0"),
-    ("unlicense", "unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense\.org"),
-    ("wtfpl", "w", "wtfpl", r"(?:the )?do what the fuck you want to public licen[sc]e|wtfpl", r"wtfpl\.net"),
-    ("artistic-2", "artistic", r"artistic-2\.0", r"(?:the )?artistic licen[sc]e,? ?(?:version |v)?2(?:\.0)?", r"opensource\.org/licenses/artistic-2\.0"),
-    ("artistic-1", "artistic", r"artistic-1\.0(?:-perl)?", r"(?:the )?artistic licen[sc]e", r"opensource\.org/licenses/artistic-1\.0"),
-    ("psf", "python", r"psf-2\.0|python-2\.0", r"(?:the )?python software foundation licen[sc]e|psf licen[sc]e", r"docs\.python\.org/[0-9a-z/.]*license"),
-    ("postgresql", "postgresql", "postgresql", r"(?:the )?postgresql licen[sc]e", r"opensource\.org/licenses/postgresql"),
-    ("openssl", "openssl", "openssl", r"(?:the )?openssl licen[sc]e", r"openssl\.org/source/license"),
-    ("ofl", "o", r"ofl-1\.[01]", r"(?:the )?(?:sil )?open font licen[sc]e", r"scripts\.sil\.org/ofl"),
-    ("odbl", "od", r"odbl-1\.0", r"(?:the )?open (?:data commons )?open database licen[sc]e|odbl", r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by", "od", r"odc-by-1\.0", r"(?:the )?open data commons attribution licen[sc]e|odc-by", r"opendatacommons\.org/licenses/by"),
-    ("pddl", "p", r"pddl-1\.0", r"(?:the )?public domain dedication and licen[sc]e", r"opendatacommons\.org/licenses/pddl"),
-    ("cc0", "cc0", r"cc0-1\.0", r"cc0(?: 1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by", "c", r"cc-by-[1-4]\.[05]", r"(?:creative commons attribution|cc[- ]by)(?: (?:licen[sc]e|[1-4]\.[05]))", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", "c", r"cc-by-sa-[1-4]\.[05]", r"creative commons attribution[- ]share[- ]?alike|cc[- ]by[- ]sa", r"creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nd", "c", r"cc-by-nd-[1-4]\.[05]", r"creative commons attribution[- ]no[- ]?deriv(?:ative)?s|cc[- ]by[- ]nd", r"creativecommons\.org/licenses/by-nd/"),
-    ("cc-by-nc", "c", r"cc-by-nc-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial|cc[- ]by[- ]nc", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nc-sa", "c", r"cc-by-nc-sa-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike|cc[- ]by[- ]nc[- ]sa", r"creativecommons\.org/licenses/by-nc-sa/"),
-    ("cc-by-nc-nd", "c", r"cc-by-nc-nd-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s|cc[- ]by[- ]nc[- ]nd", r"creativecommons\.org/licenses/by-nc-nd/"),
-    ("ms-pl", "m", "ms-pl", r"(?:the )?microsoft public licen[sc]e", r"opensource\.org/licenses/ms-pl"),
-    ("ms-rl", "m", "ms-rl", r"(?:the )?microsoft reciprocal licen[sc]e", r"opensource\.org/licenses/ms-rl"),
-    ("upl", "u", r"upl-1\.0", r"(?:the )?universal permissive licen[sc]e", r"opensource\.org/licenses/upl"),
-    ("ncsa", "n", "ncsa", r"(?:the )?university of illinois/ncsa open source licen[sc]e|ncsa licen[sc]e", r"opensource\.org/licenses/ncsa"),
-    ("afl", "a", r"afl-[1-3]\.[01]", r"(?:the )?academic free licen[sc]e", r"opensource\.org/licenses/afl-3\.0"),
-    ("osl", "o", r"osl-[1-3]\.[01]", r"(?:the )?open software licen[sc]e", r"opensource\.org/licenses/osl-3\.0"),
-    ("sspl", "s", r"sspl-1\.0", r"(?:the )?server side public licen[sc]e", r"mongodb\.com/licensing/server-side-public-license"),
-    ("busl", "b", r"busl-1\.1", r"(?:the )?business source licen[sc]e", r"mariadb\.com/bsl"),
-    ("elastic", "elastic", r"elastic-2\.0", r"(?:the )?elastic licen[sc]e", r"elastic\.co/licensing/elastic-license"),
-    ("llama", "llama", r"llama[23](?:\.[0-9])?", r"(?:the )?llama ?[23](?:\.[0-9])? (?:community )?licen[sc]e", r"llama\.(?:meta\.)?com/[a-z0-9_/-]*license"),
-    ("openrail", "rail", r"openrail(?:\+\+|-m)?", r"(?:the )?(?:creativeml )?open ?rail(?:\+\+|-m)?(?: licen[sc]e)?", r"huggingface\.co/spaces/[a-z0-9_/-]*license"),
-    ("public-domain", "public domain", "nlod-1\\.0", r"(?:released|dedicated|placed|in) (?:in)?to the public domain|in the public domain", r"creativecommons\.org/publicdomain/mark"),
-    ("proprietary", "rights", "licenseref-proprietary", r"all rights reserved", r"copyright\.gov/title17"),
+    ("mit", "mit", r"(?:the )?mit(?:/x11)?(?:[- ]style)? licen[sc]e|(?:the )?expat licen[sc]e", r"opensource\.org/licenses/mit"),
+    ("mit-0", "mit-0", r"mit no attribution(?: licen[sc]e)?", r"opensource\.org/licenses/mit-0"),
+    ("apache-2", r"apache-2\.0", r"(?:the )?apache(?: software)? licen[sc]e,? (?:version |v)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0"),
+    ("apache-1", r"apache-1\.[01]", r"(?:the )?apache(?: software)? licen[sc]e,? (?:version |v)?1(?:\.[01])?", r"apache\.org/licenses/license-1\.[01]"),
+    ("gpl-3", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl-2", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:general public licen[sc]e|gpl),? ?(?:version |v)?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl", r"gpl", r"(?:the )?gnu (?:general public licen[sc]e|gpl)", r"gnu\.org/(?:copyleft|licenses)/gpl"),
+    ("lgpl-3", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("lgpl-2", r"lgpl-2\.[01](?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl),? ?(?:version |v)?2(?:\.[01])?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.[01]"),
+    ("agpl-3", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:the )?(?:gnu )?(?:affero general public licen[sc]e|agpl),? ?(?:version |v)?3(?:\.0)?", r"gnu\.org/licenses/agpl-3\.0"),
+    ("gfdl", r"gfdl-1\.[0-3](?:-only|-or-later)?", r"(?:the )?gnu free documentation licen[sc]e", r"gnu\.org/(?:copyleft|licenses)/fdl"),
+    ("bsd-2", "bsd-2-clause", r"(?:the )?(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[sc]e)?", r"opensource\.org/licenses/bsd-2-clause"),
+    ("bsd-3", "bsd-3-clause", r"(?:the )?(?:3-clause|three-clause|new|modified|revised) bsd(?: licen[sc]e)?", r"opensource\.org/licenses/bsd-3-clause"),
+    ("bsd-4", "bsd-4-clause", r"(?:the )?(?:4-clause|four-clause|original) bsd(?: licen[sc]e)?", r"spdx\.org/licenses/bsd-4-clause"),
+    ("bsd", "0bsd", r"(?:the )?bsd(?:[- ]style)? licen[sc]e", r"opensource\.org/licenses/0bsd"),
+    ("mpl-2", r"mpl-2\.0", r"(?:the )?(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)?2(?:\.0)?", r"mozilla\.org/mpl/2\.0"),
+    ("mpl-1", r"mpl-1\.[01]", r"(?:the )?(?:mozilla public licen[sc]e|mpl),? ?(?:version |v)?1(?:\.[01])?", r"mozilla\.org/mpl/1\.[01]"),
+    ("epl-2", r"epl-2\.0", r"(?:the )?(?:eclipse public licen[sc]e|epl)(?: -)?,? ?(?:version |v)?2(?:\.0)?", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("epl-1", r"epl-1\.0", r"(?:the )?(?:eclipse public licen[sc]e|epl)(?: -)?,? ?(?:version |v)?1(?:\.0)?", r"eclipse\.org/legal/epl-v10"),
+    ("eupl", r"eupl-1\.[0-2]", r"(?:the )?european union public licen[sc]e", r"joinup\.ec\.europa\.eu/[a-z/]*eupl"),
+    ("cddl", r"cddl-1\.[01]", r"(?:the )?common development and distribution licen[sc]e", r"opensource\.org/licenses/cddl"),
+    ("cpl", r"cpl-1\.0", r"(?:the )?common public licen[sc]e", r"opensource\.org/licenses/cpl1\.0"),
+    ("isc", "isc", r"(?:the )?isc licen[sc]e", r"opensource\.org/licenses/isc"),
+    ("zlib", "zlib", r"(?:the )?zlib(?:/libpng)? licen[sc]e", r"opensource\.org/licenses/zlib"),
+    ("boost", r"bsl-1\.0", r"(?:the )?boost software licen[sc]e", r"boost\.org/license_1_0"),
+    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense\.org"),
+    ("wtfpl", "wtfpl", r"(?:the )?do what the fuck you want to public licen[sc]e|wtfpl", r"wtfpl\.net"),
+    ("artistic-2", r"artistic-2\.0", r"(?:the )?artistic licen[sc]e,? ?(?:version |v)?2(?:\.0)?", r"opensource\.org/licenses/artistic-2\.0"),
+    ("artistic-1", r"artistic-1\.0(?:-perl)?", r"(?:the )?artistic licen[sc]e", r"opensource\.org/licenses/artistic-1\.0"),
+    ("psf", r"psf-2\.0|python-2\.0", r"(?:the )?python software foundation licen[sc]e|psf licen[sc]e", r"docs\.python\.org/[0-9a-z/.]*license"),
+    ("postgresql", "postgresql", r"(?:the )?postgresql licen[sc]e", r"opensource\.org/licenses/postgresql"),
+    ("openssl", "openssl", r"(?:the )?openssl licen[sc]e", r"openssl\.org/source/license"),
+    ("ofl", r"ofl-1\.[01]", r"(?:the )?(?:sil )?open font licen[sc]e", r"scripts\.sil\.org/ofl"),
+    ("odbl", r"odbl-1\.0", r"(?:the )?open (?:data commons )?open database licen[sc]e|odbl", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", r"odc-by-1\.0", r"(?:the )?open data commons attribution licen[sc]e|odc-by", r"opendatacommons\.org/licenses/by"),
+    ("pddl", r"pddl-1\.0", r"(?:the )?public domain dedication and licen[sc]e", r"opendatacommons\.org/licenses/pddl"),
+    ("cc0", r"cc0-1\.0", r"cc0(?: 1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by", r"cc-by-[1-4]\.[05]", r"(?:creative commons attribution|cc[- ]by)(?: (?:licen[sc]e|[1-4]\.[05]))", r"creativecommons\.org/licenses/by/"),
+    ("cc-by-sa", r"cc-by-sa-[1-4]\.[05]", r"creative commons attribution[- ]share[- ]?alike|cc[- ]by[- ]sa", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-nd", r"cc-by-nd-[1-4]\.[05]", r"creative commons attribution[- ]no[- ]?deriv(?:ative)?s|cc[- ]by[- ]nd", r"creativecommons\.org/licenses/by-nd/"),
+    ("cc-by-nc", r"cc-by-nc-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial|cc[- ]by[- ]nc", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nc-sa", r"cc-by-nc-sa-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike|cc[- ]by[- ]nc[- ]sa", r"creativecommons\.org/licenses/by-nc-sa/"),
+    ("cc-by-nc-nd", r"cc-by-nc-nd-[1-4]\.[05]", r"creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s|cc[- ]by[- ]nc[- ]nd", r"creativecommons\.org/licenses/by-nc-nd/"),
+    ("ms-pl", "ms-pl", r"(?:the )?microsoft public licen[sc]e", r"opensource\.org/licenses/ms-pl"),
+    ("ms-rl", "ms-rl", r"(?:the )?microsoft reciprocal licen[sc]e", r"opensource\.org/licenses/ms-rl"),
+    ("upl", r"upl-1\.0", r"(?:the )?universal permissive licen[sc]e", r"opensource\.org/licenses/upl"),
+    ("ncsa", "ncsa", r"(?:the )?university of illinois/ncsa open source licen[sc]e|ncsa licen[sc]e", r"opensource\.org/licenses/ncsa"),
+    ("afl", r"afl-[1-3]\.[01]", r"(?:the )?academic free licen[sc]e", r"opensource\.org/licenses/afl-3\.0"),
+    ("osl", r"osl-[1-3]\.[01]", r"(?:the )?open software licen[sc]e", r"opensource\.org/licenses/osl-3\.0"),
+    ("sspl", r"sspl-1\.0", r"(?:the )?server side public licen[sc]e", r"mongodb\.com/licensing/server-side-public-license"),
+    ("busl", r"busl-1\.1", r"(?:the )?business source licen[sc]e", r"mariadb\.com/bsl"),
+    ("elastic", r"elastic-2\.0", r"(?:the )?elastic licen[sc]e", r"elastic\.co/licensing/elastic-license"),
+    ("llama", r"llama[23](?:\.[0-9])?", r"(?:the )?llama ?[23](?:\.[0-9])? (?:community )?licen[sc]e", r"llama\.(?:meta\.)?com/[a-z0-9_/-]*license"),
+    ("openrail", r"openrail(?:\+\+|-m)?", r"(?:the )?(?:creativeml )?open ?rail(?:\+\+|-m)?(?: licen[sc]e)?", r"huggingface\.co/spaces/[a-z0-9_/-]*license"),
+    ("public-domain", "nlod-1\\.0", r"(?:released|dedicated|placed|in) (?:in)?to the public domain|in the public domain", r"creativecommons\.org/publicdomain/mark"),
+    ("proprietary", "licenseref-proprietary", r"all rights reserved", r"copyright\.gov/title17"),
 ]
-#: priority, keyword that the way needs, pattern around the name ({spdx}, {name} or {link})
+#: priority, pattern around the name ({spdx}, {name} or {link})
 WAYS = [
-    (100, "spdx", r"spdx-license-identifier:\s*(?:[a-z0-9.+-]+ (?:or|and) )*(?:{spdx})(?![a-z0-9.+-])"),
-    (90, "licen", r"(?:licen[sc]ed|released|distributed|redistributed|provided|available|published|issued|covered|made available)"
+    (100, r"spdx-license-identifier:\s*(?:[a-z0-9.+-]+ (?:or|and) )*(?:{spdx})(?![a-z0-9.+-])"),
+    (90, r"(?:licen[sc]ed|released|distributed|redistributed|provided|available|published|issued|covered|made available)"
                   r" (?:only )?(?:under|by|with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})"),
-    (85, "licen", r"(?:licen[sc]e|licensing) ?[:=] ?[\"']?(?:{spdx}|{name})(?![a-z0-9-])"),
-    (80, "/", r"(?:https?://)?(?:www\.)?{link}[a-z0-9./-]*"),
-    (70, "terms", r"(?:under|to|accept|with) the terms(?: and conditions)? of (?:the )?(?:{name})"),
-    (40, "", r"(?<![a-z0-9])(?:{name})(?![a-z0-9])"),
+    (85, r"(?:licen[sc]e|licensing) ?[:=] ?[\"']?(?:{spdx}|{name})(?![a-z0-9-])"),
+    (80, r"(?:https?://)?(?:www\.)?{link}[a-z0-9./-]*"),
+    (70, r"(?:under|to|accept|with) the terms(?: and conditions)? of (?:the )?(?:{name})"),
+    (40, r"(?<![a-z0-9])(?:{name})(?![a-z0-9])"),
 ]
 
 _WORD = np.ones(256, bool)
@@ -98,37 +98,104 @@ _WORD[48:58] = _WORD[97:123] = True
 _GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-@lru_cache(maxsize=1)
-def rules() -> list[tuple[str, int, str, tuple[str, ...], re.Pattern]]:
-    """(rule, priority, label, keywords that a text must hold, pattern), highest priority first."""
-    made = []
-    for priority, word, way in WAYS:
-        for label, keyword, spdx, name, link in NAMES:
-            pattern = way.replace("{spdx}", f"(?:{spdx})").replace("{name}", f"(?:{name})").replace("{link}", f"(?:{link})")
-            needs = tuple(k for k in (word, keyword if len(keyword) > 2 else "") if k)
-            made.append((f"{label}/{priority}", priority, label, needs, re.compile(pattern)))
-    return made
+#: The text gate looks for the first of these that a literal holds in place of the literal, so that it has fewer to look for.
+STEMS = ("licen", "gpl", "bsd", "public domain", "cc by", "cc-by", "cc0", "creative commons", "odbl", "odc-by", "wtfpl", "apache", "mozilla", "mpl", "epl",
+         "openrail", "open rail", "all rights reserved", "mit no attribution")
+_EXPAND = 128
+
+
+def _least(literals: set[str]) -> frozenset[str]:
+    """The literals that hold no other one."""
+    return frozenset(x for x in literals if not any(y != x and y in x for y in literals))
+
+
+def _rank(group: frozenset[str]) -> tuple[int, int]:
+    return min(map(len, group)), -len(group)
+
+
+def _literals(parsed) -> tuple[set[str] | None, list[frozenset[str]]]:
+    """(all strings that match, if few; groups of literals: every match holds one of each group) of a parsed pattern."""
+    run, whole, groups = {""}, True, []
+
+    def flush(more: list[frozenset[str]]) -> None:
+        nonlocal run, whole
+        if "" not in run:
+            groups.append(_least(run))
+        groups.extend(more)
+        run, whole = {""}, False
+
+    for op, arg in parsed:
+        op, inner, own = str(op), [], None
+        if op in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if op == "LITERAL":
+            own = {chr(arg)}
+        elif op == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+            own = {chr(c) for _, c in arg}
+        elif op == "SUBPATTERN":
+            own, inner = _literals(arg[-1])
+        elif op == "BRANCH":
+            ways = [_literals(x) for x in arg[1]]
+            if all(w is not None for w, _ in ways):
+                own = set().union(*(w for w, _ in ways))
+            best = [max(([_least(w)] if w and "" not in w else []) + g, key=_rank, default=None) for w, g in ways]
+            inner = [_least(set().union(*best))] if all(best) else []
+        elif op == "MAX_REPEAT":
+            least, most, body = arg
+            own, inner = _literals(body)
+            if (least, most) == (0, 1) and own is not None:
+                own = own | {""}
+            elif (least, most) != (1, 1):
+                inner = (inner if own is None or "" in own else [_least(own)]) if least else []
+                own = None
+        if own is not None and len(own) * len(run) > _EXPAND and len(own) <= _EXPAND:
+            flush([])
+        if own is not None and len(own) <= _EXPAND:
+            run = {x + y for x in run for y in own}
+        else:
+            flush(inner)
+    if not whole and "" not in run:
+        groups.append(_least(run))
+    return (run if whole else None), groups
+
+
+def must_hold(pattern: str) -> tuple[frozenset[str], ...]:
+    """Groups of literals: a text that the pattern matches holds one of each group."""
+    whole, groups = _literals(re._parser.parse(pattern))
+    return tuple(dict.fromkeys(groups if whole is None else [_least(whole)] if "" not in whole else []))
 
 
 @lru_cache(maxsize=1)
-def needed() -> frozenset[str]:
-    return frozenset(k for rule in rules() for k in rule[3])
+def rules() -> list[tuple[str, int, str, tuple[frozenset[str], ...], re.Pattern]]:
+    """(rule, priority, label, groups of keywords of each of which a text must hold one, pattern), highest priority first."""
+    made = []
+    for priority, way in WAYS:
+        for label, spdx, name, link in NAMES:
+            put = lambda g: way.replace("{spdx}", f"{g}{spdx})").replace("{name}", f"{g}{name})").replace("{link}", f"{g}{link})")  # noqa: B023, E731
+            # the parser takes groups that capture as units, so the name's literals aren't cut in the middle
+            made.append((f"{label}/{priority}", priority, label, must_hold(put("(")), re.compile(put("(?:"))))
+    return made
 
 
 @lru_cache(maxsize=1)
 def keywords() -> tuple[bytes, ...]:
     """A text without any of these holds no signature."""
-    return tuple(x.encode() for x in ("licen", "spdx", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "epl", "creative commons", "creativecommons",
-                                      "cc by", "cc-by", "cc0", "wtfpl", "odbl", "odc-by", "public domain", "rights reserved", "openrail", "open rail",
-                                      "opendatacommons", "opensource.org", "scripts.sil.org", "mariadb.com/bsl"))
+    short = lambda group: _least({next((s for s in STEMS if s in k), k) for k in group})
+    best = {max(map(short, rule[3]), key=lambda g: (g <= set(STEMS), _rank(g))) for rule in rules()}
+    return tuple(sorted(x.encode() for x in _least(set().union(*best))))
 
 
 def detect(text: str) -> list[tuple[int, int, str, str, int]]:
     """Accepted detections (start, end, label, rule, priority) in a lower-case text, by start."""
     found = []
-    absent = {k for k in needed() if k not in text}
+    held: dict[frozenset[str], bool] = {}
     for rule, priority, label, needs, pattern in rules():
-        if absent.isdisjoint(needs):
+        for group in needs:
+            if group not in held:
+                held[group] = any(k in text for k in group)
+            if not held[group]:
+                break
+        else:
             found += [(m.start(), m.end(), label, rule, priority) for m in pattern.finditer(text)]
     found.sort(key=lambda x: (-x[4], x[0] - x[1], x[0], x[2]))
     kept: list[tuple[int, int, str, str, int]] = []

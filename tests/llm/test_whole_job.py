@@ -1,6 +1,10 @@
 """Cases that an operator once cut short."""
 
-from riskloom.llm import decontam
+import re
+
+import pytest
+
+from riskloom.llm import decontam, licenses
 from test_brute_force import QUESTION
 
 ALICE = "Alice has 5 apples. Bob gave Alice 3 apples. Alice ate 2 apples. Alice sold 4 apples to Carl."
@@ -34,3 +38,49 @@ def test_items_of_few_literal_words_are_searched(spark):
     got = leaking(spark, docs, list(enumerate(items)))
     assert set(got) == {(i, i) for i in range(5)} | {(14, 2)}
     assert all(r.consistent and r.coverage == 1.0 for r in got.values())
+
+
+# ---- licenses --------------------------------------------------------------------------------------
+
+
+def samples(parsed):
+    """A few texts that a parsed pattern matches: each alternative once, repeats at their least and (if optional) once."""
+    made = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(v if str(k) == "LITERAL" else v[0]) if str(k) != "CATEGORY" else " " for k, v in arg]
+        elif op == "SUBPATTERN":
+            more = samples(arg[-1])
+        elif op == "BRANCH":
+            more = [t for x in arg[1] for t in samples(x)]
+        else:
+            low, high, body = arg
+            more = [t * max(low, 1) for t in samples(body)] + ([""] if low == 0 else [])
+        n = max(len(made), len(more))
+        made = [made[i % len(made)] + more[i % len(more)] for i in range(n)]  # each part once, not all combinations
+    return made
+
+
+def test_license_gate_is_necessary():
+    gate = [k.decode() for k in licenses.keywords()]
+    for name, _, _, needs, pattern in licenses.rules():
+        texts = [t for t in samples(re._parser.parse(pattern.pattern)) if pattern.search(t)]
+        assert texts, name
+        for t in texts:
+            assert all(any(k in t for k in group) for group in needs), (name, t)
+            assert any(k in t for k in gate), (name, t)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("https://creativecommons.org/publicdomain/zero/1.0", "cc0"), ("SPDX-License-Identifier: PSF-2.0", "psf"), ("the PSF license", "psf"),
+    ("under the Expat license", "mit"), ("creativecommons.org/publicdomain/mark/1.0", "public-domain"), ("SPDX-License-Identifier: nlod-1.0", "public-domain"),
+    ("SPDX-License-Identifier: LicenseRef-Proprietary", "proprietary"), ("https://copyright.gov/title17/", "proprietary"), ("MIT No Attribution", "mit-0"),
+    ("joinup.ec.europa.eu/collection/eupl", "eupl")])
+def test_licenses_lost_by_the_gate(text, label):
+    assert label in {d[2] for d in licenses.detect(text.lower())}
+    assert any(k.decode() in text.lower() for k in licenses.keywords())
