@@ -81,9 +81,10 @@ NAMES = [
     ("public-domain", "nlod-1\\.0", r"(?:released|dedicated|placed|in) (?:in)?to the public domain|in the public domain", r"creativecommons\.org/publicdomain/mark"),
     ("proprietary", "licenseref-proprietary", r"all rights reserved", r"copyright\.gov/title17"),
 ]
+#: An expression names several licenses, of which each is its own span: a rule with a group ``id`` reports that alone.
 #: priority, pattern around the name ({spdx}, {name} or {link})
 WAYS = [
-    (100, r"spdx-license-identifier:\s*(?:[a-z0-9.+-]+ (?:or|and) )*(?:{spdx})(?![a-z0-9.+-])"),
+    (100, r"spdx-license-identifier:\s*(?:\(*[a-z0-9.+-]+\)* (?:or|and|with) )*\(*(?P<id>{spdx})(?![a-z0-9.+-])"),
     (90, r"(?:licen[sc]ed|released|distributed|redistributed|provided|available|published|issued|covered|made available)"
                   r" (?:only )?(?:under|by|with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})"),
     (85, r"(?:licen[sc]e|licensing) ?[:=] ?[\"']?(?:{spdx}|{name})(?![a-z0-9-])"),
@@ -196,7 +197,8 @@ def detect(text: str) -> list[tuple[int, int, str, str, int]]:
             if not held[group]:
                 break
         else:
-            found += [(m.start(), m.end(), label, rule, priority) for m in pattern.finditer(text)]
+            part = "id" if "id" in pattern.groupindex else 0
+            found += [(*m.span(part), label, rule, priority) for m in pattern.finditer(text)]
     found.sort(key=lambda x: (-x[4], x[0] - x[1], x[0], x[2]))
     kept: list[tuple[int, int, str, str, int]] = []
     for x in found:

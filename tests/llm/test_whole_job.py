@@ -84,3 +84,10 @@ def test_license_gate_is_necessary():
 def test_licenses_lost_by_the_gate(text, label):
     assert label in {d[2] for d in licenses.detect(text.lower())}
     assert any(k.decode() in text.lower() for k in licenses.keywords())
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("MIT OR Apache-2.0", {"mit", "apache-2"}), ("Apache-2.0 AND BSD-3-Clause AND MIT", {"mit", "apache-2", "bsd-3"}), ("GPL-2.0-only", {"gpl-2"}),
+    ("(MIT OR GPL-3.0-or-later) AND ISC", {"mit", "gpl-3", "isc"}), ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", {"gpl-2", "mit"})])
+def test_each_license_of_an_expression(text, labels):
+    assert {d[2] for d in licenses.detect(f"// spdx-license-identifier: {text.lower()}\n// spdx")} == labels
