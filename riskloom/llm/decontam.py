@@ -54,13 +54,7 @@ def canonical(words: str) -> Column:
     return F.expr(f"transform({words}, w -> {_CANON})")
 
 
-_CANON = ("CASE WHEN w < '\x03' THEN '<name>' WHEN w < '\x04' THEN '<unit>' WHEN w >= '0' AND w < ':' THEN '<num>' ELSE lower(w) END")
-
-
-def _hashes(words: str, width: int) -> str:
-    """Hashes of the windows of an array of word hashes."""
-    return (f"CASE WHEN size({words}) >= {width} THEN transform(sequence(0, size({words}) - {width}), "
-            f"i -> xxhash64(slice({words}, i + 1, {width}))) ELSE array() END")
+_CANON = ("CASE WHEN w >= ':' THEN lower(w) WHEN w < '\x03' THEN '<name>' WHEN w < '\x04' THEN '<unit>' WHEN w >= '0' AND w < ':' THEN '<num>' ELSE lower(w) END")
 
 
 def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width: int, literals: int) -> DataFrame:
@@ -86,7 +80,8 @@ def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           item_column: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS,
           coverage: float = COVERAGE) -> DataFrame:
-    """A row for each document and item that share a window: doc_id, item_id, matched, windows, consistent, coverage, leaked.
+    """A row for each document and item that share a window in the form ``typed`` or leak in another: doc_id, item_id, matched, windows, consistent,
+    coverage, leaked.
 
     matched: the item's windows found in consistent alignments; consistent: false if any alignment isn't. Null texts are empty and match nothing;
     items repeated with one id count once per text; rows of ``docs``
@@ -100,9 +95,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     def one(form: str, exact: bool, w: int) -> DataFrame:
         word = "w" if exact else _CANON
         words = narrow.select("doc_id", raw_words("text", form).alias("raw")).select("doc_id", F.expr(f"transform(raw, w -> xxhash64({word}))").alias("words"))
-        # an inner explode would infer a filter on the arrays, which is pushed below them and so computes them twice and more
-        return (words.select("doc_id", F.expr(_hashes("words", w)).alias("own"))
-                .select("doc_id", F.posexplode_outer("own").alias("pos", "h"), F.lit(form).alias("form"), F.lit(exact).alias("exact"), F.lit(w).alias("width")))
+        # an inner explode would infer a filter on the words, which is pushed below them and so computes them twice and more
+        place = F.posexplode_outer(F.expr(f"CASE WHEN size(words) >= {w} THEN sequence(0, size(words) - {w}) ELSE array() END"))
+        h = f"CASE WHEN pos IS NOT NULL THEN xxhash64({', '.join(f'words[pos + {k}]' for k in range(w))}) END AS h"
+        return (words.select("doc_id", "words", place.alias("at", "pos"))
+                .selectExpr("doc_id", "pos", h, f"'{form}' AS form", f"{str(exact).lower()} AS exact", f"{w} AS width"))
 
     spread = reduce(DataFrame.unionByName, [one(*k) for k in sorted(known) or [(FORMS[0], False, width)]])
     right = F.broadcast(items) if sum(known.values()) <= BROADCAST_ROWS else items
@@ -110,6 +107,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
                        .select("doc_id", "item_id", "form", "pos", "q", "slots", "values", "windows"), "hits")
 
     aligned = hits.withColumn("shift", F.col("pos") - F.col("q"))
+    # a form is checked where it can leak, unless ``typed`` leaks without slots to check; ``typed`` always is
+    bound = aligned.groupBy("doc_id", "item_id", "form").agg((F.count_distinct("q") / F.max("windows")).alias("bound"), F.max(F.size("slots")).alias("most"))
+    sure = f"exists(f, y -> y.form = '{FORMS[0]}' AND y.bound >= {coverage} AND y.most = 0)"
+    checked = f"filter(f, x -> x.form = '{FORMS[0]}' OR (x.bound >= {coverage} AND NOT {sure}))"
+    open_pairs = materialise(bound.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("form", "bound", "most")).alias("f"))
+                             .select("doc_id", "item_id", F.explode_outer(F.expr(checked)).alias("x")).select("doc_id", "item_id", "x.form"), "open")
+    same = F.expr("doc_id <=> pd AND item_id <=> pi AND form = pf")
+    aligned = aligned.join(open_pairs.select(F.col("doc_id").alias("pd"), F.col("item_id").alias("pi"), F.col("form").alias("pf")), same, "left_semi")
     slotted = aligned.where("size(slots) > 0")
     forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
     again = (narrow.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode_outer(forms).alias("f"))
