@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -35,9 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str:
-    """The plain form of a ``file:`` path, other paths unchanged."""
-    return re.sub(r"^file:(//)?(?=/)", "", path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise_lean(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialise``; the shuffle files of this write go as soon as the table is whole, so that the disk holds one phase at a time."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def fold(id_column: str, parts: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, token_order, toxicity, warc
+from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, substring_dedup, token_order, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.summary(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_toxicity": op1_weak_toxicity,
     "op2_randomness_secrets": op2_randomness_secrets,
@@ -64,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_pivots": op8_simhash_pivots,
     "op9_warc_index": op9_warc_index,
     "op10_license_rules": op10_license_rules,
+    "op11_difference_cover": op11_difference_cover,
+    "op13_block_whitening": op13_block_whitening,
 }
 ORACLE: dict[str, str] = {
     "op4_template_decontamination": decontam.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_warc_index": warc.SQL,
+    "op11_difference_cover": substring_dedup.SQL,
 }
