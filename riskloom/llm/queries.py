@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, substring_dedup, token_order, toxicity, warc, whitening
+from riskloom.llm import collocations, decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, substring_dedup, token_order, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.summary(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_vertical_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_index": op9_warc_index,
     "op10_license_rules": op10_license_rules,
     "op11_difference_cover": op11_difference_cover,
+    "op12_vertical_phrases": op12_vertical_phrases,
     "op13_block_whitening": op13_block_whitening,
 }
 ORACLE: dict[str, str] = {
@@ -80,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_warc_index": warc.SQL,
     "op11_difference_cover": substring_dedup.SQL,
+    "op12_vertical_phrases": collocations.SQL,
 }
