@@ -21,11 +21,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialise_lean, text_or_empty
-from riskloom.llm.textbytes import RangeHash, mix, row_groups, runs, string_buffers
+from riskloom.llm.textbytes import GROUP_BYTES, RangeHash, mix, row_groups, runs, string_buffers
 
 WINDOW = 35
 PERIOD = 21
@@ -45,15 +46,26 @@ def difference_cover(period: int) -> tuple[int, ...]:
 
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with one space between words."""
+    """Texts with one space between words, compressed: they are written once and shuffled twice."""
+    pack = zstandard.ZstdCompressor().compress
     for batch in batches:
         data, offsets = string_buffers(batch.column(1))
         for low, high in row_groups(offsets):
             cut = zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist(), strict=True)
-            text = pa.array([b" ".join(data[a:b].tobytes().split()) for a, b in cut], pa.binary()).cast(pa.string())
+            text = pa.array([pack(b" ".join(data[a:b].tobytes().split())) for a, b in cut], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), text], ["doc_id", "text"])
 
 
+def _groups(rows: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of unpacked texts, in groups of about a megabyte packed at most."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    data, offsets = string_buffers(texts)
+    for low, high in row_groups(offsets, GROUP_BYTES // 2):
+        cut = zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist(), strict=True)
+        part = [unpack(data[a:b].tobytes()) for a, b in cut]
+        yield rows[low:high], np.frombuffer(b"".join(part), np.uint8), np.append(0, np.cumsum([len(x) for x in part]))
+
+
 def _word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start and end byte of each word, row's first word number of length n + 1)."""
     start, end = runs(data != 32, offsets[:-1])
@@ -84,12 +96,12 @@ def _sent(key: np.ndarray, check: np.ndarray, row: np.ndarray, place: np.ndarray
     key = np.where(same, own, key)
     for low in range(0, len(key), 1 << 17):
         part = slice(low, low + (1 << 17))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[part].view(np.int64)), pa.array(check[part].astype(np.int32)), pa.array(row[part]), pa.array(place[part].astype(np.int32)), pa.array(known[part])],
-            ["key", "check", "row", "place", "known"])
+        rest = place[part].astype(np.int64) << 32 | check[part].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(rest), pa.array(row[part]), pa.array(known[part])], ["key", "rest", "row", "known"])
 
 
-ROWS = "key long, check int, row long, place int, known boolean"
+#: rest: the place, and the check value in the lower 32 bits.
+ROWS = "key long, rest long, row long, known boolean"
 
 
 class _Lots:
@@ -115,11 +127,9 @@ class _Lots:
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
     lots = _Lots()
     for batch in batches:
-        rows = batch.column(0).to_numpy()
-        data, offsets = string_buffers(batch.column(1))
-        for low, high in row_groups(offsets):
-            found, row, place = _anchors(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], window - period + 1, period)
-            yield from lots.add(found, np.zeros(len(found), np.int32), rows[low + row], place)
+        for rows, data, offsets in _groups(batch.column(0).to_numpy(), batch.column(1)):
+            found, row, place = _anchors(data, offsets, window - period + 1, period)
+            yield from lots.add(found, np.zeros(len(found), np.uint32), rows[row], place)
     yield from lots.rest()
 
 
@@ -132,38 +142,35 @@ def _around(places: np.ndarray, words: int, window: int, period: int) -> np.ndar
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
-    lots = _Lots()
+    lots, unpack = _Lots(), zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rows = batch.column(0).to_numpy()
-        data, offsets = string_buffers(batch.column(1))
-        places = batch.column(2)
-        for i in range(len(rows)):
-            text = data[offsets[i] : offsets[i + 1]]
-            start, end = runs(text != 32, np.zeros(1, np.int64))
-            at = _around(places[i].values.to_numpy(), len(start), window, period)
-            whole = text.tobytes()
+        for row, packed, places in zip(*batch.columns, strict=True):
+            whole = unpack(packed.as_py())
+            start, end = runs(np.frombuffer(whole, np.uint8) != 32, np.zeros(1, np.int64))
+            at = _around(places.values.to_numpy(), len(start), window, period)
             cuts = zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)
             found = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[a:b]) for a, b in cuts), np.uint64).reshape(-1, 2)
-            yield from lots.add(found[:, 0], (found[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), rows[i]), at)
+            yield from lots.add(found[:, 0], found[:, 1].astype(np.uint32), np.full(len(at), row.as_py()), at)
     yield from lots.rest()
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """(row, places) of the rows whose key occurs more than once; a key has one row for each lot at most."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    return rows.withColumn("n", n).where("known or n > 1").groupBy("row").agg(F.collect_list("place").alias("places"))
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(row, places) of the rows whose key and check value occur more than once; a key has one row for each lot at most."""
+    check = F.col("rest").bitwiseAND(0xFFFFFFFF)
+    n = F.count(F.lit(1)).over(Window.partitionBy("key", "check"))
+    return (rows.repartition("key").withColumn("check", check).withColumn("n", n).where("known or n > 1")
+            .select("row", F.shiftright("rest", 32).cast("int").alias("place")).groupBy("row").agg(F.collect_list("place").alias("places")))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        data, offsets = string_buffers(batch.column(1))
-        places = batch.column(2)
         words, gone, texts = [], [], []
-        for i in range(len(batch)):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
+        for packed, places in zip(*batch.columns[1:], strict=True):
+            text = unpack(packed.as_py())
             n = text.count(b" ") + 1 if text else 0
             words.append(n)
-            starts = places[i].values
+            starts = places.values
             if starts is None:
                 gone.append(0)
                 texts.append(text)
@@ -190,14 +197,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not 1 <= period <= window:
         raise ValueError("the period must be between 1 and the window")
     kind = docs.schema[id_column].dataType.simpleString()
-    normal = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).mapInArrow(_normal, f"doc_id {kind}, text string")
+    normal = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).mapInArrow(_normal, f"doc_id {kind}, text binary")
     # the row numbers hold for good once they are written
     texts = materialise_lean(normal.withColumn("row", F.monotonically_increasing_id()), "texts")
     anchors = texts.select("row", "text").mapInArrow(partial(_anchor_rows, window=window, period=period), ROWS)
-    shared = materialise_lean(_repeated(anchors, "key"), "anchors")
+    shared = materialise_lean(_repeated(anchors), "anchors")
     windows = (texts.join(shared, "row").select("row", "text", "places")
                .mapInArrow(partial(_window_rows, window=window, period=period), ROWS))
-    repeats = materialise_lean(_repeated(windows, "key", "check"), "repeats")
+    repeats = materialise_lean(_repeated(windows), "repeats")
     return (texts.join(repeats, "row", "left").select("doc_id", "text", "places")
             .mapInArrow(partial(_kept, window=window), f"doc_id {kind}, n_words long, n_removed long, kept_text string"))
 
