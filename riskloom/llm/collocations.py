@@ -82,7 +82,7 @@ class Dictionary:
         self.word_of = dict(zip(codes, self.words, strict=True))
 
     def __reduce__(self):
-        return Dictionary, (self.words, self.whole, self.group, self.groups, self.heavy)
+        return type(self), (self.words, self.whole, self.group, self.groups, self.heavy)
 
     def split(self, key: bytes) -> list[bytes]:
         """The codes of a suffix."""
