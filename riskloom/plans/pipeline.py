@@ -12,9 +12,9 @@ raw history tables.
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,7 @@ from riskloom.operators.stats import prune_correlated
 from riskloom.plans.features import build_features
 from riskloom.session import scratch_path
 from riskloom.sources import sinks as S
+from riskloom.sources.manifest import manifest
 
 ID = "SK_ID_CURR"
 LABEL = "TARGET"
@@ -38,21 +39,16 @@ def create_datasets(spark: SparkSession, tables: Mapping[str, DataFrame], name:
                     vocab=None) -> tuple[DataFrame, list[str]]:
     """Feature row materialised once, correlated columns dropped (decided on a hash sample).
 
-    The tables' paths depend on the name, the input plans and the settings, so other inputs or settings never read an old table; the dropped
-    columns are stored beside the pruned table.
+    Both tables are known by a manifest of the input files (path, length, time), the plans over them and the settings: another data folder, a
+    changed file or other settings never read an old table. Returns the pruned table and the names of the dropped columns.
     """
-    plans = "|".join(f"{k}:{t._jdf.queryExecution().analyzed().canonicalized().toString()}" for k, t in sorted(tables.items()))  # noqa: SLF001
-    key = hashlib.sha256(f"{plans}|{vocab}".encode()).hexdigest()[:16]
-    full = S.build_or_load(spark, scratch_path(spark, f"{name}-features-{key}"), lambda: build_features(tables, vocab), rebuild)
-    path = scratch_path(spark, f"{name}-cleaned-{key}-{threshold}-{sample_fraction}")
-
-    def prune() -> DataFrame:
-        pruned, gone = prune_correlated(full, threshold, sample_fraction, protect=(ID,), id_col=ID)
-        S.write_table(spark.createDataFrame([(c,) for c in gone], "column string"), f"{path}-dropped")
-        return pruned
-
-    cleaned = S.build_or_load(spark, path, prune, rebuild)
-    return cleaned, sorted(r["column"] for r in spark.read.schema("column string").parquet(f"{path}-dropped").collect())
+    settings = {"vocab": {t: {c: list(x) for c, x in v.items()} for t, v in (vocab or {}).items()}}
+    made = manifest(spark, tables, settings)
+    full = S.build_or_load(spark, scratch_path(spark, f"{name}-features"), lambda: build_features(tables, vocab), rebuild, made)
+    pruned = replace(made, settings=json.dumps(settings | {"threshold": threshold, "sample_fraction": sample_fraction}, sort_keys=True))
+    cleaned = S.build_or_load(spark, scratch_path(spark, f"{name}-cleaned"),
+                              lambda: prune_correlated(full, threshold, sample_fraction, protect=(ID,), id_col=ID)[0], rebuild, pruned)
+    return cleaned, sorted(set(full.columns) - set(cleaned.columns))
 
 
 def prepare_data(df: DataFrame, features: Sequence[str] | None = None, test_fraction: float = 0.05, seed: int = 0,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.joins import semi_join_ids, semi_join_two_hops
+from riskloom.sources.manifest import Manifest, store_manifest, stored_manifest
 
 CLIENT = "SK_ID_CURR"
 
@@ -31,14 +32,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
-def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False,
+                  made: Manifest | None = None) -> DataFrame:
     """Read the materialised table when a complete one exists, else build, write and read it back.
 
     The written table also cuts the lineage of the build, so later stages restart from it after an
     executor loss instead of recomputing the whole feature plan.
+
+    With a manifest of the inputs (``manifest(spark, tables, settings)``) the table lies under ``path`` in a folder named by the manifest's digest, and
+    is loaded only if the manifest stored with it, as the last step of its build, is the same: other files, changed files or other settings
+    never read an old table, and a build that broke off is done again.
     """
-    if rebuild or not _exists(spark, path):
+    if made is not None:
+        path = f"{path}-{made.digest[:16]}"
+    if rebuild or not _exists(spark, path) or (made is not None and stored_manifest(spark, path) != made):
         write_table(build(), path)
+        if made is not None:
+            store_manifest(spark, path, made)
     return spark.read.parquet(path)
 
 
