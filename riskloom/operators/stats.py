@@ -2,18 +2,20 @@
 
 Correlation is pairwise-complete with non-finite values treated as missing and constant columns
 giving NULL. A few pairs: one aggregation with sample (co)variances per pair. All pairs of a wide row:
-per-partition matrix moments in ``mapInPandas`` (numpy matrix products over an Arrow batch), summed by
-pair with ``groupBy`` - work n * p^2 stays in the executors, the driver only sees pairs.
+per-task matrix moments (numpy matrix products over an Arrow batch), packed by pairs of column blocks and
+added up in a tree - work n * p^2 stays in the executors, the driver only sees pairs.
 Chi-square needs the observed cells and their margins only. P-values are tail probabilities of a one-row result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from riskloom.session import written
 
 # Variance at or below this counts as constant.
 VAR_TOLERANCE = 1e-12
+# Columns of a block of the moment matrix, and branches of the tree that adds the blocks up.
+BLOCK, BRANCHES = 64, 32
+# Cells of a chi-square grid that may be laid out on request.
+GRID_CELLS = 1_000_000
 
 
 def _ref(c: str):
@@ -55,40 +61,78 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("col_i", "col_j", "corr", F.abs("corr").alias("abs_corr"), "n")
 
 
-def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """C1 (all pairs of a wide row): same output as ``correlation_pairs`` from partition-wise moments.
+def _moments(batches: Iterator[pa.RecordBatch], means: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """One row per pair of column blocks: the packed sums (n, x, y, xx, yy, xy; first index from the first block) of a task's rows."""
+    p = len(means)
+    sums = np.zeros((4, p, p))  # n, x, xx, xy: y and yy are the transposes of x and xx
+    seen = False
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, p))
+        here = ~np.isnan(x)
+        z, m = np.where(here, x - means, 0.0), here.astype(float)
+        sums += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+        seen = True
+    if not seen:
+        return
+    n, sx, sxx, sxy = sums
+    cuts = range(0, p, block)
+    for i in cuts:
+        for j in cuts:
+            if j >= i:
+                at, ta = np.s_[i : i + block, j : j + block], np.s_[j : j + block, i : i + block]
+                packed = np.stack([n[at], sx[at], sx[ta].T, sxx[at], sxx[ta].T, sxy[at]])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([packed.ravel().tolist()], pa.list_(pa.float64()))], ["i", "j", "sums"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed arrays of each block pair that come to this task; one array per pair is held."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for i, j, sums in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("sums"), strict=True):
+            x = sums.values.to_numpy()
+            held[i, j] = held[i, j] + x if (i, j) in held else x
+    for (i, j), x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([x.tolist()], pa.list_(pa.float64()))], ["i", "j", "sums"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], p: int, block: int) -> Iterator[pa.RecordBatch]:
+    """(i, j, n, sx, sy, sxx, syy, sxy) for the columns i < j of each block pair."""
+    for batch in batches:
+        for bi, bj, sums in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("sums"), strict=True):
+            rows, cols = min(block, p - bi), min(block, p - bj)
+            i, j = np.divmod(np.arange(rows * cols), cols)
+            kept = bi + i < bj + j
+            parts = sums.values.to_numpy().reshape(6, -1)[:, kept]
+            yield pa.RecordBatch.from_arrays([pa.array((bi + i)[kept].astype(np.int32)), pa.array((bj + j)[kept].astype(np.int32)), *[pa.array(x) for x in parts]],
+                                             ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+
+def blocked_moments(clean: DataFrame, means: np.ndarray, block: int = BLOCK, branches: int = BRANCHES) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of all pairs of the numeric columns of ``clean``, centred on ``means``.
+
+    A task sends (p / block) ** 2 / 2 rows of packed sums whatever the number of pairs. They are added up in a tree: first the tasks of a branch
+    for each block pair, then the branches.
+    """
+    schema = "i int, j int, sums array<double>"
+    leaves = clean.mapInArrow(partial(_moments, means=means, block=block), schema).withColumn("branch", F.spark_partition_id() % branches)
+    level = leaves.repartition("i", "j", "branch").select("i", "j", "sums").mapInArrow(_merged, schema)
+    whole = level.repartition("i", "j").mapInArrow(_merged, schema)
+    return whole.mapInArrow(partial(_unpacked, p=len(means), block=block), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+
+
+def correlation_matrix_pairs(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """C1 (all pairs of a wide row): same output as ``correlation_pairs`` from blocked moments.
 
     The numeric columns are written once in the shared folder and read twice: one JVM aggregation
-    for the global means (p numbers to the driver), then one ``mapInPandas`` pass centring on them,
-    so the moment sums stay well conditioned. Each task emits one row per pair, which for input partitions of usual size is a
-    small part of what it reads.
+    for the global means (p numbers to the driver), then one pass centring on them,
+    so the moment sums stay well conditioned (``blocked_moments``). A task holds four p x p arrays.
     """
     cols = list(columns)
     p = len(cols)
     clean = written(df.select(*[_clean(c).alias(f"x{i}") for i, c in enumerate(cols)]), "correlation")
     means_row = clean.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
     means = np.array([0.0 if means_row[i] is None else float(means_row[i]) for i in range(p)])
-    iu, ju = np.triu_indices(p, k=1)
-
-    def moments(batches):
-        n, zx, zxx, zz = (np.zeros((p, p)) for _ in range(4))
-        seen = False
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan)
-            m = (~np.isnan(x)).astype("float64")
-            z = np.where(m > 0, x - means, 0.0)
-            n += m.T @ m
-            zx += z.T @ m
-            zxx += (z * z).T @ m
-            zz += z.T @ z
-            seen = True
-        if seen:
-            yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju], "sx": zx[iu, ju],
-                                "sy": zx[ju, iu], "sxx": zxx[iu, ju], "syy": zxx[ju, iu], "sxy": zz[iu, ju]})
-
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    summed = clean.mapInPandas(moments, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    summed = blocked_moments(clean, means, block)
     n = F.col("n")
     vx = F.try_divide(F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), n - 1)
     vy = F.try_divide(F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n), n - 1)
@@ -221,13 +265,40 @@ def chi2_test(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None
 
 
 def chi2_contributions(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Per cell (O - E)^2 / E divided by the table total (no continuity correction; NULL when independent).
+    """C5, sparse: the observed cells (x, y, observed, expected, share), and in every row the number of empty cells and their share together.
+
+    share: (O - E)^2 / E divided by the table total (no continuity correction; NULL when independent). An empty cell's term is its E, and all E
+    sum to n, so the empty cells' total is n less the observed cells' E: no cell that holds nothing is ever made.
+    """
+    cells, rows, cols = _cells(df, x, y)
+    t = cells.join(rows, "x").join(cols, "y")
+    n = rows.agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    grid = int(n["k"]) * cols.count()
+    expected = F.col("r").cast("double") * F.col("c").cast("double") / F.lit(float(n["n"] or 1))
+    t = t.select("x", "y", "observed", expected.alias("expected"))
+    term = (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")) / F.col("expected")
+    told = t.agg(F.sum(term).alias("t"), F.sum("expected").alias("e"), F.count(F.lit(1)).alias("k")).first()
+    empty = grid - int(told["k"])
+    rest = max(float(n["n"] or 0) - float(told["e"] or 0.0), 0.0) if empty else 0.0
+    total = F.lit(float(told["t"] or 0.0) + rest)
+    return t.select(F.col("x").alias(x), F.col("y").alias(y), "observed", "expected", F.try_divide(term, total).alias("share"),
+                    F.lit(empty).cast("long").alias("empty_cells"), F.try_divide(F.lit(rest), total).alias("empty_share"))
+
+
+def chi2_grid(df: DataFrame, x: str, y: str, max_cells: int = GRID_CELLS) -> DataFrame:
+    """C5, the full grid of two small vocabularies: (x, y, observed, expected, share) for empty cells too.
 
-    The result is the full grid of the two vocabularies, so it is laid out from the two margins.
+    For tables of categories to look at; more than ``max_cells`` cells are an error (``chi2_contributions`` has no bound).
     """
     cells, rows, cols = _cells(df, x, y)
+    sizes = rows.count(), cols.count()
+    if sizes[0] * sizes[1] > max_cells:
+        raise ValueError(f"a grid of {sizes[0]} x {sizes[1]} cells; chi2_contributions has the observed ones")
     n = rows.agg(F.sum("r").alias("n")).first()["n"] or 0
-    grid = rows.crossJoin(cols).withColumn("expected", F.col("r").cast("double") * F.col("c").cast("double") / F.lit(float(n or 1)))
+    margin = F.array(*[F.struct(F.lit(r["y"]).alias("y"), F.lit(r["c"]).alias("c")) for r in cols.collect()]) if sizes[1] else F.array()  # bounded above
+    if not sizes[1]:
+        return chi2_contributions(df, x, y).drop("empty_cells", "empty_share")
+    grid = rows.select("x", "r", F.explode(margin).alias("m")).select("x", "m.y", (F.col("r").cast("double") * F.col("m.c").cast("double") / F.lit(float(n))).alias("expected"))
     t = grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("observed", F.lit(0)).alias("observed"), "expected")
     term = (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")) / F.col("expected")
     tot = t.agg(F.sum(term).alias("t")).first()["t"]

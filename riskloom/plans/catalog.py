@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.checksum import checksum_sql, table_checksum
 from riskloom.functions.naming import AGG_SUFFIXES, BLOCK_PREFIXES, feature_root_name
 from riskloom.functions.report import report, round_sig_sql
 from riskloom.functions.scalar import HASH_MOD, LOG_LOSS_EPS, parity_hash, parity_hash_sql
@@ -226,6 +227,40 @@ def q_export_client_sample(spark, d):
                           for x in paths])
 
 
+# Columns of the source tables: texts and whole numbers, then floating ones.
+SOURCE_COLUMNS = {
+    "application": (["SK_ID_CURR", "TARGET", "NAME_INCOME_TYPE", "CODE_GENDER"],
+                    ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS"]),
+    "bureau": (["SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_ACTIVE", "CREDIT_TYPE"], ["DAYS_CREDIT", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT"]),
+    "bureau_balance": (["SK_ID_BUREAU", "MONTHS_BALANCE", "STATUS"], []),
+    "previous_application": (["SK_ID_PREV", "SK_ID_CURR", "NAME_CONTRACT_STATUS"],
+                             ["AMT_APPLICATION", "AMT_CREDIT", "RATE_DOWN_PAYMENT", "CNT_PAYMENT", "DAYS_DECISION", "DAYS_FIRST_DRAWING"]),
+    "pos_cash": (["SK_ID_CURR", "MONTHS_BALANCE", "SK_DPD", "SK_DPD_DEF", "NAME_CONTRACT_STATUS"], []),
+    "installments": (["SK_ID_CURR", "NUM_INSTALMENT_VERSION"], ["AMT_INSTALMENT", "AMT_PAYMENT", "DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT"]),
+    "credit_card": (["SK_ID_CURR", "SK_ID_PREV", "MONTHS_BALANCE", "CNT_DRAWINGS_CURRENT", "NAME_CONTRACT_STATUS"], ["AMT_BALANCE"]),
+}
+
+
+def _sample_checksum_sql() -> str:
+    own = "SK_ID_CURR IN (SELECT * FROM ids)"
+    far = f"SK_ID_BUREAU IN (SELECT SK_ID_BUREAU FROM fx_bureau WHERE {own})"
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", * FROM ({checksum_sql(f'(SELECT * FROM fx_{t} WHERE {far if t == 'bureau_balance' else own})', *cols)})"
+        for t, cols in SOURCE_COLUMNS.items())
+
+
+@register("export_client_sample_checksum", sql(ALL_FX, _sample_checksum_sql(), [("ids", _test_ids_sql())]))
+def q_export_client_sample_checksum(spark, d):
+    """Rows and an order-free checksum of all values of every exported table, read back from its files."""
+    from riskloom.sources.sinks import export_client_sample
+
+    t = fixture_tables(spark, d)
+    ids = G.stratified_split(t["application"], "TARGET", 0.25, "SK_ID_CURR", 7).where("is_test").select("SK_ID_CURR")
+    paths = export_client_sample(t, written(ids, "ids"), scratch_path(spark, f"sample-{uuid.uuid4().hex}"))
+    told = [table_checksum(spark.read.parquet(x), portable=True).withColumn("table", F.lit(x.rsplit("/", 1)[1])) for x in paths]
+    return W.union_folds([x.select("table", "n_rows", "checksum") for x in told])
+
+
 # ---- 2.2 projections, filters, cleaning -------------------------------------------------------------
 
 RATIOS = B.APPLICATION_RATIOS
@@ -432,7 +467,29 @@ def q_one_hot(spark, d):
           "SELECT SK_ID_CURR, CASE CODE_GENDER WHEN 'F' THEN 0 WHEN 'M' THEN 1 WHEN 'XNA' THEN 2 ELSE -1 END AS CODE_GENDER "
           "FROM fx_application"))
 def q_factorize(spark, d):
-    return E.factorize(fx(spark, d, "fx_application").select("SK_ID_CURR", "CODE_GENDER"), ["CODE_GENDER"])
+    return E.factorize(fx(spark, d, "fx_application").select("SK_ID_CURR", "CODE_GENDER"), ["CODE_GENDER"], {"CODE_GENDER": ["F", "M", "XNA"]})
+
+
+@register("factorize_dictionary",
+          "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY day) - 1 AS BIGINT) AS day, CASE WHEN clerk IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY clerk NULLS LAST) - 1 AS BIGINT) END AS clerk "
+          "FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'clerk ' || CAST(o_orderkey * 7919 % 1000003 AS VARCHAR) END AS clerk FROM orders)")
+def q_factorize_dictionary(spark, d):
+    """E2 on columns of many values: codes from the distributed dictionary."""
+    t = load_table(spark, d, "orders").selectExpr(
+        "o_orderkey", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day",
+        "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'clerk ' || CAST(o_orderkey * 7919 % 1000003 AS STRING) END AS clerk")
+    return E.factorize(t, ["day", "clerk"])
+
+
+@register("one_hot_sparse", sql(["fx_bureau"],
+          "SELECT SK_ID_BUREAU, list_sort([CASE WHEN CREDIT_ACTIVE IS NULL THEN na ELSE ca END, na + 1 + CASE WHEN CREDIT_TYPE IS NULL THEN nt ELSE ct END])[1] AS first_index, "
+          "list_sort([CASE WHEN CREDIT_ACTIVE IS NULL THEN na ELSE ca END, na + 1 + CASE WHEN CREDIT_TYPE IS NULL THEN nt ELSE ct END])[2] AS second_index, CAST(na + nt + 2 AS BIGINT) AS width "
+          "FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY CREDIT_ACTIVE NULLS LAST) - 1 AS BIGINT) AS ca, CAST(dense_rank() OVER (ORDER BY CREDIT_TYPE NULLS LAST) - 1 AS BIGINT) AS ct FROM fx_bureau), "
+          "(SELECT count(DISTINCT CREDIT_ACTIVE) AS na, count(DISTINCT CREDIT_TYPE) AS nt FROM fx_bureau)"))
+def q_one_hot_sparse(spark, d):
+    """E1 as positions instead of columns."""
+    out, width = E.one_hot_sparse(fx(spark, d, "fx_bureau").select("SK_ID_BUREAU", "CREDIT_ACTIVE", "CREDIT_TYPE"), ["CREDIT_ACTIVE", "CREDIT_TYPE"])
+    return out.select("SK_ID_BUREAU", F.col("indices")[0].alias("first_index"), F.col("indices")[1].alias("second_index"), F.lit(width).cast("long").alias("width"))
 
 
 def _share_sql():
@@ -899,7 +956,29 @@ def q_chi2_test_rxc(spark, d):
     "AS share FROM g", ["expected", "share"], ["CREDIT_ACTIVE", "CREDIT_TYPE", "observed"]),
     [_cells_cte("fx_bureau", "CREDIT_ACTIVE", "CREDIT_TYPE"), ("g", _chi2_cells_sql("fx_bureau", "CREDIT_ACTIVE", "CREDIT_TYPE"))]))
 def q_chi2_contributions(spark, d):
-    return report(C.chi2_contributions(fx(spark, d, "fx_bureau"), "CREDIT_ACTIVE", "CREDIT_TYPE"))
+    return report(C.chi2_grid(fx(spark, d, "fx_bureau"), "CREDIT_ACTIVE", "CREDIT_TYPE"))
+
+
+# two keys that meet in few of their pairs, so that most cells are empty
+_SPARSE_X, _SPARSE_Y = "CAST(o_custkey % 101 AS VARCHAR)", "CAST(CAST(floor(o_totalprice) AS BIGINT) % 997 AS VARCHAR)"
+
+
+@register("chi2_contributions_sparse", rep(
+    "SELECT x, y, observed, expected, (observed - expected) * (observed - expected) / expected / total AS share, empty_cells, "
+    "CASE WHEN empty_cells > 0 THEN (n - e) / total ELSE 0 END AS empty_share FROM ("
+    "SELECT *, sum(expected) OVER () AS e, sum((observed - expected) * (observed - expected) / expected) OVER () + "
+    "CASE WHEN empty_cells > 0 THEN n - sum(expected) OVER () ELSE 0 END AS total FROM ("
+    "SELECT x, y, observed, CAST(r AS DOUBLE) * CAST(c AS DOUBLE) / CAST(n AS DOUBLE) AS expected, CAST(n AS DOUBLE) AS n, "
+    "CAST(nr * nc - count(*) OVER () AS BIGINT) AS empty_cells FROM ("
+    "SELECT x, y, observed, sum(observed) OVER (PARTITION BY x) AS r, sum(observed) OVER (PARTITION BY y) AS c, sum(observed) OVER () AS n "
+    f"FROM (SELECT {_SPARSE_X} AS x, {_SPARSE_Y} AS y, count(*) AS observed FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1, 2)), "
+    f"(SELECT count(DISTINCT {_SPARSE_X}) AS nr, count(DISTINCT {_SPARSE_Y}) AS nc FROM orders WHERE o_totalprice IS NOT NULL)))",
+    ["expected", "share", "empty_share"], ["x", "y", "observed", "empty_cells"]))
+def q_chi2_contributions_sparse(spark, d):
+    """C5 on two vocabularies whose grid is mostly empty: observed cells, and the empty ones in sum."""
+    t = load_table(spark, d, "orders").where("o_totalprice IS NOT NULL").selectExpr(
+        "CAST(o_custkey % 101 AS STRING) AS x", "CAST(floor(o_totalprice) % 997 AS STRING) AS y")
+    return report(C.chi2_contributions(t, "x", "y"))
 
 
 _HALF = "CAST(dof / 2 AS BIGINT)"

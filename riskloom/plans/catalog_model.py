@@ -20,9 +20,11 @@ from riskloom.operators import sampling as G
 from riskloom.plans import catalog as C
 from riskloom.plans import registry as R
 from riskloom.plans.catalog import app, features
+from riskloom.plans.features import fixture_tables
 from riskloom.plans.registry import register
 from riskloom.session import scratch_path, written
 from riskloom.sources import sinks as S
+from riskloom.sources.manifest import manifest
 from riskloom.streaming.score_stream import stream_score
 
 LABEL = "TARGET"
@@ -121,10 +123,21 @@ def q_stream_score(spark, d):
 
 @register("impute_iterative")
 def q_impute_iterative(spark, d):
-    """Three rounds of regression imputation on the application's numbers."""
-    cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "DAYS_EMPLOYED_PERC",
-            "INCOME_PER_PERSON"]
-    return report(I.impute_iterative(app(spark, d).select(ID, *cols), cols, rounds=3, id_col=ID))
+    """Three rounds of regression imputation on all numeric columns of the application row."""
+    return report(I.impute_regression(app(spark, d), rounds=3))
+
+
+_MEAN = "coalesce({0}, (SELECT avg({0}) FROM app))"
+_LINE = ("coalesce({0}, (SELECT regr_intercept({0}, {1}) FROM app) + (SELECT regr_slope({0}, {1}) FROM app) * {1}) AS {0}")
+
+
+@register("impute_regression_round", C.sql(["fx_application"], C.rep(
+    f"SELECT SK_ID_CURR, {_LINE.format('CNT_FAM_MEMBERS', _MEAN.format('DAYS_EMPLOYED'))}, {_LINE.format('DAYS_EMPLOYED', _MEAN.format('CNT_FAM_MEMBERS'))} FROM app",
+    ["CNT_FAM_MEMBERS", "DAYS_EMPLOYED"], [ID]), C.APP_CTE))
+def q_impute_regression_round(spark, d):
+    """One round on two columns that both have gaps, each regressed on the other's means and values."""
+    cols = ["CNT_FAM_MEMBERS", "DAYS_EMPLOYED"]
+    return report(I.impute_regression(app(spark, d).select(ID, *cols), cols, rounds=1))
 
 
 @register("impute_iterative_round", C.sql(["fx_application"], C.rep(
@@ -143,10 +156,10 @@ def _not_again() -> DataFrame:
 
 @register("build_or_load", R.ORACLE["join_feature_blocks"])
 def q_build_or_load(spark, d):
-    """S5 (+ S4): the feature table materialised once in the shared folder, then loaded by a second call."""
+    """S5 (+ S4): the feature table materialised once in the shared folder under a manifest of its input files, then loaded by a second call."""
     path = scratch_path(spark, f"features-{uuid.uuid4().hex}")
-    S.build_or_load(spark, path, lambda: features(spark, d))
-    return report(S.build_or_load(spark, path, _not_again))
+    S.build_or_load(spark, path, lambda: features(spark, d), made=manifest(spark, fixture_tables(spark, d)))
+    return report(S.build_or_load(spark, path, _not_again, made=manifest(spark, fixture_tables(spark, d))))
 
 
 @register("write_scores")

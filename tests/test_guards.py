@@ -14,7 +14,7 @@ from riskloom.operators.impute import impute_simple
 from riskloom.operators.metrics import auc_roc, log_loss, roc_points
 from riskloom.operators.profile import box_stats
 from riskloom.operators.sampling import kfold, random_split, sample_fraction, stratified_split
-from riskloom.operators.stats import anova_table, chi2_contributions, chi2_sf, chi2_table, f_sf, with_anova_p, with_chi2_p
+from riskloom.operators.stats import anova_table, chi2_contributions, chi2_grid, chi2_sf, chi2_table, f_sf, with_anova_p, with_chi2_p
 from riskloom.session import scratch_path
 from riskloom.sources.sinks import build_or_load
 
@@ -67,6 +67,7 @@ def test_edges_give_null(spark):
     assert chi2_table(one, "y", "g").first()["chi2"] is None
     indep = spark.createDataFrame([(a, b) for a in "xy" for b in "uv" for _ in range(5)], "a string, b string")
     assert all(r.share is None for r in chi2_contributions(indep, "a", "b").collect())
+    assert all(r.share is None for r in chi2_grid(indep, "a", "b").collect())
     sure = spark.createDataFrame([(1, 0.0), (0, 1.0), (1, 1.0), (0, 0.5)], "y int, p double")
     got = log_loss(sure).first()["log_loss_sum"]
     want = -2 * math.log(1e-15) - math.log(1 - 1e-15) + math.log(2)
