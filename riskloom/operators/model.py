@@ -10,26 +10,33 @@ from __future__ import annotations
 
 import random
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.scalar import missing
 from riskloom.operators.metrics import auc_roc
 from riskloom.operators.ranking import union_folds
-from riskloom.operators.sampling import kfold
+from riskloom.operators.sampling import kfold, sample_fraction
 from riskloom.session import written
 
 WEIGHT = "_weight"
 VALID = "_is_valid"
+# Quantile bins of a feature in cross-validation and search.
+BINS = 32
 
 # Default tree parameters (learning rate, depth for about 15 leaves, iterations capped).
 DEFAULT_PARAMS = {"stepSize": 0.05, "maxDepth": 4, "maxIter": 50, "subsamplingRate": 1.0,
@@ -120,49 +127,120 @@ def feature_importance(model: PipelineModel, features: Sequence[str] | None = No
     return s.createDataFrame([(f, float(found.get(f, 0.0))) for f in feats], "feature string, importance double")
 
 
+def binned(df: DataFrame, features: Sequence[str], keep: Sequence[str], bins: int = BINS) -> tuple[DataFrame, list[str]]:
+    """(``keep``, features vector) with every feature as the number of its quantile bin, written once; and the features that have values.
+
+    One sketch of all columns gives the bins and the medians, which stand for missing values, so no fit has to look for splits or medians again. A
+    bin's number keeps its order, so trees on numbers are trees on values cut at the bins' bounds.
+    """
+    x = [F.when(~missing(df, f), F.col("`" + f.replace("`", "``") + "`").cast("double")).alias(f"x{i}") for i, f in enumerate(features)]
+    plain = written(df.select(*keep, *x), "plain")
+    names = [f"x{i}" for i in range(len(features))]
+    found = plain.approxQuantile(names, [i / bins for i in range(1, bins)] + [0.5], 1 / (8 * bins))
+    full = [i for i, q in enumerate(found) if q]
+    edges, medians = [np.unique(found[i][:-1]) for i in full], [found[i][-1] for i in full]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = [batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in full]
+                codes = [np.searchsorted(e, np.where(np.isnan(v), m, v), side="left") for v, e, m in zip(values, edges, medians, strict=True)]
+                flat = pa.array(np.column_stack(codes).astype(float).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(full)), flat)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "codes"])
+
+    schema = T.StructType([*[plain.schema[c] for c in keep], T.StructField("codes", T.ArrayType(T.DoubleType()))])
+    out = plain.mapInArrow(number, schema).select(*keep, array_to_vector("codes").alias("features"))
+    return written(out, "binned"), [features[i] for i in full]
+
+
+def together(tasks: Sequence[Callable], parallelism: int) -> list:
+    """Results of driver-side tasks that each start Spark jobs, some at a time, each in a FAIR pool of its own (where the scheduler has pools)."""
+    spark = SparkSession.getActiveSession()
+
+    def pooled(k: int, task: Callable) -> Callable:
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k}")
+            return task()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return [f.result() for f in [pool.submit(pooled(k, t)) for k, t in enumerate(tasks)]]
+
+
+def _trees(label: str, seed: int, weighted: bool, bins: int, params: Mapping) -> GBTClassifier:
+    gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **({**DEFAULT_PARAMS, "maxBins": bins + 1} | dict(params)))
+    return gbt.setWeightCol(WEIGHT) if weighted else gbt
+
+
+def _folds(df: DataFrame, features: Sequence[str], label: str, k: int, id_col: str, seed: int, stratified: bool, pos_weight: float | None,
+           bins: int) -> tuple[DataFrame, list[str]]:
+    """The folded table in bins: id, label (double), fold, weight if any, features."""
+    folded = kfold(df, k, id_col, seed, label if stratified else None).withColumn(label, F.col(label).cast("double")).where(F.col(label).isNotNull())
+    keep = [id_col, label, "fold"]
+    if pos_weight is not None:
+        folded, keep = folded.withColumn(WEIGHT, F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))), [*keep, WEIGHT]
+    return binned(folded, features, keep, bins)
+
+
 def cross_validate_oof(df: DataFrame, features: Sequence[str], label: str = "TARGET", k: int = 5,
                        id_col: str = "SK_ID_CURR", seed: int = 1001, stratified: bool = True,
-                       pos_weight: float | None = None, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
+                       pos_weight: float | None = None, bins: int = BINS, parallelism: int | None = None, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M2: k-fold fit; returns (out-of-fold scores, per-fold AUC, per-fold importances).
 
     Each fold trains on the other folds and scores its own rows; the scored folds and importances are
-    appended by name (U1). The overall AUC is ``auc_roc`` over the out-of-fold table. The folded table is written once, so that
-    no fold starts from the feature plan.
+    appended by name (U1). The overall AUC is ``auc_roc`` over the out-of-fold table. All folds share one table of binned features, written once, and are
+    fitted at the same time (``parallelism``, all by default). Bins and medians are those of all rows; labels take no part in them.
     """
-    folded = written(kfold(df, k, id_col, seed, label if stratified else None), "folds")
-    scored, aucs, imps = [], [], []
-    for f in range(k):
-        model = train_classifier(folded.where(F.col("fold") != f), features, label, pos_weight, seed=seed, **params)
-        s = batch_score(model, folded.where(F.col("fold") == f), id_col, keep=[label]).withColumn("fold", F.lit(f))
-        scored.append(s)
-        aucs.append(auc_roc(s, label, "probability_1").select(F.lit(f).alias("fold"), "auc"))
-        imps.append(feature_importance(model, features).withColumn("fold", F.lit(f + 1)))
-    return union_folds(scored), union_folds(aucs), union_folds(imps)
-
-
-def random_search(df: DataFrame, features: Sequence[str], label: str = "TARGET", n_iter: int = 4, k: int = 3,
+    data, used = _folds(df, features, label, k, id_col, seed, stratified, pos_weight, bins)
+    gbt = _trees(label, seed, pos_weight is not None, bins, params)
+    models = together([partial(gbt.fit, data.where(F.col("fold") != f)) for f in range(k)], parallelism or k)
+    scored = [m.transform(data.where(F.col("fold") == f)).select(
+        id_col, label, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability_1"), F.lit(f).alias("fold"))
+        for f, m in enumerate(models)]
+    oof = written(union_folds(scored), "oof")
+    aucs = together([partial(lambda f: auc_roc(oof.where(F.col("fold") == f), label, "probability_1").first()["auc"], f) for f in range(k)], parallelism or k)
+    spark = df.sparkSession
+    imps = []
+    for f, m in enumerate(models):
+        found = dict(zip(used, m.featureImportances.toArray().tolist(), strict=True))
+        imps += [(x, float(found.get(x, 0.0)), f + 1) for x in features]
+    return (oof, spark.createDataFrame(list(enumerate(aucs)), "fold int, auc double"), spark.createDataFrame(imps, "feature string, importance double, fold int"))
+
+
+# The parameter space of the search.
+SPACE = {"stepSize": [0.02, 0.05, 0.1], "maxDepth": [3, 4, 5], "maxIter": [20, 40], "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["all", "sqrt", "0.8"]}
+
+
+def random_search(df: DataFrame, features: Sequence[str], label: str = "TARGET", n_iter: int = 8, k: int = 5,
                   space: Mapping[str, Sequence] | None = None, id_col: str = "SK_ID_CURR", seed: int = 0,
-                  pos_weight: float | None = None, parallelism: int = 1) -> tuple[dict, DataFrame]:
-    """M3: ``n_iter`` parameter sets drawn (seeded) from ``space``, each scored by stratified k-fold AUC
-    with ``CrossValidator(foldCol=...)``; returns (best parameters, table of all draws)."""
-    space = dict(space or {"stepSize": [0.02, 0.05, 0.1], "maxDepth": [3, 4, 5], "maxIter": [20, 40],
-                           "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["all", "sqrt", "0.8"]})
+                  pos_weight: float | None = None, parallelism: int = 4, rungs: int = 3, eta: int = 2, bins: int = BINS) -> tuple[dict, DataFrame]:
+    """M3: ``n_iter`` parameter sets drawn (seeded) from ``space`` and scored by stratified k-fold AUC, with successive halving.
+
+    On the first of ``rungs`` rungs all draws are trained on a hash share of the rows (``eta`` ** (1 - rungs) of them), the best 1 / ``eta`` of them go on to
+    a share ``eta`` times as large, and so on to all rows; one rung is the plain search. All fits read one table of binned features, and run ``parallelism``
+    at a time. Returns (best parameters, table of draw, params, rung, share, rows, mean_auc, for every rung that a draw reached). Ties: the smaller draw.
+    """
+    space = dict(space or SPACE)
     rng = random.Random(seed)
     draws = [{name: rng.choice(list(vals)) for name, vals in sorted(space.items())} for _ in range(n_iter)]
-    data = written(_prepare(kfold(df, k, id_col, seed, label), features, label, pos_weight), "folds")
-    pipe = build_pipeline(features, label, pos_weight is not None, False, seed)
-    gbt = pipe.getStages()[-1]
-    grid = []
-    for dct in draws:
-        b = ParamGridBuilder()
-        for name, v in dct.items():
-            b = b.baseOn({gbt.getParam(name): v})
-        grid.append(b.build()[0])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label),
-                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
-    fitted = cv.fit(data.withColumn("fold", F.col("fold").cast("int")))
-    rows = [(i, str(dct), float(m)) for i, (dct, m) in enumerate(zip(draws, fitted.avgMetrics))]
-    s = df.sparkSession
-    table = s.createDataFrame(rows, "draw int, params string, mean_auc double")
-    best = draws[max(range(len(draws)), key=lambda i: fitted.avgMetrics[i])]
-    return best, table
+    data, _ = _folds(df, features, label, k, id_col, seed, True, pos_weight, bins)
+    judge = BinaryClassificationEvaluator(labelCol=label)
+    left, told = list(range(n_iter)), []
+    for rung in range(rungs):
+        share = float(eta) ** (rung + 1 - rungs)
+        # a share holds the rows of the smaller ones: the same hash, a higher bound
+        part = data if share >= 1 else written(sample_fraction(data, share, id_col, seed + 1), "rung")
+        rows = part.count()
+
+        def score(draw: int, fold: int, part: DataFrame = part) -> float:
+            model = _trees(label, seed, pos_weight is not None, bins, draws[draw]).fit(part.where(F.col("fold") != fold))
+            return judge.evaluate(model.transform(part.where(F.col("fold") == fold)))
+
+        found = together([partial(score, d, f) for d in left for f in range(k)], parallelism)
+        mean = {d: sum(found[i * k : (i + 1) * k]) / k for i, d in enumerate(left)}
+        told += [(d, str(draws[d]), rung, share, rows, float(mean[d])) for d in left]
+        left = sorted(sorted(left, key=lambda d: (-mean[d], d))[: max(1, -(-len(left) // eta))]) if rung < rungs - 1 else left
+    best = min(left, key=lambda d: (-mean[d], d))
+    return draws[best], df.sparkSession.createDataFrame(told, "draw int, params string, rung int, share double, rows long, mean_auc double")
