@@ -5,8 +5,8 @@ where the word begins more suffixes than the memory budget; such a prefix is ext
 gathered into groups of about a budget's suffixes each. A group's suffixes go to one place, sorted, where its subtree is built without any other group:
 neighbours' common beginnings give the tree's nodes down to the depth, and a node's count is the total of its leaves.
 
-Suffixes are read only as far as they can be frequent: a fixed table of cells counts the pairs of neighbouring words by hash, and a suffix ends before a pair whose cell
-holds too few. A cell never holds less than its pairs' counts, so no frequent phrase is cut; the table's size doesn't depend on the corpus.
+Suffixes are read only as far as they can be frequent: two fixed tables of cells count the pairs and the triples of neighbouring words by hash, and a suffix ends before
+a pair or triple whose cell holds too few. A cell never holds less than its pairs' counts, so no frequent phrase is cut; the tables' size doesn't depend on the corpus.
 
 Words are written as codes of one to three bytes by a dictionary of the most frequent words, whose size is bounded; other words stand in a suffix as they are,
 unless the dictionary holds every word that is frequent enough: then the rest can be in no frequent phrase and ends the suffix.
@@ -40,8 +40,9 @@ TOP = 2000
 BUDGET = 1 << 19
 #: Words in the dictionary.
 WORDS = 1 << 17
-#: Cells of the table of pairs (their bits go to every task), and how many of them make a row.
-CELLS, CELL_ROW = 1 << 24, 1 << 18
+#: Cells of each table of neighbours (their bits go to every task), how many of them make a row, and the tables: so many words together.
+CELLS, CELL_ROW = 1 << 23, 1 << 18
+TOGETHER = (2, 3)
 #: Distinct words or suffixes that a task counts before it sends them.
 LOT = 400_000
 #: What ends a piece, and what stands between words.
@@ -70,10 +71,13 @@ def code(rank: int) -> bytes:
     return bytes([TWO + (rank >> 16), rank >> 8 & 255, rank & 255])
 
 
-def cells(rank: np.ndarray, size: int) -> np.ndarray:
-    """The cell of each word and the next."""
-    pair = (rank[:-1].astype(np.uint64) << np.uint64(32)) | (rank[1:].astype(np.uint64) & np.uint64(0xFFFFFFFF))
-    return (mix(pair * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+def cells(rank: np.ndarray, size: int, together: int) -> np.ndarray:
+    """The cell of each word and those after it, ``together`` in all."""
+    n = max(0, len(rank) - together + 1)
+    h = np.full(n, together, np.uint64)
+    for k in range(together):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + rank[k : k + n].astype(np.uint64))
+    return (h % np.uint64(size)).astype(np.int64)
 
 
 @dataclass
@@ -85,7 +89,7 @@ class Dictionary:
     group: np.ndarray
     groups: int
     heavy: set[bytes] = field(default_factory=set)
-    pairs: np.ndarray | None = None  # bits of the cells of pairs that may be frequent
+    bits: list[np.ndarray] = field(default_factory=list)  # for each table, the cells that may hold something frequent
 
     def __post_init__(self):
         codes = [code(r) for r in range(len(self.words))]
@@ -94,14 +98,18 @@ class Dictionary:
         self.bytes = np.frombuffer(b"".join(c.ljust(3, b"\0") for c in codes) + b"\0\0\0", np.uint8).reshape(-1, 3)
         self.word_of = dict(zip(codes, self.words, strict=True))
         self.group_of = {c: g for c, g in zip(codes, self.group.tolist(), strict=True) if c not in self.heavy}
-        self.open = None if self.pairs is None else np.unpackbits(self.pairs).astype(bool)
 
     def __reduce__(self):
-        return type(self), (self.words, self.whole, self.group, self.groups, self.heavy, self.pairs)
-
-    def follows(self, rank: np.ndarray) -> np.ndarray:
-        """Whether each word's pair with the next may be frequent; pairs with words outside the dictionary may."""
-        return self.open[cells(rank, len(self.open))] | (rank[:-1] < 0) | (rank[1:] < 0)
+        return type(self), (self.words, self.whole, self.group, self.groups, self.heavy, self.bits)
+
+    def may_follow(self, rank: np.ndarray, together: int) -> np.ndarray:
+        """Whether each word and those after it may be frequent together; with words outside the dictionary they may."""
+        bits = self.bits[TOGETHER.index(together)]
+        cell = cells(rank, 8 * len(bits), together)
+        out = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+        for k in range(together):
+            out |= rank[k : k + len(out)] < 0
+        return out
 
     def split(self, key: bytes) -> list[bytes]:
         """The codes of a suffix."""
@@ -188,38 +196,32 @@ def _coded(data: np.ndarray, starts: np.ndarray, words: Dictionary, depth: int)
     if words.whole:
         last |= rank < 0
         last[:-1] |= rank[1:] < 0
-    if words.open is not None and len(rank) > 1:
-        last[:-1] |= ~words.follows(rank)
+    if words.bits and len(rank) > 1:
+        last[:-1] |= ~words.may_follow(rank, 2)
     stops = np.flatnonzero(last)
     reach = np.minimum(stops[np.searchsorted(stops, np.arange(len(found)))] - np.arange(len(found)) + 1, depth) if len(found) else rank
     if words.whole:
         reach = np.where(rank < 0, 0, reach)
+    if words.bits and len(rank) > 2:
+        closed = np.append(~words.may_follow(rank, 3), [True, True])
+        for k in range(depth - 3, -1, -1):  # the triple k words on: the suffix ends before its third word
+            reach[: len(rank) - k] = np.where(closed[k:], np.minimum(reach[: len(rank) - k], k + 2), reach[: len(rank) - k])
     return stream.tobytes(), offsets, reach, rank
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
-    """(block, cells): a task's counts of pairs by cell, packed."""
-    words, table, lot, held = shared.value, np.zeros(size, np.uint32), [], 0
-
-    def count() -> None:
-        if lot:
-            table[:] += np.bincount(np.concatenate(lot), minlength=size).astype(np.uint32)
-            lot.clear()
-
+def _neighbour_counts(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
+    """(block, cells): a task's counts of neighbours by cell, packed; the tables lie one after another."""
+    words, table = shared.value, np.zeros((len(TOGETHER), size), np.uint32)
     for _, data, starts in _rows_by_lang(batches):
-        _, _, reach, rank = _coded(data, starts, words, 2)
-        found = cells(rank, size)[(reach[:-1] == 2) & (rank[1:] >= 0) & (rank[:-1] >= 0)] if len(rank) > 1 else rank
-        lot.append(found)
-        held += len(found)
-        if held >= 1 << 21:
-            count()
-            held = 0
-    count()
+        _, _, reach, rank = _coded(data, starts, words, max(TOGETHER))
+        for i, k in enumerate(TOGETHER):
+            found = cells(rank, size, k)
+            np.add.at(table[i], found[reach[: len(found)] >= k], 1)
     pack = zstandard.ZstdCompressor().compress
-    for low in range(0, size, CELL_ROW):
-        part = table[low : low + CELL_ROW]
+    for low in range(0, table.size, CELL_ROW):
+        part = table.ravel()[low : low + CELL_ROW]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([pack(part.tobytes())], pa.binary())], ["block", "cells"])
 
 
 def _added_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def _added_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(unpack(packed), np.uint32)
             held[block] = np.minimum(held[block].astype(np.uint64) + x, 0xFFFFFFFF).astype(np.uint32) if block in held else x
     for block, x in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(x.tobytes())], pa.binary())], ["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(x.tobytes())], pa.binary())], ["block", "cells"])
 
 
 def _open_cells(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
@@ -241,17 +243,17 @@ def _open_cells(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(bits, pa.binary())], ["block", "bits"])
 
 
-def frequent_pairs(texts: DataFrame, words: Dictionary, min_count: int, size: int) -> np.ndarray:
-    """Bits of the cells whose pairs occur ``min_count`` times together: tasks' tables added up block by block, in a tree."""
+def frequent_neighbours(texts: DataFrame, words: Dictionary, min_count: int, size: int) -> list[np.ndarray]:
+    """Bits of the cells that hold ``min_count`` together, for each table: tasks' tables added up block by block, in a tree."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
-    schema = "block int, cells binary"
-    leaves = texts.mapInArrow(partial(_pair_counts, shared=shared, size=size), schema).withColumn("branch", F.spark_partition_id() % 32)
+    schema = "block long, cells binary"
+    leaves = texts.mapInArrow(partial(_neighbour_counts, shared=shared, size=size), schema).withColumn("branch", F.spark_partition_id() % 32)
     branches = leaves.repartition("block", "branch").select("block", "cells").mapInArrow(_added_cells, schema)
-    whole = branches.repartition("block").mapInArrow(_added_cells, schema).mapInArrow(partial(_open_cells, min_count=min(min_count, 0xFFFFFFFF)), "block int, bits binary")
-    out = np.zeros(size // 8, np.uint8)
+    whole = branches.repartition("block").mapInArrow(_added_cells, schema).mapInArrow(partial(_open_cells, min_count=min(min_count, 0xFFFFFFFF)), "block long, bits binary")
+    out = np.zeros(len(TOGETHER) * size // 8, np.uint8)
     for r in whole.collect():  # a bit for each cell
         out[r["block"] // 8 : r["block"] // 8 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return np.split(out, len(TOGETHER))
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
@@ -369,7 +371,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 
 
 def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", min_count: int = MIN_COUNT, depth: int = DEPTH,
-                     budget: int = BUDGET, dictionary: int = WORDS, cells_of_pairs: int = CELLS) -> tuple[DataFrame, DataFrame]:
+                     budget: int = BUDGET, dictionary: int = WORDS, cell_count: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """(frequent phrases of 1 to ``depth`` words: lang, phrase, size, a; words: lang, n)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_column).alias("text"))
@@ -386,7 +388,7 @@ def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: st
     group = np.cumsum(np.where(size > budget, 0, size)) // budget
     words = Dictionary([bytes(r["key"]) for r in top], len(ranked) <= dictionary, group.astype(np.int32), int(total // budget) + 1)
     words.heavy = {code(r) for r, n in enumerate(size.tolist()) if n > budget}
-    words = replace(words, pairs=frequent_pairs(texts, words, min_count, cells_of_pairs))
+    words = replace(words, bits=frequent_neighbours(texts, words, min_count, cell_count))
 
     grown = spark.createDataFrame([], "key binary, n long")
     longest, level = 1, words.heavy
@@ -412,7 +414,7 @@ def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: st
 
 
 def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", min_count: int = MIN_COUNT, depth: int = DEPTH,
-                 covered: int = 100, top: int | None = TOP, budget: int = BUDGET, dictionary: int = WORDS, cells_of_pairs: int = CELLS) -> DataFrame:
+                 covered: int = 100, top: int | None = TOP, budget: int = BUDGET, dictionary: int = WORDS, cell_count: int = CELLS) -> DataFrame:
     """Per lang the best ``top`` phrases of 2 to ``depth`` words (all if None): lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends and into words at spaces and tabs; null texts are empty, a null lang is ``und``. A phrase's score is
@@ -420,7 +422,7 @@ def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str =
     occurrences, then the smaller phrase by UTF-8 bytes. Repeated rows count as often as they occur; ids and other columns aren't read; an empty
     table gives no rows. Counts are exact, and so are scores, whose products are decimals of 38 digits.
     """
-    phrases, totals = frequent_phrases(docs, lang_column, text_column, min_count, depth, budget, dictionary, cells_of_pairs)
+    phrases, totals = frequent_phrases(docs, lang_column, text_column, min_count, depth, budget, dictionary, cell_count)
     part = phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     several = phrases.where("size > 1")
     cuts = several.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
