@@ -11,8 +11,10 @@ the text as well, whatever the word (an ordinary word must then stand for one wo
 a name, so a change of case alters nothing. Windows with fewer than ``literals`` literal words would match by their slots alone; ``blind`` joins them
 on the words and numbers themselves, so every item has a window to search, and the other forms leave them out. The form in which most of the item is found decides; ``typed`` goes first if the item leaks in it.
 
-The item windows are broadcast up to ``BROADCAST_ROWS`` of them (about 20 MB, counted first); more are joined by a shuffle of the windows.
-Documents' windows are (id, place, hash) rows; the words of a document are only read again for matches that have slots.
+Documents' windows are (row key, place, hash) rows. A bitmap of the item windows' hashes, of one size for any benchmark, goes to every task and leaves
+of them few but the matches, which are then joined with the item windows; so the plan is the same at all sizes. The words of a document are only read again for matches
+that have slots, and again a bitmap of their keys keeps all other texts where they are. A row's key is made of its id and its text, so rows that
+share an id, and null ids, are kept apart.
 """
 
 from __future__ import annotations
@@ -22,12 +24,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, text_or_empty
+from riskloom.llm.common import hash_filter, materialise, passing, row_key, text_or_empty, without_keys
 
 WIDTH = 8
 LITERALS = 4
 COVERAGE = 0.5
-BROADCAST_ROWS = 500_000
 
 UNITS = ("km cm mm nm mi miles mile m meters metres feet foot ft inches inch yards kg mg g grams pounds lbs lb oz tons t l ml liters "
          "litres gallons s sec seconds min minutes h hours hour days day weeks week months month years year dollars cents euros "
@@ -77,67 +78,75 @@ def item_windows(benchmark: DataFrame, item_column: str, text_column: str, width
             .drop("item", "of"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-          item_column: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS,
-          coverage: float = COVERAGE) -> DataFrame:
-    """A row for each document and item that share a window in the form ``typed`` or leak in another: doc_id, item_id, matched, windows, consistent,
-    coverage, leaked.
-
-    matched: the item's windows found in consistent alignments; consistent: false if any alignment isn't. Null texts are empty and match nothing;
-    items repeated with one id count once per text; rows of ``docs``
-    repeated with one id count once. Null ids are ids of their own. Empty tables give no rows; other columns aren't read.
-    """
-    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str, width: int, literals: int,
+           coverage: float) -> DataFrame:
+    """``leaks`` with the row key."""
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
     items = materialise(item_windows(benchmark, item_column, item_text, width, literals), "items")
     kinds = ["form", "exact", "width"]  # 4 * width of them at most
-    known = {tuple(r[k] for k in kinds): r["n"] for r in items.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = [tuple(r) for r in items.select(*kinds).distinct().collect()]
+    windows = hash_filter(items, F.col("h"))
 
     def one(form: str, exact: bool, w: int) -> DataFrame:
         word = "w" if exact else _CANON
-        words = narrow.select("doc_id", raw_words("text", form).alias("raw")).select("doc_id", F.expr(f"transform(raw, w -> xxhash64({word}))").alias("words"))
+        words = narrow.select("key", "doc_id", raw_words("text", form).alias("raw")).select("key", "doc_id", F.expr(f"transform(raw, w -> xxhash64({word}))").alias("words"))
         # an inner explode would infer a filter on the words, which is pushed below them and so computes them twice and more
         place = F.posexplode_outer(F.expr(f"CASE WHEN size(words) >= {w} THEN sequence(0, size(words) - {w}) ELSE array() END"))
         h = f"CASE WHEN pos IS NOT NULL THEN xxhash64({', '.join(f'words[pos + {k}]' for k in range(w))}) END AS h"
-        return (words.select("doc_id", "words", place.alias("at", "pos"))
-                .selectExpr("doc_id", "pos", h, f"'{form}' AS form", f"{str(exact).lower()} AS exact", f"{w} AS width"))
+        spread = words.select("key", "doc_id", "words", place.alias("at", "pos")).selectExpr("key", "doc_id", "pos", h)
+        return passing(spread, F.col("h"), windows).selectExpr("*", f"'{form}' AS form", f"{str(exact).lower()} AS exact", f"{w} AS width")
 
     spread = reduce(DataFrame.unionByName, [one(*k) for k in sorted(known) or [(FORMS[0], False, width)]])
-    right = F.broadcast(items) if sum(known.values()) <= BROADCAST_ROWS else items
-    hits = materialise(spread.join(right, [*kinds, "h"])
-                       .select("doc_id", "item_id", "form", "pos", "q", "slots", "values", "windows"), "hits")
+    hits = materialise(spread.join(items, [*kinds, "h"])
+                       .select("key", "doc_id", "item_id", "form", "pos", "q", "slots", "values", "windows"), "hits")
 
     aligned = hits.withColumn("shift", F.col("pos") - F.col("q"))
     # a form is checked where it can leak, unless ``typed`` leaks without slots to check; ``typed`` always is
-    bound = aligned.groupBy("doc_id", "item_id", "form").agg((F.count_distinct("q") / F.max("windows")).alias("bound"), F.max(F.size("slots")).alias("most"))
+    bound = aligned.groupBy("key", "item_id", "form").agg((F.count_distinct("q") / F.max("windows")).alias("bound"), F.max(F.size("slots")).alias("most"))
     sure = f"exists(f, y -> y.form = '{FORMS[0]}' AND y.bound >= {coverage} AND y.most = 0)"
     checked = f"filter(f, x -> x.form = '{FORMS[0]}' OR (x.bound >= {coverage} AND NOT {sure}))"
-    open_pairs = materialise(bound.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("form", "bound", "most")).alias("f"))
-                             .select("doc_id", "item_id", F.explode_outer(F.expr(checked)).alias("x")).select("doc_id", "item_id", "x.form"), "open")
-    same = F.expr("doc_id <=> pd AND item_id <=> pi AND form = pf")
-    aligned = aligned.join(open_pairs.select(F.col("doc_id").alias("pd"), F.col("item_id").alias("pi"), F.col("form").alias("pf")), same, "left_semi")
+    open_pairs = materialise(bound.groupBy("key", "item_id").agg(F.collect_list(F.struct("form", "bound", "most")).alias("f"))
+                             .select("key", "item_id", F.explode_outer(F.expr(checked)).alias("x")).select("key", "item_id", "x.form"), "open")
+    same = F.expr("key = pk AND item_id <=> pi AND form = pf")
+    aligned = aligned.join(open_pairs.select(F.col("key").alias("pk"), F.col("item_id").alias("pi"), F.col("form").alias("pf")), same, "left_semi")
     slotted = aligned.where("size(slots) > 0")
+    needed = slotted.select("key").distinct()
     forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
-    again = (narrow.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode_outer(forms).alias("f"))
-             .select("doc_id", "f.form", "f.raw"))
-    pairs = (slotted.join(again, ["doc_id", "form"])
-             .select("doc_id", "item_id", "form", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))
-             .select("doc_id", "item_id", "form", "shift", F.explode_outer("pair").alias("pair")))
-    bad = (pairs.groupBy("doc_id", "item_id", "form", "shift", "pair.old").agg((F.min("pair.new") != F.max("pair.new")).alias("odd"))
-           .where("odd").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("form").alias("f"), F.col("shift").alias("s"), "odd").distinct())
-    told = aligned.join(bad, F.expr("doc_id <=> d AND item_id <=> i AND form = f AND shift = s"), "left")
-    found = told.groupBy("doc_id", "item_id", "form").agg(
+    few = passing(narrow.select("key", "text"), F.col("key"), hash_filter(needed, F.col("key")))
+    again = (few.join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", F.explode_outer(forms).alias("f"))
+             .select("key", "f.form", "f.raw"))
+    pairs = (slotted.join(again, ["key", "form"])
+             .select("key", "item_id", "form", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))
+             .select("key", "item_id", "form", "shift", F.explode_outer("pair").alias("pair")))
+    bad = (pairs.groupBy("key", "item_id", "form", "shift", "pair.old").agg((F.min("pair.new") != F.max("pair.new")).alias("odd"))
+           .where("odd").select(F.col("key").alias("k"), F.col("item_id").alias("i"), F.col("form").alias("f"), F.col("shift").alias("s"), "odd").distinct())
+    told = aligned.join(bad, F.expr("key = k AND item_id <=> i AND form = f AND shift = s"), "left")
+    found = told.groupBy("key", "doc_id", "item_id", "form").agg(
         F.count_distinct(F.when(F.col("odd").isNull(), F.col("q"))).alias("matched"), F.max("windows").alias("windows"),
         F.max("odd").isNull().alias("consistent"))
     share = F.col("matched") / F.col("windows")
     order = F.struct((F.col("leaked") & (F.col("form") == FORMS[0])).alias("first"), "coverage", "form", "matched", "windows", "consistent", "leaked")
-    best = found.withColumns({"coverage": share, "leaked": share >= coverage}).groupBy("doc_id", "item_id").agg(F.max(order).alias("best"))
-    return best.select("doc_id", "item_id", *[f"best.{c}" for c in ("matched", "windows", "consistent", "coverage", "leaked")])
+    best = found.withColumns({"coverage": share, "leaked": share >= coverage}).groupBy("key", "doc_id", "item_id").agg(F.max(order).alias("best"))
+    return best.select("key", "doc_id", "item_id", *[f"best.{c}" for c in ("matched", "windows", "consistent", "coverage", "leaked")])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+          item_column: str = "item_id", item_text: str = "text", width: int = WIDTH, literals: int = LITERALS,
+          coverage: float = COVERAGE) -> DataFrame:
+    """A row for each document and item that share a window in the form ``typed`` or leak in another: doc_id, item_id, matched, windows, consistent,
+    coverage, leaked.
+
+    matched: the item's windows found in consistent alignments; consistent: false if any alignment isn't. Null texts are empty and match nothing;
+    items repeated with one id count once per text; rows of ``docs`` repeated with one id and text count once, those of one id and
+    different texts each. Null ids are ids like any other. Empty tables give no rows; other columns aren't read.
+    """
+    return _leaks(docs, benchmark, id_column, text_column, item_column, item_text, width, literals, coverage).drop("key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` into which no item leaks, all columns unchanged; rows with a null id stay."""
-    gone = leaks(docs, benchmark, id_column, text_column).where("leaked").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialise(gone, "leaked"), F.col(id_column) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` into which no item leaks, all columns unchanged. Of rows that share an id (or have none) only those go whose own text leaks."""
+    found = _leaks(docs, benchmark, id_column, text_column, "item_id", "text", WIDTH, LITERALS, COVERAGE)
+    return without_keys(docs, row_key(id_column, text_column), materialise(found.where("leaked").select("key").distinct(), "leaked"))
 
 
 _SQL_WORDS = (
