@@ -24,13 +24,14 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.llm.common import materialise, shared_folder
+from riskloom.llm.common import FILTER_ROWS, hash_filter, materialise, passing, shared_folder
 from riskloom.llm.storage import RangeReader, make_folder, new_file
 
 BLOCK = 512
@@ -39,6 +40,8 @@ MIN_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 #: Neighbouring ranges are read at once up to so many bytes.
 READ_BYTES = 4 << 20
+#: Archive bytes that one task reads back: at most so many, and as few as a megabyte where there are tasks enough.
+TASK_BYTES = 128 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,21 +55,26 @@ def url_key(url: Column) -> Column:
     return F.when(host == "", F.regexp_extract(url, r"^([^#]*)", 1)).otherwise(key)
 
 
-def record_id(page_id) -> str:
+def record_id(page_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def make_record(page_id, url: str, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record, not compressed. refers_to: the response's page id for a revisit, else None."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def make_record(page_id: str | None, url: str, payload: bytes, refers_to: str | None, told: tuple[int, bytes]) -> bytes:
+    """One WARC/1.1 record, not compressed. refers_to: the response's page id for a revisit, else None. Ids are texts, quoted as URLs are.
+
+    told: length and SHA-1 of the whole payload, which a revisit names but doesn't hold.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {told[0]}\r\n\r\n".encode()
+    digest = base64.b32encode(told[1]).decode()
+    if refers_to is None and len(payload) != told[0]:
+        raise ValueError(f"the payload of page {page_id} isn't whole")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(page_id) if page_id is not None else f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {DATE}",
             f"WARC-Target-URI: {quote(url, safe=chr(33) + '#$%&()*+,/:;=?@[]~' + chr(39))}", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quote(page_id, safe='')}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {quote(refers_to, safe='')}"]
     body = http + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -83,24 +91,23 @@ def parse_record(raw: bytes) -> dict:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """One archive per task; yields (key, page_id, file, offset, length)."""
+    """One archive per task; yields (key, page_id, file, offset, length). Payloads are taken one by one from Arrow's memory."""
     name, rows, offset = f"{uuid.uuid4().hex}.warc.gz", [], 0
-    id_type = None
     first = next(batches, None)
     if first is None:
         return
     with new_file(folder, name) as out:
         while first is not None:
-            id_type = first.schema.field("page_id").type
-            for r in first.to_pylist():
-                packed = gzip.compress(make_record(r["page_id"], r["url"] or "", (r["html"] or "").encode(), r["refers_to"]), 6, mtime=0)
+            page, url, html, key, refers, size, digest = (first.column(c) for c in ("page_id", "url", "html", "key", "refers_to", "bytes", "digest"))
+            for i in range(first.num_rows):
+                told = (size[i].as_py(), bytes.fromhex(digest[i].as_py()))
+                packed = gzip.compress(make_record(page[i].as_py(), url[i].as_py() or "", (html[i].as_py() or "").encode(), refers[i].as_py(), told), 6, mtime=0)
                 out.write(packed)
-                rows.append((r["key"], r["page_id"], name, offset, len(packed)))
+                rows.append((key[i].as_py(), page[i].as_py(), name, offset, len(packed)))
                 offset += len(packed)
             first = next(batches, None)
     if rows:
-        key, page, file, at, size = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(page, id_type), pa.array(file, pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int64())],
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
                                          ["key", "page_id", "file", "offset", "length"])
 
 
@@ -155,14 +162,24 @@ def write_archive(pages: DataFrame, id_column: str = "page_id", url_column: str
     rows = rows.withColumns({"key": url_key(F.col("url")), "digest": F.sha1("html"), "bytes": F.octet_length("html"),
                              "run": F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(RUNS)).cast("int")})
     group = ["digest", "bytes"]
-    leaves = materialise(rows.groupBy("run", *group).agg(F.max("page_id").alias("page_id")), "payloads")
-    best = leaves.groupBy(*group).agg(F.max("page_id").alias("keep"))
-    told = leaves.select("run", *group).join(best, group)
-    marked = rows.join(told, ["run", *group]).withColumn(
+    leaves = materialise(rows.groupBy("run", *group).agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")), "payloads")
+    best = materialise(leaves.groupBy(*group).agg(F.max("page_id").alias("keep"), F.sum("n").alias("n")), "best")
+    # only payloads that may occur twice are joined, and of these only what may be the response takes its payload along
+    twice = hash_filter(best.where("n > 1"), F.col("digest"))
+    joined = passing(best, F.col("digest"), twice)
+    whole = materialise(hash_filter(joined, F.struct(*group, F.col("keep").alias("page_id"))), "responses").withColumnsRenamed({"slot": "at", "word": "bits"})
+    told = leaves.join(joined.select(*group, "keep"), group).select("run", *group, "keep")
+    once = passing(rows, F.col("digest"), twice, passes=False).withColumn("refers_to", F.lit(None).cast(pages.schema[id_column].dataType))
+    h = F.xxhash64(F.struct(*group, "page_id"))
+    kept = (F.getbit("bits", F.shiftrightunsigned(h, 58).cast("int")) == 1) | (F.col("bytes") < min_revisit_bytes)
+    often = passing(rows, F.col("digest"), twice).join(F.broadcast(whole), F.pmod(h, F.lit(FILTER_ROWS)) == F.col("at"), "left")
+    often = often.withColumn("html", F.when(kept, F.col("html"))).drop("at", "bits").join(told, ["run", *group]).withColumn(
         "refers_to", F.when((F.col("bytes") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
-    kind = pages.schema[id_column].dataType.simpleString()
-    entries = materialise(marked.select("page_id", "url", "html", "key", "refers_to")
-                          .mapInArrow(partial(_write, folder=folder), f"key string, page_id {kind}, file string, offset long, length long"), "entries")
+    marked = once.unionByName(often.select(*once.columns))
+    kind = pages.schema[id_column].dataType
+    marked = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "key", F.col("refers_to").cast("string").alias("refers_to"), "bytes", "digest")
+    entries = materialise(marked.mapInArrow(partial(_write, folder=folder), "key string, page_id string, file string, offset long, length long")
+                          .withColumn("page_id", F.col("page_id").cast(kind)), "entries")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), entries.count() // (4 * block) + 1))
     ranged = entries.repartitionByRange(parts, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     upper = materialise(ranged.mapInArrow(partial(_write_index, folder=folder, block=block), "file string, first_key string, last_key string"), "index")
@@ -227,47 +244,53 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(partial(_search, folder=archive.folder), "key string, file string, offset long, length long")
 
 
-def _read(batches: Iterator[pa.RecordBatch], folder: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """One range of about ``READ_BYTES`` at a time; what its records say goes on, their payloads only if asked for."""
     read = RangeReader(folder)
-    number = (lambda x: None if x is None else int(x)) if pa.types.is_integer(id_type) else (lambda x: x)
+    ids = lambda x: None if x is None else unquote(x)
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * payloads)
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", *["payload"] * payloads)
     for batch in batches:
         rows = batch.to_pylist()
-        out, i = [], 0
+        i = 0
         while i < len(rows):
             j, end = i + 1, rows[i]["offset"] + rows[i]["length"]
             while j < len(rows) and rows[j]["file"] == rows[i]["file"] and rows[j]["offset"] == end and end - rows[i]["offset"] < READ_BYTES:
                 end += rows[j]["length"]
                 j += 1
             raw, low = read(rows[i]["file"], rows[i]["offset"], end - rows[i]["offset"]), rows[i]["offset"]
+            out = []
             for r in rows[i:j]:
                 record = parse_record(gzip.decompress(raw[r["offset"] - low : r["offset"] - low + r["length"]]))
                 told = record["warc-payload-digest"].removeprefix("sha1:")
                 if record["warc-type"] == "response" and told != base64.b32encode(hashlib.sha1(record["payload"]).digest()).decode():
                     raise ValueError(f"payload of {record['warc-record-id']} doesn't match its digest")
-                out.append((number(record.get("x-page-id")), int(record["http"]["content-length"]), told, record["warc-type"],
-                            number(record.get("x-refers-to-page")), record["warc-target-uri"], record["payload"] if record["warc-type"] == "response" else None))
+                body = [record["payload"] if record["warc-type"] == "response" else None] * payloads
+                out.append((ids(record.get("x-page-id")), int(record["http"]["content-length"]), told, record["warc-type"],
+                            ids(record.get("x-refers-to-page")), record["warc-target-uri"], *body))
             i = j
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        types = (id_type, pa.int64(), pa.string(), pa.string(), id_type, pa.string(), pa.binary())
-        names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload")
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
     read.close()
 
 
-def read_records(archive: Archive, captures: DataFrame, id_type: pa.DataType = pa.int64(), payloads: bool = False) -> DataFrame:
-    """The records at (file, offset, length), read in order of place: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri."""
-    kind = "long" if pa.types.is_integer(id_type) else "string"
-    dealt = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    schema = f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string, payload binary"
-    found = dealt.mapInArrow(partial(_read, folder=archive.folder, id_type=id_type), schema)
-    return found if payloads else found.drop("payload")
+def read_records(archive: Archive, captures: DataFrame, id_type: T.DataType | str = "long", payloads: bool = False,
+                 task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records at (file, offset, length), read in order of place: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, and
+    the payload if asked for. Captures are dealt to tasks of about ``task_bytes`` of archive each."""
+    total = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(total // task_bytes + 1, min(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total >> 20) + 1))
+    dealt = captures.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, target_uri string" + ", payload binary" * payloads
+    found = dealt.mapInArrow(partial(_read, folder=archive.folder, payloads=payloads), schema)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages, look every url key up in the index and read the captures back."""
+    """Write all pages, look every url key up in the index and read the captures back; page ids may be of any type that casts to text and back."""
     archive, entries = write_archive(pages)
     captures = materialise(lookup(archive, entries), "captures")
-    return read_records(archive, captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_records(archive, captures, pages.schema["page_id"].dataType)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
