@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, text_or_empty
+from riskloom.llm.common import fresh, hash_filter, materialise, passing, text_or_empty, without_keys
 
 WHITE = " \t\n\x0b\f\r"
 KEY = ["digest", "bytes", "check"]
@@ -65,20 +65,23 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; of rows repeated with one id and text one stays."""
-    key = F.sha2(F.translate(text_or_empty(text_column), WHITE, ""), 256)
-    found = materialise(exact_dedup(docs, id_column, text_column), "exact")
-    kept = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-
-    def those(which: str) -> DataFrame:
-        ids = kept.where(which).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
-        return docs.withColumn("__key", key).join(ids, same, "left_semi")
-
-    single = those("copies = 1").drop("__key")
-    if kept.where("copies > 1").isEmpty():
-        return single
-    return single.unionByName(those("copies > 1").dropDuplicates([id_column, "__key"]).drop("__key"))
+    """The rows of ``docs`` that stay, all columns unchanged; of rows repeated with one id and text (white space apart) one stays.
+
+    The pairs of id and digest that go, and those that occur twice, are joined only with the rows that may be among them; other rows never move.
+    """
+    digest = F.sha2(F.translate(text_or_empty(text_column), WHITE, ""), 256)
+    id_text = F.coalesce(F.concat(F.lit("+"), F.col(id_column).cast("string")), F.lit("-"))
+    pair = F.concat_ws("\x00", id_text, digest)
+    found = materialise(exact_dedup(docs, id_column, text_column).select(
+        F.concat_ws("\x00", F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")), "text_sha256").alias("key"), "kept"), "exact")
+    gone = materialise(found.where("NOT kept").select("key").distinct(), "gone")
+    twice = materialise(found.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "twice")
+    kept = without_keys(docs, pair, gone)
+    if twice.isEmpty():
+        return kept
+    name = fresh(docs, "key")
+    again = passing(kept, pair, hash_filter(twice, F.col("key"))).withColumn(name, pair).join(twice.select(F.col("key").alias(name)), name, "left_semi")
+    return without_keys(kept, pair, twice).unionByName(again.dropDuplicates([name]).drop(name))
 
 
 SQL = """

@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.llm.common import materialise, text_or_empty
+from riskloom.llm.common import materialise, row_key, text_or_empty, without_keys
 from riskloom.llm.components import components
 from riskloom.llm.textbytes import mix, string_buffers
 
@@ -55,9 +56,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = string_buffers(batch.column(1))
+        data, offsets = string_buffers(batch.column("text"))
         found = np.fromiter((fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.uint64, len(offsets) - 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(found.view(np.int64))], [*rest, "fp"])
 
 
 def references() -> np.ndarray:
@@ -178,16 +180,10 @@ def link_edges(distinct: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
     return buckets.mapInArrow(partial(_links, distance=distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
-
-    A null text is empty; texts without words have fingerprint zero and are linked like others. Rows repeated with one id share their
-    component; a null id never is a component's id unless all its ids are null. An empty table gives no rows; other columns aren't read.
-    """
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).mapInArrow(
-        partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
+def _classes(narrow: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``narrow`` (doc_id, text, others) with fp and component_id instead of the text."""
+    schema = T.StructType([*[f for f in narrow.schema.fields if f.name != "text"], T.StructField("fp", T.LongType())])
+    rows = narrow.mapInArrow(partial(_fingerprints, shingle=shingle), schema)
     rows = materialise(rows.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(RUNS)).cast("int")), "fingerprints")
     leaves = rows.groupBy("fp", "run").agg(F.min("doc_id").alias("least"))
     distinct = materialise(leaves.groupBy("fp").agg(F.min("least").alias("least")), "distinct")
@@ -196,13 +192,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = materialise(member, "members")
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     told = leaves.select("fp", "run").join(member.join(least, "component").select("fp", "component_id"), "fp")
-    return (rows.join(told, ["fp", "run"])
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return rows.join(told, ["fp", "run"])
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
+                    distance: int = DISTANCE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
+
+    A null text is empty; texts without words have fingerprint zero and are linked like others. Rows repeated with one id have the component of
+    their own text; a null id never is a component's id unless all its ids are null. An empty table gives no rows; other columns aren't read.
+    """
+    narrow = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
+    return _classes(narrow, shingle, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
              distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns unchanged; rows with a null id stay."""
-    found = near_duplicates(docs, id_column, text_column, shingle, distance)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near")
-    return docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of their text's component, all columns unchanged; rows with a null id stay.
+
+    Of rows repeated with one id only those go whose own text is linked to a smaller id.
+    """
+    narrow = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"), row_key(id_column, text_column).alias("key"))
+    gone = materialise(_classes(narrow, shingle, distance).where("doc_id <> component_id").select("key").distinct(), "near")
+    return without_keys(docs, row_key(id_column, text_column), gone)
