@@ -11,6 +11,7 @@ operator over the whole tables and ends in ``report``. Shared inputs:
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ from riskloom.plans.features import build_features, fixture_tables
 from riskloom.plans.registry import register
 from riskloom.session import scratch_path, written
 from riskloom.sources import fixtures as FX
+from riskloom.sources.settings import read_settings
+from riskloom.sources.sinks import write_table
 from riskloom.sources.tables import load_capped, load_projected, load_table
 
 q = O.q
@@ -194,6 +197,23 @@ def q_load_capped(spark, d):
     return report(load_capped(spark, d, "customer", 100, ["c_custkey"]))
 
 
+@register("load_table_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def q_load_table_csv(spark, d):
+    """S4, then S1: a table written as CSV with a header and read with its schema."""
+    base, t = scratch_path(spark, f"csv-{uuid.uuid4().hex}"), load_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    write_table(t, f"{base}/customer.csv", "csv")
+    return load_table(spark, base, "customer", "csv", t.schema)
+
+
+@register("write_table", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def q_write_table(spark, d):
+    """Parquet in a folder for each order status, read back."""
+    path = scratch_path(spark, f"orders-{uuid.uuid4().hex}")
+    t = load_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    write_table(t, path, partition_by=["o_orderstatus"])
+    return spark.read.schema(t.schema).parquet(path)
+
+
 @register("load_projected", "SELECT c_custkey, c_name FROM customer")
 def q_load_projected(spark, d):
     return load_projected(spark, d, "customer", ["c_custkey", "c_name"])
@@ -341,6 +361,16 @@ def q_select_features(spark, d):
     return report(P.select_features(features(spark, d), SELECTED, "SK_ID_CURR"))
 
 
+@register("select_features_file", sql(ALL_FX, rep(
+    f"SELECT {', '.join(q(c) for c in SELECTED)}, SK_ID_CURR FROM features",
+    [c for c in SELECTED if c != "POS_COUNT"], ["SK_ID_CURR", "POS_COUNT"]), FEAT_CTE))
+def q_select_features_file(spark, d):
+    """P9 with the feature list of a JSON file."""
+    path = scratch_path(spark, f"settings-{uuid.uuid4().hex}")
+    spark.createDataFrame([(json.dumps({"most_important_features": SELECTED}),)], "value string").coalesce(1).write.text(path)
+    return report(P.select_features(features(spark, d), read_settings(spark, path).features, "SK_ID_CURR"))
+
+
 APP_OUT = [c for c, _ in APP_COLS]
 
 
