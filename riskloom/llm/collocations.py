@@ -2,8 +2,8 @@
 
 The text's suffixes (the next few words from each word on, inside a piece) are parted by variable-length word prefixes: a prefix is a single word, or longer
 where the word begins more suffixes than the memory budget; such a prefix is extended by another word, and so on. Prefixes are
-gathered into groups of about a budget's suffixes each. A group's suffixes go to one place, sorted, where its subtree is built without any other group:
-neighbours' common beginnings give the tree's nodes down to the depth, and a node's count is the total of its leaves.
+gathered into groups of about a budget's suffixes each. A group's suffixes go to one place as counted runs, where its subtree is built in memory without any other group:
+the common beginnings of sorted neighbours give the tree's nodes down to the depth, and a node's count is the total of its leaves.
 
 Suffixes are read only as far as they can be frequent: two fixed tables of cells count the pairs and the triples of neighbouring words by hash, and a suffix ends before
 a pair or triple whose cell holds too few. A cell never holds less than its pairs' counts, so no frequent phrase is cut; the tables' size doesn't depend on the corpus.
@@ -273,19 +273,35 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Ite
     yield from _sent(counts)
 
 
+def pack_run(keys: list[bytes], counts: list[int]) -> bytes:
+    """A run of suffixes and their counts: number, lengths, counts, bytes."""
+    sizes = np.fromiter(map(len, keys), np.uint32, len(keys))
+    return zstandard.ZstdCompressor().compress(b"".join([np.uint64(len(keys)).tobytes(), sizes.tobytes(), np.array(counts, np.uint64).tobytes(), *keys]))
+
+
+def unpack_run(packed: bytes) -> tuple[list[bytes], list[int]]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 8), dtype=np.int64) + 8 + 12 * n
+    starts = np.append(8 + 12 * n, ends[:-1]) if n else ends
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.frombuffer(raw[8 + 4 * n : 8 + 12 * n], np.uint64).tolist()
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
-    """(group, key, n): the suffixes of two words or more, counted; the key is lang, 255, codes."""
+    """(group, run): the suffixes of two words or more, counted, a packed run for each group and lot. A key is lang, 255, codes."""
     words = shared.value
     counts: dict[bytes, Counter] = defaultdict(Counter)
 
     def grouped() -> Iterator[pa.RecordBatch]:
+        keys, totals = defaultdict(list), defaultdict(list)
         for lang, found in counts.items():
-            keys = list(found)
-            for low in range(0, len(keys), 1 << 16):
-                part = keys[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([words.place(k) for k in part], pa.int32()), pa.array([lang + b"\xff" + k for k in part], pa.binary()), pa.array([found[k] for k in part], pa.int64())], ["group", "key", "n"])
+            for k, n in found.items():
+                g = words.place(k)
+                keys[g].append(lang + b"\xff" + k)
+                totals[g].append(n)
         counts.clear()
+        for g, own in keys.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([pack_run(own, totals[g])], pa.binary())], ["group", "run"])
 
     for lang, data, starts in _rows_by_lang(batches):
         stream, offsets, reach, _ = _coded(data, starts, words, depth)
@@ -328,34 +344,51 @@ def _common(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def subtree(leaves: Counter, min_count: int, depth: int, heavy: set[bytes]) -> tuple[list[bytes], list[int]]:
+    """Frequent nodes of two words or more of a group's subtree, and their leaf totals; nodes that lie in several groups (heavy prefixes) are left out."""
+    order = sorted(leaves)
+    n = np.array([leaves[k] for k in order], np.int64)
+    offsets, whole = np.append(0, np.cumsum([len(k) for k in order])).astype(np.int64), b"".join(order)
+    data = np.frombuffer(whole, np.uint8)
+    first, ends = _ends(data, offsets, depth)
+    common = _common(data, offsets)
+    keys, totals = [], []
+    for k in range(1, depth):
+        rows = np.flatnonzero(ends[k] >= 0)
+        if not len(rows):
+            break
+        new = common[rows] < ends[k, rows] - offsets[rows]
+        new[0] = True
+        heads = np.flatnonzero(new)
+        total = np.add.reduceat(n[rows], heads)
+        taken = np.flatnonzero(total >= min_count)
+        at = rows[heads[taken]]
+        for a, f, b, t in zip(offsets[at].tolist(), first[at].tolist(), ends[k, at].tolist(), total[taken].tolist(), strict=True):
+            if whole[f:b] not in heavy:  # counted before, whole
+                keys.append(whole[a:b])
+                totals.append(t)
+    return keys, totals
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch], min_count: int, depth: int, heavy: set[bytes]) -> Iterator[pa.RecordBatch]:
-    """Nodes of the subtrees of sorted suffixes, depth by depth: (key, n). Nodes that a batch cuts come in parts, to be added."""
+    """(key, n) of the subtrees' frequent nodes, group after group; a group's runs come one after another and are merged as they come."""
+    now, leaves = None, Counter()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if leaves:
+            keys, totals = subtree(leaves, min_count, depth, heavy)
+            leaves.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(totals, pa.int64())], ["key", "n"])
+
     for batch in batches:
-        if not len(batch):
-            continue
-        data, offsets = string_buffers(batch.column(1))
-        n = batch.column(2).to_numpy()
-        first, ends = _ends(data, offsets, depth)
-        common = _common(data, offsets)
-        whole = data.tobytes()
-        keys, totals = [], []
-        for k in range(1, depth):
-            rows = np.flatnonzero(ends[k] >= 0)
-            if not len(rows):
-                break
-            new = common[rows] < ends[k, rows] - offsets[rows]
-            new[0] = True
-            heads = np.flatnonzero(new)
-            total = np.add.reduceat(n[rows], heads)
-            edge = np.zeros(len(heads), bool)
-            edge[[0, -1]] = True
-            taken = np.flatnonzero((total >= min_count) | edge)
-            at = rows[heads[taken]]
-            for a, f, b, t in zip(offsets[at].tolist(), first[at].tolist(), ends[k, at].tolist(), total[taken].tolist(), strict=True):
-                if whole[f:b] not in heavy:  # counted before, whole
-                    keys.append(whole[a:b])
-                    totals.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(totals, pa.int64())], ["key", "n"])
+        for group, run in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if group != now:
+                yield from done()
+                now = group
+            keys, counts = unpack_run(run.as_py())
+            for k, n in zip(keys, counts, strict=True):
+                leaves[k] += n
+    yield from done()
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -404,10 +437,10 @@ def frequent_phrases(docs: DataFrame, lang_column: str = "lang", text_column: st
         grown = grown.unionByName(told.select(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\xff"), "key").alias("key"), "n"))
 
     shared = spark.sparkContext.broadcast(words)
-    suffixes = texts.mapInArrow(partial(_suffixes, shared=shared, depth=depth), "group int, key binary, n long")
-    nodes = (suffixes.repartition("group").sortWithinPartitions("group", "key")
+    suffixes = texts.mapInArrow(partial(_suffixes, shared=shared, depth=depth), "group int, run binary")
+    nodes = (suffixes.repartition("group").sortWithinPartitions("group")
              .mapInArrow(partial(_subtrees, min_count=min_count, depth=depth, heavy={h for h in words.heavy}), "key binary, n long"))
-    nodes = materialise_lean(nodes, "subtrees").groupBy("key").agg(F.sum("n").alias("n")).unionByName(grown).where(F.col("n") >= min_count)
+    nodes = materialise_lean(nodes, "subtrees").unionByName(grown.where(F.col("n") >= min_count))
     phrases = nodes.mapInArrow(partial(_decoded, shared=shared), "lang string, phrase string, size int, a long")
     single = frequent.select("lang", F.decode("key", "UTF-8").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("a"))
     return materialise_lean(phrases.unionByName(single), "phrases"), totals
