@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.textbytes import row_groups, string_buffers
+from riskloom.llm.textbytes import SCORED_BYTES, row_groups, string_buffers
 from riskloom.session import scratch_path
 
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -75,20 +75,22 @@ def hash_filter(keys: DataFrame, key: Column) -> DataFrame:
 
 def passing(df: DataFrame, key: Column, bits: DataFrame, passes: bool = True) -> DataFrame:
     """The rows whose key's hash is in the bitmap (all rows of its keys and few others), or, not ``passes``, those whose hash isn't; no shuffle of ``df``."""
-    slot, word = fresh(df, "slot"), fresh(df, "word")
+    slot, own, word = fresh(df, "slot"), fresh(df, "slot_of"), fresh(df, "word")
     h = F.xxhash64(key)
-    right = F.broadcast(bits.select(F.col("slot").alias(slot + "_of"), F.col("word").alias(word)))
-    found = df.withColumn(slot, F.pmod(h, F.lit(FILTER_ROWS))).join(right, F.col(slot) == F.col(slot + "_of"), "inner" if passes else "left")
+    right = F.broadcast(bits.select(F.col("slot").alias(own), F.col("word").alias(word)))
+    found = df.withColumn(slot, F.pmod(h, F.lit(FILTER_ROWS))).join(right, F.col(slot) == F.col(own), "inner" if passes else "left")
     hit = F.getbit(F.col(word), F.shiftrightunsigned(h, 58).cast("int")) == 1
     return found.where(hit if passes else ~F.coalesce(hit, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def without_keys(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key isn't in ``gone`` (column key), all columns unchanged. Only rows that may be gone are joined; the others never move."""
-    name = fresh(docs, "key")
+    name, mark = fresh(docs, "key"), fresh(docs, "mark")
     bits = hash_filter(gone, F.col("key"))
     maybe = passing(docs, key, bits).withColumn(name, key)
-    kept = maybe.join(gone.select(F.col("key").alias(name)).distinct(), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # an outer join, as a semi or anti join would be moved below the bitmap's, and so meet all rows
+    right = gone.select(F.col("key").alias(name)).distinct().withColumn(mark, F.lit(True))
+    kept = maybe.join(right, name, "left").where(F.col(mark).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
     return passing(docs, key, bits, passes=False).unionByName(kept)
 
 
@@ -132,7 +134,7 @@ def plain_sample(docs: DataFrame, held_out: Column, bound: int, id_column: str =
 def _feature_lists(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
-        for low, high in row_groups(offsets):
+        for low, high in row_groups(offsets, SCORED_BYTES):
             rows, found = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             cuts = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.astype(np.int32)))

@@ -113,7 +113,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: s
     needed = slotted.select("key").distinct()
     forms = F.array(*[F.struct(F.lit(f).alias("form"), raw_words("text", f).alias("raw")) for f in FORMS])
     few = passing(narrow.select("key", "text"), F.col("key"), hash_filter(needed, F.col("key")))
-    again = (few.join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", F.explode_outer(forms).alias("f"))
+    again = (few.join(needed, "key").dropDuplicates(["key"]).select("key", F.explode_outer(forms).alias("f"))
              .select("key", "f.form", "f.raw"))
     pairs = (slotted.join(again, ["key", "form"])
              .select("key", "item_id", "form", "shift", F.expr("transform(slots, (k, i) -> struct(values[i] AS old, raw[pos + k] AS new))").alias("pair"))

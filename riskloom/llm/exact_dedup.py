@@ -80,7 +80,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     if twice.isEmpty():
         return kept
     name = fresh(docs, "key")
-    again = passing(kept, pair, hash_filter(twice, F.col("key"))).withColumn(name, pair).join(twice.select(F.col("key").alias(name)), name, "left_semi")
+    again = passing(kept, pair, hash_filter(twice, F.col("key"))).withColumn(name, pair).join(twice.select(F.col("key").alias(name)), name)
     return without_keys(kept, pair, twice).unionByName(again.dropDuplicates([name]).drop(name))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import fold, gather, labelled_sample, text_or_empty
-from riskloom.llm.textbytes import RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
+from riskloom.llm.textbytes import SCORED_BYTES, RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
 
 SAMPLE = 8000
 BITS = 18
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 def _scores(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
     for column in texts:
         data, offsets = string_buffers(column)
-        parts = [model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_groups(offsets)]
+        parts = [model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_groups(offsets, SCORED_BYTES)]
         yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
 

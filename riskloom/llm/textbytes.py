@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Texts are taken in groups of about so many bytes, so that memory doesn't depend on the Arrow batch.
 GROUP_BYTES = 1 << 20
+#: The same where a byte makes some hundred bytes of features.
+SCORED_BYTES = 1 << 18
 
 BASE = 0x9E3779B97F4A7C15 | 1
 

@@ -3,11 +3,13 @@
 Many voters look at a text: the hand-written lexicon, ``LEXICONS`` lexicons of words and word beginnings that labelled rows show to be toxic
 (dealt by hash, so each covers all languages), and patterns of shouting, address and repetition. A generative label model estimates from the
 votes on all documents how often each voter fires in either class and which voters are correlated; it needs no labels but the
-share of class 1. The rates are refined by expectation-maximisation on the sample's votes. A logistic model on hashed words and word beginnings is then trained on the posterior labels of a sample, so
+share of class 1. The texts are counted by what votes they get (a vote pattern), by Spark over all documents; moments of the counted patterns give
+the first rates and the correlated pairs, and expectation-maximisation on the same counts refines the rates of all voters. A logistic model on hashed words, word
+beginnings and patterns is then trained on the posterior labels of a sample, so
 that it also scores texts on which no voter fires.
 
-Counts of votes and of pairs of votes are summed over all documents (voters x voters numbers per task). The sample is at most ``SAMPLE``
-labelled rows by hash of the id; held-out rows are in neither the lexicons nor the sample.
+Vote patterns are at most 2 ** voters numbers (some thousands occur). The sample is at most ``SAMPLE`` labelled rows and ``PLAIN`` rows of all documents, by hash of the
+id; held-out rows are in neither the lexicons nor the sample. Without labels the hand-written lexicon and the patterns vote.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold, gather, labelled_sample, text_or_empty
-from riskloom.llm.textbytes import LOWER, RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
+from riskloom.llm.common import fold, gather, labelled_sample, plain_sample, text_or_empty
+from riskloom.llm.textbytes import LOWER, SCORED_BYTES, RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
 
 SAMPLE = 8000
+#: Rows of all documents in the sample, besides the labelled ones.
+PLAIN = SAMPLE // 2
 BITS = 21
 PARTS, HELD_OUT = 5, 0
 LEXICONS = 16
@@ -46,7 +50,7 @@ def _word_ids(words: list[str]) -> np.ndarray:
     return bucket(RangeHash(data)(offsets[:-1], offsets[1:]) >> np.uint64(8), 1, BITS)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs: lower-case words and their first 4, 5 and 6 bytes."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if not len(data):
@@ -74,6 +78,18 @@ def pattern_votes(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, found
                      size < 200, size > 5000, distinct < 0.05], axis=1)
 
 
+#: The feature that stands for each pattern.
+PATTERN_IDS = bucket(np.arange(PATTERNS), 20, BITS)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs by row: words, word beginnings and patterns."""
+    rows, found = word_features(data, offsets)
+    own, which = np.nonzero(pattern_votes(data, offsets, rows, found))
+    rows, found = np.concatenate([rows, own]), np.concatenate([found, PATTERN_IDS[which]])
+    return unique_pairs(rows, found, BITS)
+
+
 @dataclass
 class Voters:
     """The voter that a feature fires (-1: none), and how many lexicons there are."""
@@ -81,13 +97,12 @@ class Voters:
     of_feature: np.ndarray
     lexicons: int
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows, found = features(data, offsets)
-        n = len(offsets) - 1
-        votes = np.zeros((n, self.lexicons), bool)
+    def __call__(self, rows: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+        """Votes (texts x voters) of the features of n texts."""
+        votes = np.zeros((n, self.lexicons + PATTERNS), bool)
         who = self.of_feature[found]
         votes[rows[who >= 0], who[who >= 0]] = True
-        return np.concatenate([votes, pattern_votes(data, offsets, rows, found)], axis=1)
+        return votes
 
 
 def induce(rows: np.ndarray, found: np.ndarray, y: np.ndarray, lexicons: int = LEXICONS, chance: float = 5e-5) -> Voters:
@@ -102,25 +117,33 @@ def induce(rows: np.ndarray, found: np.ndarray, y: np.ndarray, lexicons: int = L
         share = np.clip(one / np.maximum(total, 1), 1e-9, 1 - 1e-9)
         distance = share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))
         strong = (share > 0.8) & (total * distance > -np.log(chance))
+        strong[PATTERN_IDS] = False
         ids = np.flatnonzero(strong)
         table[ids] = 1 + bucket(ids, 9, BITS) % lexicons
     own = _word_ids(WORDS)
     table[own[table[own] < 0]] = 0
+    table[PATTERN_IDS] = lexicons + 1 + np.arange(PATTERNS)
     return Voters(table, lexicons + 1)
 
 
-def _moments(batches: Iterator[pa.RecordBatch], voters: Voters) -> Iterator[pa.RecordBatch]:
-    """Rows (i, j, n): how many texts both voters fire on; (-1, -1, n): texts."""
-    sums, n = 0, 0
+def _vote_patterns(batches: Iterator[pa.RecordBatch], voters: Voters) -> Iterator[pa.RecordBatch]:
+    """(pattern, n): how many texts get exactly these votes, one bit for each voter."""
+    bits = 1 << np.arange(voters.lexicons + PATTERNS, dtype=np.int64)
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
-        for low, high in row_groups(offsets):
-            votes = voters(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]).astype(np.float64)
-            sums, n = sums + votes.T @ votes, n + high - low
-    if n:
-        i, j = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(j, -1).astype(np.int32)),
-                                          pa.array(np.append(sums[i, j], n).astype(np.int64))], ["i", "j", "n"])
+        seen = [voters(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a).astype(np.int64) @ bits for a, b in row_groups(offsets)]
+        if seen:
+            pattern, n = np.unique(np.concatenate(seen), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+
+def vote_patterns(docs: DataFrame, voters: Voters, text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(patterns x voters, number of texts) over all documents."""
+    told = (docs.select(text_or_empty(text_column).alias("text")).mapInArrow(partial(_vote_patterns, voters=voters), "pattern long, n long")
+            .groupBy("pattern").agg(F.sum("n").alias("n")).toArrow())  # 2 ** voters rows at most
+    order = np.argsort(told["pattern"].to_numpy())
+    pattern, n = told["pattern"].to_numpy()[order], told["n"].to_numpy()[order]
+    return (pattern[:, None] >> np.arange(voters.lexicons + PATTERNS)) & 1 > 0, n.astype(float)
 
 
 @dataclass
@@ -152,10 +175,12 @@ def label_model(pairs: np.ndarray, n: int, prior: float, lexicons: int, correlat
     d = np.sqrt(np.maximum(np.diag(cov), 0))
     resid = np.zeros((m, m))
     apart = ~np.eye(m, dtype=bool)
+    alone = lambda pairs: np.where(pairs, np.abs(cov), 0).max(axis=1) <= 1e-4 * scale
     for _ in range(4):
         for _ in range(rounds):
             # half a step: the full one maps k d to d / k and back
-            d = 0.5 * (d + (np.where(use, cov / scale, 0) @ d) / np.maximum(use @ d**2, 1e-12))
+            moved = 0.5 * (d + (np.where(use, cov / scale, 0) @ d) / np.maximum(use @ d**2, 1e-12))
+            d = np.where(alone(apart) | ~alone(use), moved, d)  # a voter whose every partner is masked keeps what it had
             d = np.clip(d, -np.minimum(1, mean / (1 - prior) + 1e-9), np.minimum(1, mean / prior + 1e-9))
         within = np.maximum(mean * (1 - mean) - scale * d**2, 1e-9)
         resid = (cov - scale * np.outer(d, d)) / np.sqrt(np.outer(within, within))
@@ -170,14 +195,14 @@ def label_model(pairs: np.ndarray, n: int, prior: float, lexicons: int, correlat
     return LabelModel(prior, rate(mean + (1 - prior) * d), rate(mean - prior * d), 1 / np.sqrt(1 + linked.sum(axis=1)))
 
 
-def refine(model: LabelModel, votes: np.ndarray, rounds: int = 10, anchor: float = 2.0) -> LabelModel:
-    """Expectation-maximisation on a sample's votes (no labels) from the moments' solution; ``anchor`` rows speak for that."""
-    start = model
+def refine(model: LabelModel, votes: np.ndarray, n: np.ndarray, rounds: int = 20, anchor: float = 0.05) -> LabelModel:
+    """Expectation-maximisation on counted vote patterns (no labels) from the moments' solution, for which a share ``anchor`` of the texts speaks."""
+    start, held = model, anchor * n.sum() + 2
     for _ in range(rounds):
         post = model.posterior(votes)
-        one, zero = post.sum(), (1 - post).sum()
-        rate1 = (post @ votes + anchor * start.rate1) / (one + anchor)
-        rate0 = ((1 - post) @ votes + anchor * start.rate0) / (zero + anchor)
+        one, zero = n * post, n * (1 - post)
+        rate1 = (one @ votes + held * start.rate1) / (one.sum() + held)
+        rate0 = (zero @ votes + held * start.rate0) / (zero.sum() + held)
         model = LabelModel(start.prior, np.clip(rate1, 1e-4, 1 - 1e-4), np.clip(rate0, 1e-4, 1 - 1e-4), start.weight)
     return model
 
@@ -224,34 +249,24 @@ def logistic(rows: np.ndarray, found: np.ndarray, target: np.ndarray, l2: float
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic",
         sample: int = SAMPLE, lexicons: int = LEXICONS) -> Model:
-    """Lexicons from the labelled sample, label model from the votes on all documents, linear model from posterior labels."""
-    rows = labelled_sample(labels, docs, label, fold(id_column, PARTS) == HELD_OUT, sample, id_column, text_column)
-    row, found, y = gather(rows, features)
+    """Lexicons from the labelled sample, label model from the vote patterns of all documents, linear model from posterior labels."""
+    held_out = fold(id_column, PARTS) == HELD_OUT
+    row, found, y = gather(labelled_sample(labels, docs, label, held_out, sample, id_column, text_column), features)
     voters = induce(row, found, y, lexicons)
-    told = (docs.select(text_or_empty(text_column).alias("text")).mapInArrow(partial(_moments, voters=voters), "i int, j int, n long")
-            .groupBy("i", "j").agg(F.sum("n").alias("n")).collect())  # (voters + 1) ** 2 rows at most
-    m = voters.lexicons + PATTERNS
-    pairs, n = np.zeros((m, m)), 1
-    for i, j, k in told:
-        if i < 0:
-            n = k
-        else:
-            pairs[i, j] = k
+    votes, n = vote_patterns(docs, voters, text_column)
     prior = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
-    model = label_model(pairs, n, prior, voters.lexicons)
-    # the sample's votes follow from its features and, for the patterns, are not needed: a silent pattern voter says next to nothing
-    votes = np.zeros((len(y), voters.lexicons), bool)
-    who = voters.of_feature[found]
-    votes[row[who >= 0], who[who >= 0]] = True
-    k = slice(0, voters.lexicons)
-    lexical = LabelModel(model.prior, model.rate1[k], model.rate0[k], model.weight[k])
-    return logistic(row, found, refine(lexical, votes).posterior(votes) if len(y) else np.zeros(0))
+    pairs = (votes * n[:, None]).T @ votes
+    model = refine(label_model(pairs, max(n.sum(), 1.0), prior, voters.lexicons), votes, n)
+    own, seen, mark = gather(plain_sample(docs, held_out, min(sample, PLAIN), id_column, text_column), features)
+    row, found = np.concatenate([row, own + len(y)]), np.concatenate([found, seen])
+    size = len(y) + len(mark)
+    return logistic(row, found, model.posterior(voters(row, found, size)))
 
 
 def _scores(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
     for column in texts:
         data, offsets = string_buffers(column)
-        parts = [model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_groups(offsets)]
+        parts = [model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_groups(offsets, SCORED_BYTES)]
         yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
 
@@ -268,7 +283,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 if score >= threshold).
 
     A null text is empty; an empty text gets the score of a text without words. Without labels only the hand-written lexicon and the
-    patterns vote, and there is no sample to train on, so every score is 0. Repeated rows are scored each; null ids stay null. Other
+    patterns vote, with a share of class 1 of 0.1. Repeated rows are scored each; null ids stay null. Other
     columns are not read.
     """
     model = fit(docs, labels, id_column, text_column, sample=sample)

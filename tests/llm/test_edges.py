@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
-from riskloom.llm import decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, token_order, toxicity, warc
+from riskloom.llm import common, decontam, exact_dedup, licenses, packing, quality, secret_scan, simhash, token_order, toxicity, warc
 from riskloom.llm.queries import table
+from test_brute_force import QUESTION
 
 LONG = "Erst hende annd orhe, 12 km tion. " * 20_000
 ROWS = [(1, "a b c d"), (2, None), (3, ""), (4, LONG), (5, "a b c d"), (5, "a b c d"), (None, "a b  c d"), (None, None), (6, "A B C D"), (7, " \n ")]
@@ -104,6 +105,48 @@ def test_decontamination(spark, docs, none, bench):
     assert decontam.drop_leaks(leaky, bench).count() == len(ROWS) and decontam.drop_leaks(leaky, bench).columns == docs.columns
 
 
+def test_leaks_of_repeated_and_null_ids(spark):
+    """Slots of one text are never read in another text of the same id; a null id is an id like others."""
+    changed = QUESTION.replace("40 km", "75 km").replace("Maria Smith starts", "Peter Jones starts")  # one value of the item, two here
+    rows = [(1, QUESTION), (1, "short, clean and with none of it"), (1, "x " * 300 + QUESTION.replace(" 5 ", " 6 ")), (None, QUESTION), (None, "clean"), (2, changed), (None, changed)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"__key": F.lit("a"), "__gone": F.lit("b"), "key": F.lit("c"), "slot": F.lit(1), "word": F.lit(2)})
+    bench = spark.createDataFrame([(9, QUESTION)], "item_id int, text string")
+    found = [(r.doc_id, r.leaked, r.consistent) for r in decontam.leaks(docs, bench).collect()]
+    assert sorted(found, key=str) == sorted([(1, True, True), (1, True, True), (None, True, True), (2, False, False), (None, False, False)], key=str)
+    left = decontam.drop_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, "clean"), (0, changed), (1, rows[1][1]), (2, changed)])
+
+
+def test_near_copies_of_repeated_ids(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here " * 3
+    rows = [(1, text), (2, text), (2, "something else altogether, about other matters, in other words, of no concern"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"__gone": F.lit("b"), "KEY": F.lit("c"), "fp": F.lit(0)})
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, text), (1, text), (2, rows[2][1])])
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs.where("doc_id > 0")).collect()) == sorted([(1, text), (2, rows[2][1])])
+
+
+def test_the_labelled_sample_is_bounded_by_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 3, "doc_id int, quality int")
+    texts = [(7, f"text {i}") for i in range(4000)] + [(i, f"other {i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    got = common.labelled_sample(labels, docs, "quality", F.lit(False), 50).collect()
+    assert len(got) == 50 == len({r.h for r in got})
+    every = common.labelled_sample(labels, docs, "quality", F.lit(False), 5000)
+    assert every.count() == 200
+    assert [r.text for r in every.collect()] and sum(r.text.startswith("text") for r in every.collect()) <= 1
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_do_not_depend_on_the_partitions(spark, module):
+    docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
+    one = {r.doc_id: r.score for r in module.classify(docs, labels).collect()}
+    two = {r.doc_id: r.score for r in module.classify(docs.repartition(7), labels.repartition(5)).collect()}
+    assert max(abs(one[i] - two[i]) for i in one) < 1e-9
+
+
 def test_archive(spark):
     rows = [(1, "http://a.b/c", "same"), (2, "http://a.b/c", "same"), (2, "http://a.b/c", "same"), (3, None, None), (4, "http://x.y/\n z", ""), (None, "http://a.b/c", "same"),
             (5, "http://long.example/", "é" * 300_000)]
@@ -113,6 +156,10 @@ def test_archive(spark):
     assert len(got) == len(rows)
     assert told == {1: ("revisit", 2, 4), 2: ("response", None, 4), 3: ("revisit", 4, 0), 4: ("response", None, 0), None: ("revisit", 2, 4), 5: ("response", None, 600_000)}
     archive, _ = warc.write_archive(pages, min_revisit_bytes=1)
+    texts = spark.createDataFrame([("a\r\nb%", "http://u/", "p"), ("ü", "http://u/", "p"), ("c", "http://u/", None)], "page_id string, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(texts).collect()}
+    assert found == {"a\r\nb%": ("revisit", "ü"), "ü": ("response", None), "c": ("response", None)}
+    assert warc.round_trip(texts.selectExpr("cast(length(page_id) as int) AS page_id", "url", "html")).schema["page_id"].dataType.simpleString() == "int"
     assert warc.round_trip(pages.where("page_id = -1")).count() == 0 and archive.upper
 
 
@@ -125,4 +172,28 @@ def test_stages_keep_columns(spark, docs, none, stage):
 
 def test_without_labels_nothing_is_rejected(spark, docs, labels):
     assert quality.keep_good(docs, labels.where("doc_id = -1")).count() == len(ROWS)
-    assert all(r.score < 1e-9 for r in toxicity.classify(docs, labels.where("doc_id = -1")).collect())
+    assert all(0 <= r.score <= 1 for r in toxicity.classify(docs, labels.where("doc_id = -1")).collect())
+
+
+def test_without_labels_the_lexicon_votes(spark):
+    rows = [(i, f"a plain note about gardens number {i} and water" if i % 10 else f"well you stupid moron, what a pathetic loser {i}") for i in range(600)]
+    docs, none = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([], "doc_id int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, none).collect()}
+    assert min(got[i] for i in got if i % 10 == 0) > 0.5 > max(got[i] for i in got if i % 10)
+
+
+def test_patterns_alone_move_the_scores(spark):
+    """The words are the same in both classes; only shouting tells them apart."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(60)]
+    rows = []
+    for i in range(1500):
+        text = " ".join(rng.choices(words, k=40))
+        rows.append((i, i % 4 == 0, (text + "!" * 12).upper() if i % 4 == 0 else text))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y, _ in rows], "doc_id int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    one, zero = [got[i] for i, y, _ in rows if y], [got[i] for i, y, _ in rows if not y]
+    assert sum(one) / len(one) > 0.5 > 0.2 > sum(zero) / len(zero)
