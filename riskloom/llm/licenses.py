@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A rule is a regular expression with a label and a priority; hundreds come from the names below, each in several ways of stating a license (an SPDX
-tag, a notice, a link, a bare mention). A rule runs only on texts that hold its keywords, which are literals of the pattern that every match holds. Overlapping
+tag, a notice, a link, a bare mention), others are sentences of the license texts. A rule runs only on texts that hold its keywords, which are literals of the pattern that every match holds. Overlapping
 detections are resolved in order of priority, then length: one that lies inside an accepted detection is suppressed. Three word phrases are
 always reported (the base), wherever their words stand consecutively.
 """
@@ -9,6 +9,7 @@ always reported (the base), wherever their words stand consecutively.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,13 +82,41 @@ NAMES = [
     ("public-domain", "nlod-1\\.0", r"(?:released|dedicated|placed|in) (?:in)?to the public domain|in the public domain", r"creativecommons\.org/publicdomain/mark"),
     ("proprietary", "licenseref-proprietary", r"all rights reserved", r"copyright\.gov/title17"),
 ]
+#: Sentences of the license texts themselves, and of the notices that go before source files; words may be parted by line ends and comment signs.
+BODIES = [
+    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("boost", "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("isc", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-3", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an"),
+    ("gpl", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("lgpl-2", "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("epl-2", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("zlib", "the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("ofl", "the font software may be sold as part of a larger software package but no copy of one or more of the font"),
+    ("unlicense", "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("proprietary", "unauthorized copying of this file, via any medium is strictly prohibited"),
+]
+BODY_PRIORITY, BODY_GAP = 95, r"[\s*#/]+"
+#: Names before another one in an expression.
+_LIST = r"(?:\(*[a-z0-9.+-]+\)* (?:or|and|with) )*\(*"
 #: An expression names several licenses, of which each is its own span: a rule with a group ``id`` reports that alone.
 #: priority, pattern around the name ({spdx}, {name} or {link})
 WAYS = [
-    (100, r"spdx-license-identifier:\s*(?:\(*[a-z0-9.+-]+\)* (?:or|and|with) )*\(*(?P<id>{spdx})(?![a-z0-9.+-])"),
+    (100, r"spdx-license-identifier:\s*" + _LIST + r"(?P<id>{spdx})(?![a-z0-9.+-])"),
     (90, r"(?:licen[sc]ed|released|distributed|redistributed|provided|available|published|issued|covered|made available)"
                   r" (?:only )?(?:under|by|with)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})"),
-    (85, r"(?:licen[sc]e|licensing) ?[:=] ?[\"']?(?:{spdx}|{name})(?![a-z0-9-])"),
+    (88, r"licen[sc]ed (?:only )?under(?: the)?(?: terms(?: and conditions)? of)?(?: (?:either|both))?(?: the)? "
+         r"(?:[a-z0-9.+-]+(?:,? (?:or|and) (?:the )?|, | ?/ ?))*(?P<id>{spdx})(?![a-z0-9+-]|\.[0-9a-z])"),
+    (85, r"(?:licen[sc]es?|licensing)[\"']? ?[:=] ?[\"'(]*" + _LIST + r"(?P<id>{spdx}|{name})(?![a-z0-9-])"),
     (80, r"(?:https?://)?(?:www\.)?{link}[a-z0-9./-]*"),
     (70, r"(?:under|to|accept|with) the terms(?: and conditions)? of (?:the )?(?:{name})"),
     (40, r"(?<![a-z0-9])(?:{name})(?![a-z0-9])"),
@@ -175,7 +204,10 @@ def rules() -> list[tuple[str, int, str, tuple[frozenset[str], ...], re.Pattern]
             put = lambda g: way.replace("{spdx}", f"{g}{spdx})").replace("{name}", f"{g}{name})").replace("{link}", f"{g}{link})")  # noqa: B023, E731
             # the parser takes groups that capture as units, so the name's literals aren't cut in the middle
             made.append((f"{label}/{priority}", priority, label, must_hold(put("(")), re.compile(put("(?:"))))
-    return made
+    for k, (label, body) in enumerate(BODIES):
+        pattern = BODY_GAP.join(map(re.escape, body.split()))
+        made.append((f"{label}/text-{k}", BODY_PRIORITY, label, must_hold(pattern), re.compile(pattern)))
+    return sorted(made, key=lambda r: -r[1])
 
 
 @lru_cache(maxsize=1)
@@ -186,6 +218,28 @@ def keywords() -> tuple[bytes, ...]:
     return tuple(sorted(x.encode() for x in _least(set().union(*best))))
 
 
+class Cover:
+    """Intervals over known starts; tells in logarithmic time whether one of those added holds another (prefix maxima of ends in a Fenwick tree)."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.most = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.most):
+            self.most[i] = max(self.most[i], end)
+            i += i & -i
+
+    def holds(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        while i:
+            if self.most[i] >= end:
+                return True
+            i -= i & -i
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str, str, int]]:
     """Accepted detections (start, end, label, rule, priority) in a lower-case text, by start."""
     found = []
@@ -200,10 +254,11 @@ def detect(text: str) -> list[tuple[int, int, str, str, int]]:
             part = "id" if "id" in pattern.groupindex else 0
             found += [(*m.span(part), label, rule, priority) for m in pattern.finditer(text)]
     found.sort(key=lambda x: (-x[4], x[0] - x[1], x[0], x[2]))
-    kept: list[tuple[int, int, str, str, int]] = []
+    kept, cover = [], Cover([x[0] for x in found])
     for x in found:
-        if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+        if not cover.holds(x[0], x[1]):
             kept.append(x)
+            cover.add(x[0], x[1])
     return sorted(kept)
 
 

@@ -1,10 +1,12 @@
 """Cases that an operator once cut short."""
 
+import random
 import re
+import time
 
 import pytest
 
-from riskloom.llm import decontam, licenses
+from riskloom.llm import decontam, licenses, secret_scan
 from test_brute_force import QUESTION
 
 ALICE = "Alice has 5 apples. Bob gave Alice 3 apples. Alice ate 2 apples. Alice sold 4 apples to Carl."
@@ -40,6 +42,54 @@ def test_items_of_few_literal_words_are_searched(spark):
     assert all(r.consistent and r.coverage == 1.0 for r in got.values())
 
 
+# ---- secrets ---------------------------------------------------------------------------------------
+
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+PLAIN = "the ship went out at dawn and nobody saw it again until the end of the long year in which we met".split()
+
+
+def random_spans(spark, rows):
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    return {r.doc_id: [s.kind for s in r.spans if s.kind.startswith("random")] for r in found}
+
+
+def prose(rng, n):
+    return " ".join(rng.choices(PLAIN, k=n))
+
+
+def test_a_key_is_found_without_long_words(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 60)) for i in range(400)] + [(1000, f"use {''.join(rng.choices(B64, k=40))} here")]
+    found = random_spans(spark, rows)
+    assert found[1000] == ["random-base64"] and not any(found[i] for i in range(400))
+
+
+def test_order_numbers_are_no_keys_and_hide_none(spark):
+    rng = random.Random(2)
+    number = lambda: "".join(rng.choices("0123456789", k=16))
+    rows = [(i, f"order {number()} {prose(rng, 50)} {number()}") for i in range(1000)]
+    rows += [(5000 + i, f"key {''.join(rng.choices('0123456789abcdef', k=22))} {prose(rng, 20)}") for i in range(20)]
+    found = random_spans(spark, rows)
+    assert not any(found[i] for i in range(1000)) and sum(found[5000 + i] == ["random-hex"] for i in range(20)) >= 15
+
+
+def test_false_discoveries_stay_below_the_rate(spark):
+    rng = random.Random(3)
+    name = lambda: rng.choice("_-/").join(rng.choices(PLAIN, k=8)).title()[:rng.randrange(18, 60)] + str(rng.randrange(10))
+    rows = [(i, f"{prose(rng, 120)} {name()}") for i in range(1500)]
+    rows += [(5000 + i, f"{prose(rng, 120)} {''.join(rng.choices(B64, k=rng.randrange(24, 60)))}") for i in range(150)]
+    found = random_spans(spark, rows)
+    false, true = sum(len(found[i]) for i in range(1500)), sum(bool(found[5000 + i]) for i in range(150))
+    assert true > 120 and false <= 0.05 * (true + false)
+
+
+def test_base_spans_of_a_long_text_are_merged_by_place(spark):
+    text = " ".join(f"token={i:06d}abc{'0123456789abcdef' * 2}" for i in range(20_000))
+    began = time.time()
+    rows = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len([s for s in rows[0].base if s.kind == "assign"]) == 20_000 and time.time() - began < 60
+
+
 # ---- licenses --------------------------------------------------------------------------------------
 
 
@@ -91,3 +141,35 @@ def test_licenses_lost_by_the_gate(text, label):
     ("(MIT OR GPL-3.0-or-later) AND ISC", {"mit", "gpl-3", "isc"}), ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", {"gpl-2", "mit"})])
 def test_each_license_of_an_expression(text, labels):
     assert {d[2] for d in licenses.detect(f"// spdx-license-identifier: {text.lower()}\n// spdx")} == labels
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("license: MIT OR Apache-2.0", {"mit", "apache-2"}), ('license = "MIT OR Apache-2.0"', {"mit", "apache-2"}), ("licensed under MIT or Apache-2.0", {"mit", "apache-2"}),
+    ('"license": "(MIT OR GPL-3.0-or-later)"', {"mit", "gpl-3"}), ("Dual-licensed under either MIT, ISC/zlib or the Apache-2.0.", {"mit", "isc", "zlib", "apache-2"}),
+    ("license: isc", {"isc"}), ("it is licensed under mitigating terms", set())])
+def test_expressions_in_every_way_of_stating_a_license(text, labels):
+    assert {d[2] for d in licenses.detect(text.lower())} == labels
+
+
+def test_license_texts_over_comment_lines():
+    body = "/*\n * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files (the \"Software\")"
+    assert {d[2] for d in licenses.detect(body.lower())} == {"mit"}
+    assert any(k.decode() in body.lower() for k in licenses.keywords())
+
+
+def test_suppression_is_that_of_all_pairs():
+    rng = random.Random(3)
+    cover, kept, spans = None, [], [tuple(sorted(rng.sample(range(60), 2))) for _ in range(400)]
+    cover = licenses.Cover([a for a, _ in spans])
+    for a, b in spans:
+        held = any(x <= a and b <= y for x, y in kept)
+        assert cover.holds(a, b) == held
+        if not held:
+            kept.append((a, b))
+            cover.add(a, b)
+
+
+def test_many_license_lines_in_one_text():
+    text = "spdx-license-identifier: mit or apache-2.0\n" * 100_000
+    began = time.time()
+    assert len(licenses.detect(text)) == 200_000 and time.time() - began < 60
