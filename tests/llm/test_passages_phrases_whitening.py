@@ -131,7 +131,7 @@ def phrase_rows(seed, n=150):
 def test_phrases_are_those_of_brute_force(spark, min_count, budget, dictionary, cells):
     rows = phrase_rows(min_count + budget)
     docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id int, lang string, text string").repartition(4)
-    got = collocations.collocations(docs, min_count=min_count, budget=budget, dictionary=dictionary, cells_of_pairs=cells, top=300)
+    got = collocations.collocations(docs, min_count=min_count, budget=budget, dictionary=dictionary, cell_count=cells, top=300)
     got = {(r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect()}
     assert got == best_phrases(rows, min_count, 300)
 
