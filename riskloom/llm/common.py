@@ -143,7 +143,8 @@ def _feature_lists(batches: Iterator[pa.RecordBatch], features: Features) -> Ite
 
 def gather(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, y) arrays of a bounded sample (h, text, y) on the driver, in the order of h: the same however the rows were dealt."""
-    got = sample.select("text", "y", "h").mapInArrow(partial(_feature_lists, features=features), "found array<int>, y int, h long").toArrow().sort_by("h")
+    got = sample.select("text", "y", "h").mapInArrow(partial(_feature_lists, features=features), "found array<int>, y int, h long")
+    got = got.repartition(1).sortWithinPartitions("h").toArrow()  # a bounded sample; sorted here, the driver would hold it twice
     if not got.num_rows:
         return (np.zeros(0, np.int64),) * 3
     lists = got["found"].combine_chunks()
