@@ -5,7 +5,7 @@ plain letters or digits), and three tests ask whether it could be drawn evenly f
 the alphabet's middle, and the serial correlation of neighbours. Fisher's method combines the p-values into one; a high value looks random.
 Letters of one case (or with a capital) and plain digits are ordinary words and numbers, whatever they look like, and are no candidates.
 
-What ordinary text scores is measured for each encoding and class of length on its own. The controls are resampled from the texts: a text's characters of the
+What ordinary text scores is measured for each encoding and class of length on its own. The controls are resampled from the texts: all of a text's characters of the
 encoding's alphabet, one after another without what stands between them and without candidates, cut to lengths of the class (for hex, the text's digits), and letters' long words for encodings of all letters. A candidate's
 p-value is the share of its class's controls that score as high, and Benjamini and Hochberg's rule at ``RATE`` over the candidates of the class sets the
 threshold, so that many dull candidates of one encoding or length don't shut out another's keys. A class takes the controls of the next shorter one as well, and while these are
@@ -35,8 +35,8 @@ BUCKETS = 200
 #: Upper ends of the length classes; the last class is open.
 LENGTHS = (18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 ENOUGH = 50
-#: Controls cut from a text for each encoding, at most.
-CUTS = 8
+#: Characters of controls tested at once; they take some hundred bytes each.
+TESTED = 1 << 18
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -127,7 +127,8 @@ _CLASS_SIZE = np.append(LENGTHS, 2 * LENGTHS[-1])
 
 
 def resampled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, free: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(encoding, length class, score) of each text's own controls: ``CUTS`` cuts of its characters of each alphabet; text and encoding choose the class.
+    """(encoding, length class, score) of each text's own controls: its characters of each alphabet, all of them, cut to one length; text and encoding
+    choose the class. The last cut ends with the text, and so may share characters with the one before it.
 
     free: the bytes that lie in no candidate, so that no key is its own control.
     """
@@ -140,13 +141,17 @@ def resampled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, free: np.n
         have = count[ends] - count[starts]
         size = _CLASS_SIZE[(pick + ends - starts + 7 * k) % len(_CLASS_SIZE)]
         size = np.where(size > have, _CLASS_SIZE[np.maximum(np.searchsorted(_CLASS_SIZE, have, "right") - 1, 0)], size)  # the longest that the text can fill
-        cuts = np.minimum(have // size, CUTS)
+        size = np.where(have < LEAST, 1, np.minimum(size, have))
+        cuts = np.where(have < LEAST, 0, -(-have // size))
         rows = np.repeat(np.arange(len(starts)), cuts)
         if not len(rows):
             continue
         number = np.arange(len(rows)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        at = count[starts[rows]] + number * size[rows]
-        yield k, length_class(size[rows]), battery(data[inside], at, at + size[rows], np.full(len(rows), k))
+        high = np.minimum(count[starts[rows]] + (number + 1) * size[rows], count[ends[rows]])
+        low = high - size[rows]
+        drawn, total = data[inside], np.cumsum(high - low)
+        for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(total // TESTED)) + 1):
+            yield k, length_class(high[own] - low[own]), battery(drawn, low[own], high[own], np.full(len(own), k))
 
 
 def _runs_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -4,9 +4,10 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
-from riskloom.llm import decontam, licenses, secret_scan
+from riskloom.llm import decontam, licenses, secret_scan, textbytes
 from test_brute_force import QUESTION
 
 ALICE = "Alice has 5 apples. Bob gave Alice 3 apples. Alice ate 2 apples. Alice sold 4 apples to Carl."
@@ -90,6 +91,25 @@ def test_base_spans_of_a_long_text_are_merged_by_place(spark):
     assert len([s for s in rows[0].base if s.kind == "assign"]) == 20_000 and time.time() - began < 60
 
 
+def test_controls_take_whole_texts():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(B64, k=n)) for n in (15, 16, 17, 100, 5003, 300_000)]
+    data, starts = textbytes.apart(np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    ends = starts + [len(t) for t in texts]
+    tested = []
+    battery, secret_scan.battery = secret_scan.battery, lambda d, a, b, code: (tested.append((d, a, b, code)), np.zeros(len(a)))[1]
+    try:
+        told = list(secret_scan.resampled(data, starts, ends, np.ones(len(data), bool)))
+    finally:
+        secret_scan.battery = battery
+    base64 = secret_scan.NAMES.index("base64")
+    drawn = [(d, a, b) for d, a, b, code in tested if code[0] == base64]
+    seen = {i for _, a, b in drawn for x, y in zip(a.tolist(), b.tolist(), strict=True) for i in range(x, y)}
+    assert seen == set(range(15, sum(map(len, texts))))  # every character; 15 make no control
+    assert all((b - a >= secret_scan.LEAST).all() for _, a, b in drawn) and max((b - a).sum() for _, a, b in drawn) < 2 * secret_scan.TESTED
+    assert all((own == secret_scan.length_class(b - a)).all() for (_, own, _), (_, a, b, _) in zip(told, tested, strict=True))
+
+
 # ---- licenses --------------------------------------------------------------------------------------
 
 
