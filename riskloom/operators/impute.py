@@ -232,6 +232,6 @@ def impute_regression(df: DataFrame, columns: Sequence[str] | None = None, round
 
 
 def cleanup(df: DataFrame, min_fill: float, impute: bool = False, strategy: str = "mean") -> DataFrame:
-    """Drop sparse columns, then impute or drop incomplete rows."""
-    kept = drop_sparse_columns(df, min_fill)
+    """Drop sparse columns, then impute or drop incomplete rows. The table is written once, as it is read for the decision and for the result."""
+    kept = drop_sparse_columns(written(df, "cleanup"), min_fill)
     return impute_simple(kept, strategy=strategy) if impute else drop_null_rows(kept)

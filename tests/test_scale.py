@@ -1,9 +1,12 @@
-"""What the wide feature row costs: one shuffle of each table's rows."""
+"""What the wide feature row costs: one shuffle of each table's rows, and no table computed twice."""
 
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from riskloom.operators import blocks as B
+from riskloom.operators.impute import cleanup
 from riskloom.plans.features import build_features, fixture_tables
 from riskloom.sources.fixtures import load_fixture
 
@@ -38,3 +41,18 @@ def test_blocks_with_null_keys_and_one_large_client(spark):
     got = {r["SK_ID_CURR"]: r for r in B.pos_block(pos).collect()}
     assert len(got) == 12 and got[None]["POS_COUNT"] == 2 and got[7]["POS_COUNT"] == 500
     assert got[7]["POS_SK_DPD_MEAN"] == sum(k % 3 for k in range(500)) / 500 and got[None]["POS_NAME_CONTRACT_STATUS_nan_MEAN"] == 0.5
+
+
+def test_cleanup_computes_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    df = spark.range(40).select(F.col("id").alias("SK_ID_CURR"), counted("id").alias("a"), F.when(F.col("id") < 4, 1.0).alias("sparse"),
+                                F.when(F.col("id") != 5, 2.0).alias("b"))
+    got = cleanup(df, 0.6)
+    assert got.columns == ["SK_ID_CURR", "a", "b"] and sorted(r.a for r in got.collect()) == [float(k) for k in range(40) if k != 5]
+    assert seen.value == 40
