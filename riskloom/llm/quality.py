@@ -86,22 +86,23 @@ class Model:
 
 def log_count_ratio(rows: np.ndarray, found: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """log of the smoothed share of each feature among the indicators of class 1 over that of class 0."""
-    one = y[rows] == 1
+    one = (y == 1)[rows]
     p, q = (alpha + np.bincount(found[m], minlength=1 << BITS) for m in (one, ~one))
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
 def dual_coordinate_descent(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int,
-                            cost: np.ndarray, epochs: int = 15, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised hinge loss; ``cost`` bounds each row's dual variable."""
+                            cost: np.ndarray, epochs: int = 15, seed: int = 1, among: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L2-regularised hinge loss over the rows ``among`` (all); ``cost`` bounds each row's dual variable."""
     n = len(y)
+    among = np.arange(n) if among is None else among
     cut = np.searchsorted(rows, np.arange(n + 1))
     w, bias, dual = np.zeros(width), 0.0, np.zeros(n)
     square = np.bincount(rows, values**2, n) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(n):
+        for i in among[rng.permutation(len(among))]:
             c, v = cols[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
             slope = y[i] * (w[c] @ v + bias) - 1
             new = min(max(dual[i] - slope / square[i], 0.0), cost[i])
@@ -140,18 +141,19 @@ def fit_rows(rows: np.ndarray, found: np.ndarray, y: np.ndarray, cost: float = 1
         return Model(weights, 0.0, 1.0, float(np.log(p / (1 - p))), False)
     fit = np.arange(n) % 5 != 4
     k = fit[rows]
-    ratio = log_count_ratio(rows[k], found[k], y)
-    often = np.bincount(found[k], minlength=1 << BITS) >= 3
+    seen = found[k]
+    ratio = log_count_ratio(rows[k], seen, y)
+    often = np.bincount(seen, minlength=1 << BITS) >= 3
+    del k, seen  # the pairs fill the driver's memory: no copy of them is kept longer than it is used
     ratio[~often] = 0
     keep = ratio[found] != 0
     rows, found = rows[keep], found[keep]
+    del keep
     values = ratio[found]
     values /= np.maximum(np.sqrt(np.bincount(rows, values**2, n)), 1e-9)[rows]
-    new = np.cumsum(fit) - 1
-    k = fit[rows]
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
-    w, bias = dual_coordinate_descent(new[rows[k]], found[k], values[k], sign[fit], 1 << BITS, cost * 0.5 / share[fit])
+    w, bias = dual_coordinate_descent(rows, found, values, sign, 1 << BITS, cost * 0.5 / share, among=np.flatnonzero(fit))
     margin = np.bincount(rows, w[found] * values, n) + bias
     slope, shift = logistic_curve(margin[~fit], y[~fit])
     weights[0], weights[1] = w * ratio, ratio**2
