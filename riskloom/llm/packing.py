@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, text_or_empty
-from riskloom.llm.textbytes import row_groups, string_buffers
-from riskloom.llm.token_ids import PART_BYTES, default_tokenizer, piece_tokenizer
+from riskloom.llm.common import lean, materialise, text_or_empty
+from riskloom.llm.textbytes import SCORED_BYTES, row_groups, string_buffers
+from riskloom.llm.token_ids import default_tokenizer, piece_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
@@ -145,11 +145,12 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), cols, strict=True))
 
 
+@lean
 def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     coder = piece_tokenizer(path)
     for batch in batches:
         data, offsets = string_buffers(batch.column(1))
-        for low, high in row_groups(offsets, PART_BYTES):
+        for low, high in row_groups(offsets, SCORED_BYTES):
             at = offsets[low : high + 1] - offsets[low]
             ids, cuts = coder.encode(data[offsets[low] : offsets[high]], at)
             rows, numbers, starts, lengths, sums = [], [], [], [], []
@@ -169,6 +170,7 @@ def pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
+@lean
 def _look_up(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     bounds = table["length"] * (1 << 44) + table["first"]
     for batch in batches:

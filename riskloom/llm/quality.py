@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold, gather, labelled_sample, text_or_empty
+from riskloom.llm.common import fold, gather, labelled_sample, lean, text_or_empty
 from riskloom.llm.textbytes import SCORED_BYTES, RangeHash, bucket, row_groups, runs, string_buffers, unique_pairs
 
 SAMPLE = 8000
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return fit_rows(*gather(rows, features))
 
 
+@lean
 def _scores(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
     for column in texts:
         data, offsets = string_buffers(column)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import materialise, row_key, text_or_empty, without_keys
+from riskloom.llm.common import lean, materialise, row_key, text_or_empty, without_keys
 from riskloom.llm.components import components
 from riskloom.llm.textbytes import mix, string_buffers
 
@@ -54,6 +54,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+@lean
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_buffers(batch.column("text"))
@@ -95,6 +96,7 @@ def _first_groups(distance: int) -> tuple[list[np.ndarray], list[tuple[int, ...]
     return np.array_split(np.arange(64), n), list(combinations(range(n), 2))
 
 
+@lean
 def _keys(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """A row (key, which, fp, table) for each fingerprint and choice of two groups."""
     groups, choices = _first_groups(distance)
@@ -108,6 +110,7 @@ def _keys(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fp), which, np.int32)), batch.column(0), dense], ["key", "which", "fp", "pivots"])
 
 
+@lean
 def _finer_keys(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """The rows of crowded buckets, dealt by the free coordinates' sub-groups of four that agree."""
     groups, choices = _first_groups(distance)
@@ -146,6 +149,7 @@ def links(fp: np.ndarray, pivots: np.ndarray, distance: int) -> tuple[np.ndarray
     return fp[out_a], fp[out_b]
 
 
+@lean
 def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         members = batch.column(0)
