@@ -1,5 +1,7 @@
 """What the wide feature row costs: one shuffle of each table's rows, and no table computed twice."""
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import functions as F
@@ -34,6 +36,23 @@ def test_blocks_are_joined_without_another_shuffle(spark):
     assert len(dealt) == 6  # the application and five blocks
 
 
+def test_output_of_the_blocks_is_short_enough_to_be_compiled(spark):
+    """The JVM compiles no method above 8000 bytes of code; a block's output of one row was 20,000."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in zip(names, ("false", "-1"), strict=True):
+        spark.conf.set(n, value)
+    out = io.StringIO()
+    try:
+        with contextlib.redirect_stdout(out):
+            build_features(fixture_tables(spark, SF_SMALL)).explain("codegen")
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    sizes = [int(re.search(r"maxMethodCodeSize:(\d+)", part).group(1)) for part in out.getvalue().split("== Subtree")[1:] if "HashAggregate(" in part]
+    assert len(sizes) >= 6 and max(sizes) < 8000
+
+
 def test_blocks_with_null_keys_and_one_large_client(spark):
     """The placing changes no group: a null key is one group, a client with most of the rows another."""
     rows = [(None, 1, 5, 5, "a"), (None, 2, 7, 0, None)] + [(7, k, k % 3, 1, "b") for k in range(500)] + [(k, 1, 1, 0, "a") for k in range(20, 30)]
