@@ -37,6 +37,8 @@ WEIGHT = "_weight"
 VALID = "_is_valid"
 # Quantile bins of a feature in cross-validation and search.
 BINS = 32
+# Relative error of the medians, as in Spark's Imputer.
+ERROR = 0.001
 
 # Default tree parameters (learning rate, depth for about 15 leaves, iterations capped).
 DEFAULT_PARAMS = {"stepSize": 0.05, "maxDepth": 4, "maxIter": 50, "subsamplingRate": 1.0,
@@ -58,10 +60,13 @@ def model_features(model: PipelineModel) -> list[str]:
 
 
 def build_pipeline(features: Sequence[str], label: str = "TARGET", weighted: bool = False,
-                   validation: bool = False, seed: int = 0, **params) -> Pipeline:
+                   validation: bool = False, seed: int = 0, medians: DataFrame | None = None, **params) -> Pipeline:
+    """Imputation, assembly, trees. With a row of ``medians`` (under the names that Spark ML looks up) nothing is left to find for the imputation."""
     feats = [_safe(f) for f in features]
     p = {**DEFAULT_PARAMS, **params}
     imputer = Imputer(inputCols=feats, outputCols=[_imputed(f) for f in feats], strategy="median")
+    if medians is not None:
+        imputer = imputer.fit(medians)
     assembler = VectorAssembler(inputCols=[_imputed(f) for f in feats], outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **p)
     if weighted:
@@ -92,15 +97,16 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str = "TARGE
                      validation_col: str | None = None, seed: int = 0, **params) -> PipelineModel:
     """M1: fit imputation + boosted trees. ``validation_col`` (boolean) marks rows used only for early
     stopping (``validationTol``), kept apart from any test rows. Columns without any value are left out, with a warning."""
-    full = df.agg(*[F.max(~missing(df, f)).alias(f"c{i}") for i, f in enumerate(features)]).first()
-    empty = [f for i, f in enumerate(features) if not full[f"c{i}"]]
+    data = _prepare(df, features, label, pos_weight)
+    found = data.approxQuantile([_safe(f) for f in features], [0.5], ERROR)  # empty for a column without values
+    empty = [f for f, q in zip(features, found, strict=True) if not q]
     if empty:
         warnings.warn(f"columns without values are left out: {', '.join(empty)}", stacklevel=2)
-    features = [f for f in features if f not in set(empty)]
-    data = _prepare(df, features, label, pos_weight)
+    known = {f: q[0] for f, q in zip(features, found, strict=True) if q}
+    medians = df.sparkSession.createDataFrame([tuple(known.values())], T.StructType([T.StructField(_safe(f), T.DoubleType()) for f in known]))
     if validation_col:
         data = data.withColumn(VALID, F.col(validation_col).cast("boolean"))
-    pipe = build_pipeline(features, label, pos_weight is not None, validation_col is not None, seed, **params)
+    pipe = build_pipeline(list(known), label, pos_weight is not None, validation_col is not None, seed, medians, **params)
     return pipe.fit(data)
 
 

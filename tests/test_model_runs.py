@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import Imputer
 from pyspark.sql import functions as F
 
 from riskloom.operators import explain as X
@@ -30,6 +31,20 @@ def model(loans):
     return M.train_classifier(loans, FEATS, maxIter=6, maxDepth=3, stepSize=0.3, seed=1)
 
 
+def test_training_sketches_its_columns_once(loans, monkeypatch):
+    """The medians also tell which columns are empty; the imputer only takes them over."""
+    seen, fit = [], Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    k = F.col("SK_ID_CURR")
+    gaps = loans.withColumn("a", F.when(k % 3 > 0, F.col("a"))).withColumn("b", F.when(k % 5 == 0, math.nan).otherwise(F.col("b"))).withColumn(
+        "none", F.lit(None).cast("double"))
+    with pytest.warns(UserWarning, match="without values are left out: none"):
+        found = M.train_classifier(gaps, [*FEATS, "none"], maxIter=1, maxDepth=2)
+    assert seen == [1] and M.model_features(found) == FEATS
+    want = Imputer(strategy="median", inputCols=FEATS, outputCols=[f"{f}_" for f in FEATS]).fit(gaps).surrogateDF.first()
+    assert found.stages[0].surrogateDF.first() == want
+
+
 def margin(x, trees, weights):
     out = 0.0
     for leaves, w in zip(trees, weights, strict=True):
