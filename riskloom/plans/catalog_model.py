@@ -91,11 +91,11 @@ def q_cross_validate_oof(spark, d):
 
 @register("random_search")
 def q_random_search(spark, d):
-    """M3: eight seeded draws over the whole feature row, five stratified folds each, halved twice on growing shares of the rows."""
+    """M3: eight seeded draws over the whole feature row, five stratified folds each, every draw on all rows."""
     f = written(features(spark, d), "features")
     feats = model_features(f)
     space = {"stepSize": [0.05, 0.1, 0.2], "maxDepth": [2, 3, 4], "maxIter": [3, 5]}
-    _, table = M.random_search(f, feats, LABEL, n_iter=8, k=5, space=space, id_col=ID, seed=3, parallelism=8)
+    _, table = M.random_search(f, feats, LABEL, n_iter=8, k=5, space=space, id_col=ID, seed=3, parallelism=8, rungs=1)
     return report(table)
 
 
